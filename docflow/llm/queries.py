@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docflow.llm.bpe import encode_digests
 from docflow.llm.common import documents
 from docflow.llm.exact_dedup import exact_dedup
+from docflow.llm.packing import pack_documents
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLE_SQL = {
