@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from docflow.llm.common import write_table
 from docflow.llm.units import units
 
 #: Units that a worker remembers with their ids.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Units tokenised as one text.
+JOINED = 2_000
 PLAN_SCHEMA = "length int, first long, n long, sequence long, offset long, each long"
 
 
@@ -155,27 +158,38 @@ def plan_packing(histogram: dict[int, int], capacity: int, small: int, groups: i
 # ------------------------------------------------------------------------------------------------------ tokens
 @lru_cache(maxsize=2)
 def tokenizer_of(path: str):
-    """One per worker, with the ids of the units seen last."""
+    """One per worker, with which ids begin with a space, and the ids of the units seen last."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}, {}
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = False
+    spaced = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
+    spaced[[i for x, i in tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True  # how the byte 0x20 is written
+    return tokenizer, spaced, {}, {}
 
 
 def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
-    tokenizer, heads, tails = tokenizer_of(path)
+    tokenizer, spaced, heads, tails = tokenizer_of(path)
     for known in (heads, tails):
         if len(known) > REMEMBERED:
             known.clear()
     parts = [units(x) if x else [] for x in texts]
-    for known, space, new in ((heads, "", {p[0] for p in parts if p} - heads.keys()), (tails, " ", {x for p in parts for x in p[1:]} - tails.keys())):
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            found = tokenizer.encode_batch_fast([space + x for x in new[i : i + 20_000]], add_special_tokens=False)
-            known.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(new[i : i + 20_000], found, strict=True))
+    new = list({p[0] for p in parts if p} - heads.keys())
+    heads.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+    new = list(set(chain.from_iterable(p[1:] for p in parts)).difference(tails))
+    alone = [x for x in new if " " in x or "<|" in x]
+    tails.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(alone, tokenizer.encode_batch_fast([" " + x for x in alone], add_special_tokens=False), strict=True))
+    new = [x for x in new if " " not in x and "<|" not in x]
+    for i in range(0, len(new), JOINED):  # units don't touch each other, so many are one text; each begins at its only space
+        run = new[i : i + JOINED]
+        ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.append(np.flatnonzero(spaced[ids]), len(ids)) * 4
+        raw = ids.tobytes()
+        tails.update(zip(run, (raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), strict=True))
     for p in parts:
         yield heads[p[0]] + b"".join(map(tails.__getitem__, p[1:])) if p else b""
 
