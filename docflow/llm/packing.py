@@ -32,7 +32,7 @@ from docflow.llm.common import write_table
 from docflow.llm.units import units
 
 #: Units that a worker remembers with their ids.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Units tokenised as one text.
 JOINED = 2_000
 PLAN_SCHEMA = "length int, first long, n long, sequence long, offset long, each long"
@@ -175,8 +175,10 @@ def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
     tokenizer, spaced, heads, tails = tokenizer_of(path)
     for known in (heads, tails):
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED:  # short ones come again most
+            short = {x: known[x] for x in known if len(x) < 6}
             known.clear()
+            known.update(short if len(short) < REMEMBERED / 2 else {})
     parts = [units(x) if x else [] for x in texts]
     new = list({p[0] for p in parts if p} - heads.keys())
     heads.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
