@@ -29,6 +29,8 @@ KINDS = {
 }
 BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})$"
 TERM = r"\p{L}{3,}+"
+#: Terms that are sent to all executors at most; more are joined by a shuffle.
+FEW_TERMS = 100_000
 
 
 def holds(kind: Column, match: Column) -> Column:
@@ -54,10 +56,10 @@ def with_matches(lines: DataFrame, patterns: dict[str, str], keys: list[str]) ->
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """text_key, line_no, at (the line's first code point), line, of rows with text_key and text."""
+    """text_key, line_no, at (the line's first code point), line, line_hash, of rows with text_key and text."""
     lines = texts.select("text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     before = W.partitionBy("text_key").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    return lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long"))
+    return lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")).withColumn("line_hash", F.xxhash64("line"))
 
 
 def suspect(text: Column) -> Column:
@@ -71,22 +73,22 @@ def suspects(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def base_spans(lines: DataFrame) -> DataFrame:
-    """text_key, line_no, at, kind, k, start, end (within the line), value: the four kinds' spans in lines of lines_of."""
+    """text_key, line_no, at, line_hash, kind, k, start, end (within the line), value: the four kinds' spans in lines of
+    lines_of."""
     likely = lines.where(F.col("line").rlike("[@0-9]"))
-    found = with_matches(likely, KINDS, ["text_key", "line_no", "at"]).where(holds(F.col("kind"), F.col("match")))
+    found = with_matches(likely, KINDS, ["text_key", "line_no", "at", "line_hash"]).where(holds(F.col("kind"), F.col("match")))
     value = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("match", "[^0-9]", "")).otherwise(F.lower("match"))
-    return found.select("text_key", "line_no", "at", "kind", "k", "start", "end", F.concat("kind", F.lit(":"), value).alias("value"))
+    return found.select("text_key", "line_no", "at", "line_hash", "kind", "k", "start", "end", F.concat("kind", F.lit(":"), value).alias("value"))
 
 
 def disclosing_spans(df: DataFrame, lines: DataFrame, base: DataFrame, text_col: str, disclosure: float, removal: float, support: int, reach: int) -> DataFrame:
     """Spans of disclosing terms, like base_spans; kind is term, k follows the four kinds, value is remove or generalise."""
     key = ["text_key", "line_no"]
-    hosts = lines.join(base.select(*key).distinct(), key, "left_semi").withColumn("line_hash", F.xxhash64("line"))
-    words = with_matches(hosts, {"term": TERM}, [*key, "at", "line_hash"]).withColumn("term", F.lower("match"))
+    hosts = lines.join(base.select(*key).distinct(), key, "left_semi")
+    words = with_matches(hosts, {"term": TERM}, [*key, "at", "line_hash"])
     # a term that a base span overlaps is part of it: running ends and the next start tell
-    marks = words.select(*key, "at", "line_hash", "start", "end", "term", F.lit(None).cast("string").alias("value")).unionByName(
-        base.join(hosts.select(*key, "line_hash"), key).select(*key, "at", "line_hash", "start", "end", F.lit(None).cast("string").alias("term"), "value")
-    )
+    one = [*key, "at", "line_hash", "start", "end"]
+    marks = words.select(*one, F.lower("match").alias("term"), F.lit(None).cast("string").alias("value")).unionByName(base.select(*one, F.lit(None).cast("string").alias("term"), "value"))
     own = F.col("value").isNotNull()
     by = W.partitionBy(*key).orderBy("start", F.col("value").isNull(), "end")
     placed = marks.withColumns(
@@ -99,11 +101,13 @@ def disclosing_spans(df: DataFrame, lines: DataFrame, base: DataFrame, text_col:
     numbered = free.withColumn("i", F.count("term").over(by.rowsBetween(W.unboundedPreceding, 0)))
     terms = numbered.where(F.col("value").isNull()).select(*key, "at", "line_hash", "start", "end", "term", "i")
     near = numbered.where(F.col("value").isNotNull()).select(*key, "value", F.explode(F.sequence(F.col("i") - reach + 1, F.col("i") + reach)).alias("i"))
-    both = terms.join(near, [*key, "i"])
+    both = materialise(terms.join(near, [*key, "i"]).drop("i"), "pii-near")
 
-    together = both.groupBy("value", "term").agg(F.countDistinct("line_hash").alias("n_et")).where(F.col("n_et") >= support)
-    entities = marks.where(own).groupBy("value").agg(F.countDistinct("line_hash").alias("n_e"))
-    wanted = together.select("term").distinct()
+    together = materialise(both.groupBy("value", "term").agg(F.countDistinct("line_hash").alias("n_et")).where(F.col("n_et") >= support), "pii-together")
+    entities = base.groupBy("value").agg(F.countDistinct("line_hash").alias("n_e"))
+    wanted = materialise(together.select("term").distinct(), "pii-wanted")
+    if wanted.count() <= FEW_TERMS:
+        wanted = F.broadcast(wanted)
     everywhere = df.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line"))
     n = float(everywhere.agg(F.countDistinct(F.xxhash64("line")).alias("n")).first()["n"])
     said = everywhere.select(F.xxhash64("line").alias("h"), F.explode(F.array_distinct(F.split(F.lower("line"), r"\P{L}+"))).alias("term"))
@@ -120,7 +124,7 @@ def all_spans(df: DataFrame, text_col: str = "text", disclosure: float = 0.9, re
     are written once, for each distinct text."""
     lines = materialise(lines_of(suspects(df, text_col)), "pii-lines")
     base = materialise(base_spans(lines), "pii-base")
-    return lines, base.unionByName(disclosing_spans(df, lines, base, text_col, disclosure, removal, support, reach))
+    return lines, base.drop("line_hash").unionByName(disclosing_spans(df, lines, base, text_col, disclosure, removal, support, reach))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
