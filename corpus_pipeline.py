@@ -1,23 +1,53 @@
-"""The corpus pipeline: each stage works on what the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept, and its decisions take effect."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docflow.llm import pii
 from docflow.llm.common import documents, materialise
 from docflow.llm.exact_dedup import drop_copies
+from docflow.llm.jaccard_join import drop_near_copies
+from docflow.llm.language_id import fit_on_training_rows, identify
+from docflow.llm.packing import pack_documents
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is unknown or too close to call. The column lang stays as it is."""
+    found = identify(docs, fit_on_training_rows(docs), keep=docs.columns)
+    return found.where("NOT rejected").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of equal texts."""
+    """Keeps the document of the least id of each group of texts that are equal but for white space."""
     return drop_copies(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id of each group linked by shared shingles."""
+    return drop_near_copies(docs)
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and terms that disclose it; n_chars stays what the source said."""
+    return pii.sanitise(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents left, with their sequences and offsets."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
+    ("language_id", identify_languages),
     ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_similar),
+    ("pii", remove_personal_data),
+    ("best_fit_packing", pack),
 ]
 
-#: Language ID, near duplicates and tokenisation can't be said in SQL; tests hold the stages against brute force.
+#: Compression, near copies and packing can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

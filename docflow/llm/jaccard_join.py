@@ -314,9 +314,11 @@ def link(rows: DataFrame, known: DataFrame, pairs: DataFrame, limit: Threshold)
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of their component, with all their columns: one document of each group stays.
+    """One document of each component stays, that of the least id: the rows of ``df``, with all their columns, but for
+    those of ids of which every row has a smaller component_id.
 
-    Rows without shingles stay, and so do rows of null id.
+    Rows without shingles stay, and so do rows of null id. Rows of one id stay or go together.
     """
-    gone = similar_groups(df, id_col=id_col, text_col=text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    groups = similar_groups(df, id_col=id_col, text_col=text_col)
+    gone = groups.groupBy("doc_id").agg(F.max("component_id").alias("component_id")).where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
     return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

@@ -26,8 +26,9 @@ LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: The text is compressed in blocks so that the dictionary counts throughout, not just where a long text begins.
 BLOCK_BYTES = 4096
-#: Short texts follow a run-up, a piece of the language's own dictionary: alone they are too short to be compressed.
-SHORT_BYTES, RUN_UP_BYTES = 200, 60
+#: Short texts follow run-ups, pieces of the language's own dictionary; alone they are too short to be compressed. What
+#: counts is how much longer they make the run-ups' code.
+SHORT_BYTES, RUN_UP_BYTES, RUN_UPS = 200, 60, 4
 #: A search for all matches of three bytes and more; the presets for speed overlook the short ones that tell languages apart.
 SEARCH = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 4, "min_match": 3, "target_length": 16, "strategy": zstandard.STRATEGY_GREEDY}
 
@@ -55,19 +56,24 @@ def prepared(text: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[zstandard.ZstdCompressor, bytes]]:
-    """The compressor and run-up of each language; one list per worker."""
+def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[zstandard.ZstdCompressor, list[bytes], int]]:
+    """The compressor of each language, its run-ups and the length of their codes; one list per worker."""
     params = zstandard.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **SEARCH)
-    return [(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params), x[-RUN_UP_BYTES - 50 : -50] + b" ") for _, x in dictionaries]
+    out = []
+    for _, content in dictionaries:
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        run_ups = [content[i : i + RUN_UP_BYTES] + b" " for i in range(0, len(content), len(content) // RUN_UPS + 1)]
+        out.append((c, run_ups, sum(len(c.compress(x)) for x in run_ups)))
+    return out
 
 
 def code_lengths(text: str, dictionaries: tuple[tuple[str, bytes], ...]) -> list[int]:
     """Bytes of the text's blocks, compressed with each dictionary."""
     data = prepared(text).encode()
     if len(data) < SHORT_BYTES:
-        return [len(c.compress(run_up + data)) for c, run_up in compressors(dictionaries)]
+        return [sum(len(c.compress(x + data)) for x in run_ups) - alone for c, run_ups, alone in compressors(dictionaries)]
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-    return [sum(len(c.compress(b)) for b in blocks) for c, _ in compressors(dictionaries)]
+    return [sum(len(c.compress(b)) for b in blocks) for c, *_ in compressors(dictionaries)]
 
 
 def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], margin: int) -> tuple[str, float, bool]:

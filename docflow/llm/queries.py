@@ -10,9 +10,12 @@ from docflow.llm import license_scan, pii
 from docflow.llm.bpe import encode_digests
 from docflow.llm.common import documents
 from docflow.llm.exact_dedup import exact_dedup
+from docflow.llm.jaccard_join import similar_groups
 from docflow.llm.language_id import fit_on_training_rows, identify, is_held_out
 from docflow.llm.nearest import search
 from docflow.llm.packing import pack_documents
+from docflow.llm.suffix_dedup import remove_repeats
+from docflow.llm.suffix_tree_lm import score_documents
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +28,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
@@ -41,6 +48,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -48,10 +63,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_nearest": op5_nearest,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_pii": op10_pii,
 }
 

@@ -164,8 +164,11 @@ def least_owner(contexts: list[bytes], owner: np.ndarray, length: int) -> list[n
     place = np.ones(len(symbols), dtype=bool)
     place[ends - 1] = False
     symbols[place] = code[data]
-    # at least two shards
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(1, max(2, -(-int(ends[-1]) // SHARD_BYTES))) * (int(ends[-1]) / max(2, -(-int(ends[-1]) // SHARD_BYTES)))), [len(contexts)]]))
+    # at least two shards, unless there is a single context
+    shards = max(2, -(-int(ends[-1]) // SHARD_BYTES))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(1, shards) * (int(ends[-1]) / shards)), [len(contexts)]]))
+    if len(cuts) == 2 and len(contexts) > 1:
+        cuts = np.array([0, len(contexts) // 2, len(contexts)])
     level = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         lo, hi = int(ends[a] - sizes[a] - 1), int(ends[b - 1])
