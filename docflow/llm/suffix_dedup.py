@@ -39,24 +39,26 @@ K = 20
 SHARD_BYTES, GROUP_BYTES = 1 << 17, 1 << 18
 NO_ID = 2**63 - 1
 _VALUE = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(0xD1342543DE82EF95)
+BASE = 0xD1342543DE82EF95
 
 
 # ------------------------------------------------------------------------------------------------------ anchors
 def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k bytes from each place on, by doubling: each step joins two neighbouring stretches."""
-    block, width, power = _VALUE[data], 1, _BASE
-    out, done, shift = None, 0, np.uint64(1)
+    block, width, n = _VALUE[data], 1, len(data) - k + 1
+    out, done = np.zeros(n, dtype=np.uint64), 0
     while True:
         if k & width:
-            part = block[done : done + len(data) - k + 1]
-            out = part.copy() if out is None else out + part * shift
+            out += block[done : done + n] * power_of(done)
             done += width
-            shift = shift * power
         if 2 * width > k:
             return mixed(out)
-        block = block[:-width] + block[width:] * power
-        width, power = 2 * width, power * power
+        block = block[:-width] + block[width:] * power_of(width)
+        width *= 2
+
+
+def power_of(n: int) -> np.uint64:
+    return np.uint64(pow(BASE, n, 1 << 64))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
