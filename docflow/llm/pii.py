@@ -103,18 +103,24 @@ def disclosing_spans(df: DataFrame, lines: DataFrame, base: DataFrame, text_col:
     near = numbered.where(F.col("value").isNotNull()).select(*key, "value", F.explode(F.sequence(F.col("i") - reach + 1, F.col("i") + reach)).alias("i"))
     both = materialise(terms.join(near, [*key, "i"]).drop("i"), "pii-near")
 
-    together = materialise(both.groupBy("value", "term").agg(F.countDistinct("line_hash").alias("n_et")).where(F.col("n_et") >= support), "pii-together")
     entities = base.groupBy("value").agg(F.countDistinct("line_hash").alias("n_e"))
+    everywhere = df.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line"))
+    n = float(everywhere.agg(F.countDistinct(F.xxhash64("line")).alias("n")).first()["n"])
+    ic = F.log2(F.lit(n) / F.col("n_e"))
+
+    def ratio(n_t: str) -> Column:
+        return F.when(ic > 0, F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / ic)
+
+    # a term is in at least as many lines as stand near spans; what that rules out needs no count of all lines
+    near_lines = both.groupBy("term").agg(F.countDistinct("line_hash").alias("least_n_t"))
+    together = both.groupBy("value", "term").agg(F.countDistinct("line_hash").alias("n_et")).where(F.col("n_et") >= support)
+    together = materialise(together.join(entities, "value").join(near_lines, "term").where(ratio("least_n_t") >= disclosure).select("value", "term", "n_et", "n_e"), "pii-together")
     wanted = materialise(together.select("term").distinct(), "pii-wanted")
     if wanted.count() <= FEW_TERMS:
         wanted = F.broadcast(wanted)
-    everywhere = df.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line"))
-    n = float(everywhere.agg(F.countDistinct(F.xxhash64("line")).alias("n")).first()["n"])
     said = everywhere.select(F.xxhash64("line").alias("h"), F.explode(F.array_distinct(F.split(F.lower("line"), r"\P{L}+"))).alias("term"))
     counts = said.join(wanted, "term", "left_semi").groupBy("term").agg(F.countDistinct("h").alias("n_t"))
-    ic = F.log2(F.lit(n) / F.col("n_e"))
-    ratio = F.when(ic > 0, F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / ic)
-    told = together.join(entities, "value").join(counts, "term").withColumn("ratio", ratio).where(F.col("ratio") >= disclosure)
+    told = together.join(counts, "term").withColumn("ratio", ratio("n_t")).where(F.col("ratio") >= disclosure)
     hit = both.join(told.select("value", "term", "ratio"), ["value", "term"]).groupBy(*key, "at", "start", "end").agg(F.max("ratio").alias("ratio"))
     return hit.select(*key, "at", F.lit("term").alias("kind"), F.lit(len(KINDS)).alias("k"), "start", "end", F.when(F.col("ratio") >= removal, "remove").otherwise("generalise").alias("value"))
 
