@@ -1,4 +1,265 @@
-"""Registered queries of the document operators."""
+"""Registered queries of the document operators, and the same results in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docflow.functions.text import full_to_half
+from docflow.operators import assemble, boxes, ground, html_tables, infer, mask, order, pixels, reflow, render, skew
+from docflow.plans import inputs, oracles
+from docflow.plans.inputs import derived, table
+from docflow.sources import files
+from docflow.streaming.assemble import EVENTS, assemble_stream
+
+
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, inputs.KEPT)
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.drop_headers(order.with_reading_order(kept(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------------------------------------------ text
+def text_fullwidth(spark, sf_dir):
+    return inputs.lines(spark, sf_dir).select("doc_id", full_to_half(F.col("text")).alias("text"))
+
+
+def line_classify(spark, sf_dir):
+    return reflow.classify_lines(inputs.lines(spark, sf_dir), ["doc_id"]).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("places"))
+
+
+def reflow_documents(spark, sf_dir):
+    return reflow.reflow(inputs.lines(spark, sf_dir), ["doc_id"])
+
+
+def stitch_conversations(spark, sf_dir):
+    return reflow.stitch(derived(spark, sf_dir, inputs.PAGE))
+
+
+def merge_paginated(spark, sf_dir):
+    return reflow.merge_pages(derived(spark, sf_dir, inputs.PAGE))
+
+
+def merge_stream(spark, sf_dir):
+    return reflow.merge_pages(derived(spark, sf_dir, inputs.PAGE), "stream")
+
+
+# ------------------------------------------------------------------------------------------------------ boxes
+def raw_detections(spark, sf_dir):
+    """Boxes back in the arrays that a detector gives, with fractions on the corners."""
+    box = derived(spark, sf_dir, inputs.BOX)
+    half = [(F.col(c) + 0.75).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    rows = box.select("doc_id", "page_idx", F.struct("det_idx", "score", "label_id", F.array(*half).alias("box")).alias("d"))
+    listed = rows.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    whole = listed.select("doc_id", "page_idx", F.col("d.score").alias("scores"), F.col("d.label_id").alias("labels"), F.col("d.box").alias("boxes"))
+    return whole.unionByName(whole.limit(0).withColumn("scores", F.lit(None).cast("array<double>")))
+
+
+def box_filter_score(spark, sf_dir):
+    return boxes.detections(raw_detections(spark, sf_dir), dict(enumerate(inputs.LABELS))).drop("label")
+
+
+def box_label_lookup(spark, sf_dir):
+    known = {i: n for i, n in enumerate(inputs.LABELS) if i % 5}
+    return boxes.detections(raw_detections(spark, sf_dir), known).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("x1").alias("sum_x1"))
+
+
+def header_footer_filter(spark, sf_dir):
+    return boxes.drop_headers(kept(spark, sf_dir)).select("doc_id", "page_idx", "det_idx", "label")
+
+
+def reading_order(spark, sf_dir):
+    return order.with_reading_order(kept(spark, sf_dir)).select("doc_id", "page_idx", "det_idx", "block_idx")
+
+
+def routed(spark, sf_dir):
+    return boxes.route(ordered(spark, sf_dir), formula_as_image=True)
+
+
+def route_blocks(spark, sf_dir):
+    return boxes.route(boxes.drop_headers(kept(spark, sf_dir))).select("doc_id", "page_idx", "det_idx", "kind", "tag")
+
+
+def crop_names(spark, sf_dir):
+    stem = F.concat(F.lit("page_"), F.lpad(F.col("page_idx").cast("string"), 7, "0"))
+    return boxes.name_crops(routed(spark, sf_dir), stem).where("kind = 'image'").select("doc_id", "page_idx", "block_idx", "image_path")
+
+
+def width_bucket(spark, sf_dir):
+    return boxes.route(kept(spark, sf_dir), formula_as_image=True).withColumn("width_str", boxes.width_bucket()).groupBy("tag", "width_str").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prompt_policy(spark, sf_dir):
+    return boxes.prompts(boxes.route(kept(spark, sf_dir), table_as_image=False).where("kind = 'ocr'")).groupBy("label", "prompt", "max_tokens").agg(F.count(F.lit(1)).alias("n"))
+
+
+def overlay_colors(spark, sf_dir):
+    return boxes.overlay(kept(spark, sf_dir)).groupBy("label", "color").agg(F.count(F.lit(1)).alias("n"), F.sum("text_x").alias("sum_x"), F.sum("text_y").alias("sum_y"))
+
+
+def crop_geometry(spark, sf_dir):
+    return mask.crops(kept(spark, sf_dir)).select("doc_id", "page_idx", "det_idx", "px1", "py1", "px2", "py2", "out_w", "out_h")
+
+
+def mask_rects_core(spark, sf_dir):
+    return mask.core_masks(mask.overlaps(kept(spark, sf_dir)))
+
+
+def mask_rects_ring(spark, sf_dir):
+    return mask.ring_masks(mask.overlaps(kept(spark, sf_dir)))
+
+
+def skew_median(spark, sf_dir):
+    return skew.skew(kept(spark, sf_dir).withColumn("y2", F.col("y1") + F.col("y2") % 90 - 40), ["doc_id", "page_idx"]).select("doc_id", "page_idx", F.round("skew", 6).alias("skew"))
+
+
+# ------------------------------------------------------------------------------------------------------ tags
+def ground_extract(spark, sf_dir):
+    return ground.tags(derived(spark, sf_dir, inputs.GROUND), ["item_id"])
+
+
+def ground_rewrite(spark, sf_dir):
+    return ground.rewrite(derived(spark, sf_dir, inputs.GROUND), ["item_id"], F.concat(F.lit("page_"), F.col("item_id").cast("string")))
+
+
+def ground_cleanup(spark, sf_dir):
+    return derived(spark, sf_dir, inputs.GROUND).select("item_id", ground.cleanup(F.concat("text", F.lit("\n\n\n\nx"))).alias("text"))
+
+
+def ground_diagnosis(spark, sf_dir):
+    return ground.diagnosis(ground.tags(derived(spark, sf_dir, inputs.GROUND), ["item_id"]), ["item_id"]).select("item_id", "pos", "tag", "color")
+
+
+# ------------------------------------------------------------------------------------------------------ pages
+def page_selection(spark, sf_dir):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(oracles.SELECTIONS)], "sel_id int, sel string")
+    total = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 13).cast("int").alias("total")).withColumn("sel_id", (F.col("page_id") % len(oracles.SELECTIONS)).cast("int"))
+    chosen = texts.select("sel_id", files.selected_pages(F.col("sel")).alias("selected"))
+    return total.join(F.broadcast(chosen), "sel_id").select("page_id", F.array_join("selected", ",").alias("selected"), F.array_join(files.pruned_pages(F.col("total"), F.col("selected")), ",").alias("pages"))
+
+
+def assembly(spark, sf_dir):
+    return tuple(derived(spark, sf_dir, x) for x in (inputs.BLOCK, inputs.REGISTERED, inputs.FILLS))
+
+
+def fill_first_wins(spark, sf_dir):
+    return assemble.first_fills(*assembly(spark, sf_dir))
+
+
+def ordered_flush(spark, sf_dir):
+    blocks, registered, fills = assembly(spark, sf_dir)
+    return assemble.flush_order(blocks, registered, assemble.first_fills(blocks, registered, fills))
+
+
+def assembled(spark, sf_dir):
+    """Pages that are written, with their Markdown."""
+    blocks, registered, fills = assembly(spark, sf_dir)
+    accepted = assemble.first_fills(blocks, registered, fills)
+    return render.render_pages(assemble.flush_order(blocks, registered, accepted), render.fill(blocks, accepted))
+
+
+def assemble_pages(spark, sf_dir):
+    return assembled(spark, sf_dir)
+
+
+def assemble_document(spark, sf_dir):
+    return render.render_documents(assembled(spark, sf_dir))
+
+
+def stream_assemble(spark, sf_dir):
+    """The same assembly as a stream over files of events: each trigger takes all that is there."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/docflow-stream-{uuid.uuid4().hex}"
+    blocks, registered, fills = assembly(spark, sf_dir)
+    wanted = blocks.where("kind = 'ocr'").groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list("block_idx")).alias("ocr_blocks"))
+    first = registered.join(wanted, ["doc_id", "page_idx"], "left").select("doc_id", "seq", F.lit("register").alias("kind"), "page_idx", F.coalesce("ocr_blocks", F.array().cast("array<int>")).alias("ocr_blocks"), F.lit(None).cast("int").alias("block_idx"), F.lit(None).cast("string").alias("content"))
+    rest = fills.select("doc_id", "seq", F.lit("fill").alias("kind"), "page_idx", F.lit(None).cast("array<int>").alias("ocr_blocks"), "block_idx", "content")
+    first.unionByName(rest).write.parquet(f"{folder}/events")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = assemble_stream(spark.readStream.schema(EVENTS).parquet(f"{folder}/events"))
+        query = out.writeStream.format("parquet").option("path", f"{folder}/written").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema("doc_id STRING, page_idx INT, flush_seq BIGINT, contents STRING").parquet(f"{folder}/written")
+
+
+def middle(spark, sf_dir):
+    stem = F.concat(F.lit("p"), F.col("page_idx").cast("string"))
+    named = boxes.name_crops(routed(spark, sf_dir), stem)
+    blocks = named.select("doc_id", "page_idx", "block_idx", "kind", "label", F.array("x1", "y1", "x2", "y2").alias("bbox"), F.when(F.col("kind") == "ocr", F.concat(F.lit("Text "), F.col("block_idx").cast("string"), F.lit("-\nend of block"))).alias("content"), "image_path", "width_str")
+    return render.to_middle(derived(spark, sf_dir, inputs.PAGES), blocks)
+
+
+def middle_json_roundtrip(spark, sf_dir):
+    pages, blocks = render.from_middle(middle(spark, sf_dir))
+    counted = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count("content").alias("n_content"), F.count("image_path").alias("n_images"), F.sum(F.col("bbox")[0]).alias("sum_x1"), F.countDistinct("label").alias("n_labels"))
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("page_h").alias("sum_h")).join(counted, "doc_id")
+
+
+def cached_render(spark, sf_dir):
+    pages, blocks = render.from_middle(middle(spark, sf_dir))
+    md = render.render_pages(pages, blocks, "cached")
+    return reflow.merge_pages(md.select("doc_id", "page_idx", F.col("markdown").alias("text"))).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+
+
+def cache_split(spark, sf_dir):
+    hit, miss = render.split_cached(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").where("quality = 1"))
+    return hit.withColumn("cached", F.lit(True)).unionByName(miss.withColumn("cached", F.lit(False))).groupBy("lang", "cached").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("sum_id"))
+
+
+def html_table_spans(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit(oracles.HTML_TABLE))).otherwise(F.col("html")).alias("html"))
+    return pages.select("page_id", F.size(html_tables.tables(F.col("html"))).alias("n"), F.array_join(html_tables.tables(F.col("html")), "|").alias("tables"))
+
+
+def chat_payload(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    payload = infer.chat_payload(F.lit("Text Recognition:"), F.encode("text", "UTF-8"), F.lit(1024), "m")
+    return docs.select("doc_id", F.md5(payload).alias("payload_md5"), infer.response_text(F.concat(F.lit('{"choices":[{"message":{"content":"r'), F.col("doc_id").cast("string"), F.lit('"}}]}'))).alias("reply"))
+
+
+# ------------------------------------------------------------------------------------------------------ pixels
+def _pictures(spark, sf_dir):
+    ids = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("page_idx")).withColumn("doc_id", F.lit("d"))
+
+    def draw(frames):
+        import numpy as np
+
+        for pdf in frames:
+            made = []
+            for k in pdf["page_idx"]:
+                image = np.full((120, 160, 3), 255, np.uint8)
+                image[10 + k : 40 + k, 20:120] = 0
+                made.append(pixels.to_png(image))
+            yield pdf[["doc_id", "page_idx"]].assign(content=made)
+
+    return ids.mapInPandas(draw, "doc_id string, page_idx int, content binary")
+
+
+class OneBox:
+    """A stand-in for a layout model: the same box on every page."""
+
+    def detect(self, images):
+        return [([0.9, 0.2], [0, 1], [[20.5, 10.5, 120, 40], [0, 0, 1, 1]]) for _ in images]
+
+
+def infer_stub(spark, sf_dir):
+    pages = _pictures(spark, sf_dir)
+    found = boxes.detections(infer.detect(pages, OneBox), {0: "text", 1: "table"})
+    tasks = found.select("doc_id", "page_idx", F.col("det_idx").alias("block_idx"), "label").join(pages.withColumnRenamed("content", "image"), ["doc_id", "page_idx"])
+    return infer.recognise(tasks, infer.EchoRecognizer, retry=infer.Retry(attempts=1))
+
+
+NAMES = (
+    "text_fullwidth line_classify reflow_documents stitch_conversations merge_paginated merge_stream box_filter_score box_label_lookup header_footer_filter reading_order route_blocks "
+    "crop_names width_bucket prompt_policy overlay_colors crop_geometry mask_rects_core mask_rects_ring skew_median ground_extract ground_rewrite ground_cleanup ground_diagnosis "
+    "page_selection fill_first_wins ordered_flush assemble_pages assemble_document stream_assemble middle_json_roundtrip cached_render cache_split html_table_spans chat_payload infer_stub"
+).split()
+QUERIES = {name: globals()[name] for name in NAMES}
+ORACLE_SQL = oracles.ORACLE_SQL
