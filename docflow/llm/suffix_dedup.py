@@ -7,7 +7,8 @@ A string of ``length`` bytes is looked for in all documents of smaller id. No ta
    repeat. Anchors are packed into arrays and meet in buckets by their hash.
 2. The windows of a shared anchor lie in one run; the run with the bytes of its last window is a context. Contexts
    meet in buckets by their anchor; equal contexts collapse there.
-3. The contexts of a bucket are dealt into shards, and each shard gets its Burrows-Wheeler transform. Transforms are
+3. Where an anchor has several contexts, they are dealt into shards, and each shard gets its Burrows-Wheeler transform
+   (a context that is alone with its anchor shares its windows with its copies only). Transforms are
    merged in pairs by refining their interleave: in each round the interleave is dealt out anew by the symbols that
    precede, so after h rounds suffixes stand in the order of their first h bytes. The round in which two neighbours part
    is their longest common prefix, so what never parts in ``length`` rounds is an interval of repeats; suffixes are not
@@ -37,6 +38,8 @@ LENGTH = 50
 K = 20
 #: Bytes of contexts in a shard, and in what is merged of its own (more if one anchor has more).
 SHARD_BYTES, GROUP_BYTES = 1 << 17, 1 << 18
+#: Bytes of text whose anchors are looked for at a time; each takes some ten numbers of eight bytes.
+PART_BYTES = 1 << 20
 NO_ID = 2**63 - 1
 _VALUE = np.random.default_rng(41).integers(1, 2**63, 256, dtype=np.uint64)
 BASE = 0xD1342543DE82EF95
@@ -232,7 +235,7 @@ def spread_hash(h: np.ndarray) -> np.ndarray:
 def send_anchors(units: DataFrame, length: int, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 3):
+            for part in slices(batch, 3, PART_BYTES):
                 data, offsets = text_bytes_of(part.column(3))
                 h, text, _, _ = anchors(data, offsets, length)
                 order = np.lexsort((text, h))
@@ -312,7 +315,7 @@ def send_contexts(units: DataFrame, marks: DataFrame, length: int, n_buckets: in
             known = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in right["marks"]]))
             batch, docs = block_units(left)
             block, done = left["block"][0].as_py(), 0
-            for part in slices(batch, 3):
+            for part in slices(batch, 3, PART_BYTES):
                 data, offsets = text_bytes_of(part.column(3))
                 h, text, first, last = anchors(data, offsets, length)
                 keep = find_in(known, marks_of(part.column(1).to_numpy()[text], h)) >= 0
@@ -354,23 +357,35 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
             distinct = rows.view(np.uint8).reshape(len(rows), -1)
             own_size = distinct[:, -1].astype(np.int64)
             anchor = np.ascontiguousarray(distinct[:, :8]).view(">u8").ravel()
-            mask = np.zeros(len(doc), dtype=np.uint32)
-            by = np.argsort(inverse, kind="stable")
-            ends = np.cumsum(np.bincount(inverse, minlength=len(rows)))
+            # a context alone with its anchor shares its windows with itself only: all are its least owner's
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = anchor[1:] != anchor[:-1]
+            heads = np.flatnonzero(new)
+            together = np.diff(np.append(heads, len(rows)))
+            alone = np.repeat(together, together) == 1
+            all_windows = ((np.uint64(1) << (own_size - length + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+            mask = np.where(alone[inverse] & (least[inverse] < doc), all_windows[inverse], 0).astype(np.uint32)
+            member = np.flatnonzero(~alone[inverse])
+            rank = np.cumsum(~alone) - 1
+            among = rank[inverse[member]]
+            rows_left = np.flatnonzero(~alone)
+            distinct, own_size, anchor, least = distinct[rows_left], own_size[rows_left], anchor[rows_left], least[rows_left]
+            by = np.argsort(among, kind="stable")
+            ends = np.cumsum(np.bincount(among, minlength=len(rows_left)))
             # groups end where an anchor does
-            sums, starts = np.cumsum(own_size + 1), np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(rows) else []
+            sums, starts = np.cumsum(own_size + 1), np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(rows_left) else []
             cut = 0
-            while cut < len(rows):
+            while cut < len(rows_left):
                 goal = np.searchsorted(sums, (sums[cut - 1] if cut else 0) + GROUP_BYTES)
                 i = np.searchsorted(starts, max(goal, cut + 1))
-                end = int(starts[i]) if i < len(starts) else len(rows)
+                end = int(starts[i]) if i < len(starts) else len(rows_left)
                 found = least_owner([distinct[r, 8 : 8 + own_size[r]].tobytes() for r in range(cut, end)], least[cut:end], length)
                 lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
                 windows = np.full((end - cut, most - length + 1), NO_ID, dtype=np.int64)
                 windows[np.arange(windows.shape[1])[None, :] < lengths[:, None]] = np.concatenate(found)
-                members = by[(ends[cut - 1] if cut else 0) : ends[end - 1]]
-                smaller = windows[inverse[members] - cut] < doc[members][:, None]
-                mask[members] = (smaller * (np.uint32(1) << np.arange(smaller.shape[1], dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
+                own = by[(ends[cut - 1] if cut else 0) : ends[end - 1]]
+                smaller = windows[among[own] - cut] < doc[member[own]][:, None]
+                mask[member[own]] = (smaller * (np.uint32(1) << np.arange(smaller.shape[1], dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
                 cut = end
             hit = np.flatnonzero(mask)
             hit = hit[np.argsort(block[hit], kind="stable")]
@@ -397,7 +412,7 @@ def cover(units: DataFrame, found: DataFrame, length: int, keep_bytes: bool) ->
             masks = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x.as_buffer(), "<u4") for x in right["masks"])])
             order = np.argsort(where["unit"], kind="stable")
             where, masks, done = where[order], masks[order], 0
-            for part in slices(batch, 3):
+            for part in slices(batch, 3, PART_BYTES):
                 data, offsets = text_bytes_of(part.column(3))
                 a, b = np.searchsorted(where["unit"], [done, done + part.num_rows])
                 row, bit = np.nonzero(masks[a:b, None] >> np.arange(length - K + 1, dtype=np.uint32) & 1)

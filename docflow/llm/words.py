@@ -33,12 +33,12 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``size`` bytes of text, one row at least."""
     sizes = np.frombuffer(batch.column(column).buffers()[1], dtype=np.int32, count=batch.num_rows + batch.column(column).offset + 1)[batch.column(column).offset :].astype(np.int64)
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SLICE_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
