@@ -54,7 +54,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         .drop("contents")
     )
     found = rows.select("doc_id", "sha").join(winners, "sha")
-    nth = F.row_number().over(W.partitionBy("doc_id", "sha").orderBy("keep_id"))
+    # by one value of both columns: an own shuffle, so that adaptive execution may split the join's hot keys
+    nth = F.row_number().over(W.partitionBy(F.struct("doc_id", "sha")).orderBy("keep_id"))
     return found.select(
         "doc_id",
         "keep_id",
