@@ -9,7 +9,8 @@ A window that holds ``threshold`` of a template has at least the Jaccard similar
 number of bands is chosen so that one with that similarity collides with probability 1 - ``miss`` at least.
 
 A text can only match if it contains a whole shingle of a template. ``marks`` picks words so that each shingle has one
-of them, and texts with none of these are left out before any window is made: an exact filter, not a sample.
+of them; texts with none of these, and then texts without any whole shingle, are left out before any window is made:
+exact filters, not samples.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.llm.common import materialise
+
 #: Licence notices by name. A fixed list, in the wording in common use; pass others as ``templates``.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
@@ -91,14 +94,23 @@ def shingles_of(words: Column) -> Column:
     return F.when(n > 0, many).otherwise(F.array().cast("array<string>"))
 
 
-def banded(shingles: Column, n: int) -> Column:
-    """The least value of each of n hash functions over the shingles."""
-    hashed = F.transform(shingles, lambda s: F.xxhash64(s))
+def holds_a_shingle(words: Column, templates: dict[str, str]) -> Column:
+    """Whether an array of words has any shingle of any template."""
+    found = F.lit(False)
+    listed: dict[int, set[str]] = {}
+    for w in map(template_words, templates.values()):
+        listed.setdefault(min(len(w), SHINGLE), set()).update(" ".join(w[i : i + SHINGLE]) for i in range(shingle_count(len(w))))
+    for size, known in sorted(listed.items()):
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))  # noqa: B023
+        found = found | F.arrays_overlap(runs, F.array(*map(F.lit, sorted(known))))
+    return found
 
-    def least(band: int) -> Column:
-        return F.array_min(F.transform(hashed, lambda s: F.xxhash64(s, F.lit(band))))
 
-    return F.array(*map(least, range(n)))
+def banded(frame: DataFrame, shingles: str) -> DataFrame:
+    """A row for each band (0 to n_bands - 1) with the least value of the band's hash function over the shingles."""
+    hashed = frame.withColumn("_hashed", F.transform(shingles, lambda s: F.xxhash64(s)))
+    each = hashed.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("n_bands") - 1)))
+    return each.withColumn("value", F.array_min(F.transform("_hashed", lambda h: F.xxhash64(h, F.col("band"))))).drop("_hashed", "n_bands")
 
 
 def scan(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.75, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,31 +131,28 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, threshold: floa
     pattern = "(?i)(?:" + "|".join(re.escape(w) for w in marks(templates)) + ")"
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(pattern)).distinct()
     read = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
+    # as a table, or the words would be read anew for each shingle
+    read = materialise(read, "license-words").where(holds_a_shingle(F.col("words"), templates))
 
     classes = sorted({len(template_words(t)) for t in templates.values()})
     cut = F.explode(
-        F.array(*(F.struct(F.lit(n).alias("words_of_class"), F.lit(window_words(n)).alias("span"), F.lit(stride(n)).alias("step")) for n in classes))
+        F.array(*(F.struct(F.lit(n).alias("words_of_class"), F.lit(window_words(n)).alias("span"), F.lit(stride(n)).alias("step"), F.lit(bands(n, threshold, miss)).alias("n_bands")) for n in classes))
     )
     windows = (
         read.select("doc_id", "text_hash", "words", cut.alias("c"))
         .select("doc_id", "text_hash", "words", "c.*")
-        .select("doc_id", "text_hash", "words", "words_of_class", "span", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - F.col("span") + F.col("step") - 1, F.lit(0)), F.col("step"))).alias("first_word"))
+        .select("doc_id", "text_hash", "words", "words_of_class", "n_bands", "span", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - F.col("span") + F.col("step") - 1, F.lit(0)), F.col("step"))).alias("first_word"))
         .where(F.col("first_word") < F.size("words"))
-        .select("doc_id", "text_hash", "words_of_class", "first_word", F.slice("words", F.col("first_word") + 1, F.col("span")).alias("window"))
+        .select("doc_id", "text_hash", "words_of_class", "n_bands", "first_word", F.slice("words", F.col("first_word") + 1, F.col("span")).alias("window"))
         .withColumn("shingles", shingles_of(F.col("window")))
     )
     # a bounded table: one row for each template and band
-    known = spark.createDataFrame([(k, len(template_words(v)), template_words(v)) for k, v in templates.items()], "template_id string, words_of_class int, template_words array<string>")
-    known = known.select("template_id", "words_of_class", F.array_distinct(shingles_of(F.col("template_words"))).alias("template_shingles"))
-
-    def with_bands(frame: DataFrame) -> DataFrame:
-        """Bands by class: posexplode of as many values as the class has."""
-        values = F.coalesce(*(F.when(F.col("words_of_class") == n, banded(F.col("_shingles"), bands(n, threshold, miss))) for n in classes))
-        return frame.select(*(c for c in frame.columns if c != "_shingles"), F.posexplode(values).alias("band", "value"))
+    known = spark.createDataFrame([(k, len(w), bands(len(w), threshold, miss), w) for k, w in ((k, template_words(v)) for k, v in templates.items())], "template_id string, words_of_class int, n_bands int, template_words array<string>")
+    known = known.select("template_id", "words_of_class", "n_bands", F.array_distinct(shingles_of(F.col("template_words"))).alias("template_shingles"))
 
     retrieved = (
-        with_bands(windows.withColumn("_shingles", F.col("shingles")))
-        .join(F.broadcast(with_bands(known.withColumn("_shingles", F.col("template_shingles")))), ["words_of_class", "band", "value"])
+        banded(windows, "shingles")
+        .join(F.broadcast(banded(known, "template_shingles")), ["words_of_class", "band", "value"])
         .select("doc_id", "text_hash", "template_id", "first_word", F.size("window").cast("long").alias("n_words"), (F.size(F.array_intersect("shingles", "template_shingles")) / F.size("template_shingles")).alias("containment"))
         .where(F.col("containment") >= threshold)
     )
