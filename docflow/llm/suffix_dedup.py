@@ -314,7 +314,7 @@ def send_contexts(units: DataFrame, marks: DataFrame, length: int, n_buckets: in
         if left.num_rows and right.num_rows:
             known = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in right["marks"]]))
             batch, docs = block_units(left)
-            block, done = left["block"][0].as_py(), 0
+            block, done, held = left["block"][0].as_py(), 0, []
             for part in slices(batch, 3, PART_BYTES):
                 data, offsets = text_bytes_of(part.column(3))
                 h, text, first, last = anchors(data, offsets, length)
@@ -326,11 +326,13 @@ def send_contexts(units: DataFrame, marks: DataFrame, length: int, n_buckets: in
                     wide[np.arange(most)[None, :] >= sizes[:, None]] = 0
                     where = np.empty(len(h), dtype=WHERE)
                     where["unit"], where["at"] = text + done, first - offsets[text]
-                    # equal contexts next to each other compress
-                    order = np.argsort(h, kind="stable")
-                    h, text, sizes, wide, where = h[order], text[order], sizes[order], wide[order], where[order]
-                    out += [(b, block, *x) for b, x in by_bucket(spread_hash(h), [packed_hashes(h), wide, sizes, where, docs[text + done]], n_buckets)]
+                    held.append((h, wide, sizes, where, docs[text + done]))
                 done += part.num_rows
+            if held:
+                h, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(h, kind="stable")  # equal contexts next to each other compress
+                h, rest = h[order], [x[order] for x in rest]
+                out = [(b, block, *x) for b, x in by_bucket(spread_hash(h), [packed_hashes(h), *rest], n_buckets)]
         kinds = {"bucket": pa.int32(), "block": pa.int32(), "anchors": pa.binary(), "contexts": pa.binary(), "sizes": pa.binary(), "where_": pa.binary(), "docs": pa.binary()}
         return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds.values())], names=list(kinds))
 
@@ -453,7 +455,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     blocks, buckets = buckets_for(n_bytes), buckets_for(n_bytes / 2)
     units = distinct_units(df, id_col, text_col, blocks)
     marks = shared_anchors(send_anchors(units, length, buckets), buckets, blocks)
-    found = repeats(send_contexts(units, marks, length, buckets), length, buckets)
+    fine = buckets_for(2 * n_bytes)  # contexts are several times the text that repeats
+    found = repeats(send_contexts(units, marks, length, fine), length, fine)
     by_text = cover(units, found, length, keep_bytes)
     empty = F.sha2(F.lit(""), 256)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
