@@ -35,6 +35,8 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
 }
 SHINGLE = 5
+#: Words of texts in a task.
+TASK_WORDS = 500_000
 #: A word: letters, digits and inner points.
 WORD = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*+"
 MATCHES = "doc_id long, template_id string, containment double, first_word long, n_words long, n_windows long"
@@ -132,7 +134,10 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, threshold: floa
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(pattern)).distinct()
     read = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
     # as a table, or the words would be read anew for each shingle
-    read = materialise(read, "license-words").where(holds_a_shingle(F.col("words"), templates))
+    read = materialise(read, "license-words")
+    words = int(read.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"])
+    # small tables come in few files, but windows are much work
+    read = read.repartition(max(12, math.ceil(words / TASK_WORDS)), "text_hash").where(holds_a_shingle(F.col("words"), templates))
 
     classes = sorted({len(template_words(t)) for t in templates.values()})
     cut = F.explode(
