@@ -4,11 +4,11 @@ DataFrame functions only. Texts that hold neither @ nor a digit can't hold a spa
 cut into lines (no pattern matches a line end), and positions follow from running sums over the pieces that ``split``
 leaves and the matches between them.
 
-Then each base span's value is a protected entity. A term is a word of letters in the same line, at most ``reach``
-terms away. With p estimated over the distinct lines of all documents, PMI(e; t) = log2 p(e, t) / (p(e) p(t)) is what
-t reveals of e, and IC(e) = -log2 p(e) is all there is to reveal. Where PMI / IC reaches ``disclosure`` and at least
-``support`` distinct lines show both, t is disclosing for e: the term is generalised, or removed from ``removal`` up.
-Copies of a line count once, so repeated documents prove nothing.
+Then each base span's value is a protected entity. A term is a word of letters in the same line. With p estimated over
+the distinct lines of all documents, PMI(e; t) = log2 p(e, t) / (p(e) p(t)) is what t reveals of e, and
+IC(e) = -log2 p(e) is all there is to reveal. Where PMI / IC reaches ``disclosure`` and at least ``support`` distinct
+lines show both, t is disclosing for e: the term is generalised, or removed from ``removal`` up, wherever it stands in
+any line of any document. Copies of a line count once, so repeated documents prove nothing.
 """
 
 from __future__ import annotations
@@ -81,56 +81,86 @@ def base_spans(lines: DataFrame) -> DataFrame:
     return found.select("text_key", "line_no", "at", "line_hash", "kind", "k", "start", "end", F.concat("kind", F.lit(":"), value).alias("value"))
 
 
-def disclosing_spans(df: DataFrame, lines: DataFrame, base: DataFrame, text_col: str, disclosure: float, removal: float, support: int, reach: int) -> DataFrame:
-    """Spans of disclosing terms, like base_spans; kind is term, k follows the four kinds, value is remove or generalise."""
+def free_terms(hosts: DataFrame, base: DataFrame) -> DataFrame:
+    """text_key, line_no, at, line_hash, start, end, term: the terms in lines with base spans that no base span overlaps."""
     key = ["text_key", "line_no"]
-    hosts = lines.join(base.select(*key).distinct(), key, "left_semi")
     words = with_matches(hosts, {"term": TERM}, [*key, "at", "line_hash"])
     # a term that a base span overlaps is part of it: running ends and the next start tell
     one = [*key, "at", "line_hash", "start", "end"]
-    marks = words.select(*one, F.lower("match").alias("term"), F.lit(None).cast("string").alias("value")).unionByName(base.select(*one, F.lit(None).cast("string").alias("term"), "value"))
-    own = F.col("value").isNotNull()
-    by = W.partitionBy(*key).orderBy("start", F.col("value").isNull(), "end")
+    marks = words.select(*one, F.lower("match").alias("term")).unionByName(base.select(*one, F.lit(None).cast("string").alias("term")))
+    own = F.col("term").isNull()
+    by = W.partitionBy(*key).orderBy("start", ~own, "end")
     placed = marks.withColumns(
         {
             "reached": F.max(F.when(own, F.col("end"))).over(by.rowsBetween(W.unboundedPreceding, 0)),
             "next": F.min(F.when(own, F.col("start"))).over(by.rowsBetween(0, W.unboundedFollowing)),
         }
     )
-    free = placed.where(own | ((F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))))
-    numbered = free.withColumn("i", F.count("term").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    terms = numbered.where(F.col("value").isNull()).select(*key, "at", "line_hash", "start", "end", "term", "i")
-    near = numbered.where(F.col("value").isNotNull()).select(*key, "value", F.explode(F.sequence(F.col("i") - reach + 1, F.col("i") + reach)).alias("i"))
-    both = materialise(terms.join(near, [*key, "i"]).drop("i"), "pii-near")
+    free = placed.where(~own & (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
+    return free.select(*one, "term")
 
-    entities = base.groupBy("value").agg(F.countDistinct("line_hash").alias("n_e"))
+
+def said_in(text: str, *keys: Column) -> list[Column]:
+    """Columns for a select: the keys, and each distinct word of the text column as ``word``."""
+    return [*keys, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("word")]
+
+
+def disclosing_terms(df: DataFrame, terms: DataFrame, base: DataFrame, text_col: str, disclosure: float, removal: float, support: int) -> DataFrame:
+    """term, value (remove or generalise). A line is the unit of all counts; a term within a base span doesn't count."""
     everywhere = df.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line"))
     n = float(everywhere.agg(F.countDistinct(F.xxhash64("line")).alias("n")).first()["n"])
     ic = F.log2(F.lit(n) / F.col("n_e"))
 
-    def ratio(n_t: str) -> Column:
-        return F.when(ic > 0, F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / ic)
-
-    # a term is in at least as many lines as stand near spans; what that rules out needs no count of all lines
-    near_lines = both.groupBy("term").agg(F.countDistinct("line_hash").alias("least_n_t"))
-    together = both.groupBy("value", "term").agg(F.countDistinct("line_hash").alias("n_et")).where(F.col("n_et") >= support)
-    together = materialise(together.join(entities, "value").join(near_lines, "term").where(ratio("least_n_t") >= disclosure).select("value", "term", "n_et", "n_e"), "pii-together")
+    def ratio(n_et: Column, n_t: Column) -> Column:
+        return F.when(ic > 0, F.log2(F.lit(n) * n_et / (F.col("n_e") * n_t)) / ic)
+
+    # what can't reach support or disclosure, whatever other lines say, needs no pair: n_et <= n_e and n_et <= least_n_t <= n_t
+    at_least = F.col("n_lines") >= support
+    entities = base.select("value", "line_hash").distinct()
+    entities = entities.join(entities.groupBy("value").agg(F.count(F.lit(1)).alias("n_lines")).where(at_least).withColumnRenamed("n_lines", "n_e"), "value")
+    shown = terms.select("term", "line_hash").distinct()
+    shown = shown.join(shown.groupBy("term").agg(F.count(F.lit(1)).alias("n_lines")).where(at_least).withColumnRenamed("n_lines", "least_n_t"), "term")
+    possible = ratio(F.least("n_e", "least_n_t"), F.col("least_n_t")) >= disclosure - 1e-9
+    pairs = entities.join(shown, "line_hash").where(possible).groupBy("value", "term", "n_e", "least_n_t").agg(F.count(F.lit(1)).alias("n_et"))
+    together = materialise(pairs.where((F.col("n_et") >= support) & (ratio(F.col("n_et"), F.col("least_n_t")) >= disclosure)), "pii-together")
     wanted = materialise(together.select("term").distinct(), "pii-wanted")
-    if wanted.count() <= FEW_TERMS:
-        wanted = F.broadcast(wanted)
-    said = everywhere.select(F.xxhash64("line").alias("h"), F.explode(F.array_distinct(F.split(F.lower("line"), r"\P{L}+"))).alias("term"))
-    counts = said.join(wanted, "term", "left_semi").groupBy("term").agg(F.countDistinct("h").alias("n_t"))
-    told = together.join(counts, "term").withColumn("ratio", ratio("n_t")).where(F.col("ratio") >= disclosure)
-    hit = both.join(told.select("value", "term", "ratio"), ["value", "term"]).groupBy(*key, "at", "start", "end").agg(F.max("ratio").alias("ratio"))
-    return hit.select(*key, "at", F.lit("term").alias("kind"), F.lit(len(KINDS)).alias("k"), "start", "end", F.when(F.col("ratio") >= removal, "remove").otherwise("generalise").alias("value"))
-
-
-def all_spans(df: DataFrame, text_col: str = "text", disclosure: float = 0.9, removal: float = 0.999, support: int = 2, reach: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The lines that can hold spans, and the spans of the base kinds and of the disclosing terms. Lines and base spans
-    are written once, for each distinct text."""
+    said = everywhere.select(*said_in("line", F.xxhash64("line").alias("line_hash"))).select("line_hash", F.lower("word").alias("term"))
+    elsewhere = said.join(few(wanted), "term", "left_semi").distinct().join(base.select("line_hash").distinct(), "line_hash", "left_anti")
+    counts = elsewhere.groupBy("term").agg(F.count(F.lit(1)).alias("n_other"))
+    told = together.join(counts, "term", "left").withColumn("ratio", ratio(F.col("n_et"), F.col("least_n_t") + F.coalesce("n_other", F.lit(0)))).where(F.col("ratio") >= disclosure)
+    return told.groupBy("term").agg(F.when(F.max("ratio") >= removal, "remove").otherwise("generalise").alias("value"))
+
+
+def few(terms: DataFrame) -> DataFrame:
+    """The terms, sent to all executors where they are few."""
+    return F.broadcast(terms) if terms.count() <= FEW_TERMS else terms
+
+
+def all_spans(df: DataFrame, text_col: str = "text", disclosure: float = 0.9, removal: float = 0.999, support: int = 2) -> tuple[DataFrame, DataFrame, Column]:
+    """The lines that can hold spans, the spans of the base kinds and of the disclosing terms, and whether a row's text
+    can have any. Lines and base spans are written once, for each distinct text."""
+    key = ["text_key", "line_no"]
+    text = F.col(text_col)
     lines = materialise(lines_of(suspects(df, text_col)), "pii-lines")
     base = materialise(base_spans(lines), "pii-base")
-    return lines, base.drop("line_hash").unionByName(disclosing_spans(df, lines, base, text_col, disclosure, removal, support, reach))
+    terms = materialise(free_terms(lines.join(base.select(*key).distinct(), key, "left_semi"), base), "pii-terms")
+    told = materialise(disclosing_terms(df, terms, base, text_col, disclosure, removal, support), "pii-told")
+    spans = base.drop("line_hash")
+    if told.isEmpty():
+        return lines, spans, suspect(text)
+    sent = few(told)
+    # texts without @ and digits that say a disclosing term
+    others = df.where(~suspect(text)).select(F.sha2(text, 256).alias("text_key"), text.alias("text"))
+    tell = others.select(*said_in("text", F.col("text_key"))).select("text_key", F.lower("word").alias("term")).join(sent, "term", "left_semi").select("text_key").distinct()
+    more = materialise(lines_of(others.join(tell, "text_key", "left_semi").dropDuplicates(["text_key"])), "pii-more")
+    # and all lines without base spans
+    rest = lines.join(base.select(*key).distinct(), key, "left_anti").unionByName(more)
+    tell = rest.select(*said_in("line", *map(F.col, key))).select(*key, F.lower("word").alias("term")).join(sent, "term", "left_semi").select(*key).distinct()
+    words = with_matches(rest.join(tell, key, "left_semi"), {"term": TERM}, [*key, "at"]).withColumn("term", F.lower("match"))
+    one = [*key, "at", "start", "end", "term"]
+    hit = words.select(*one).unionByName(terms.select(*one)).join(sent, "term")
+    hit = hit.select(*key, "at", F.lit("term").alias("kind"), F.lit(len(KINDS)).alias("k"), "start", "end", "value")
+    return lines.unionByName(more), spans.unionByName(hit), F.coalesce(text.rlike(r"[@0-9]|\p{L}{3}"), F.lit(False))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
@@ -141,16 +171,16 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **option
     * A term is a span of its own kind, after the base kinds; kinds are told apart even where their spans overlap.
     * No rows in, no rows out. Only the two columns named are read.
     """
-    _, spans = all_spans(df, text_col, **options)
+    _, spans, could = all_spans(df, text_col, **options)
     start, end = F.col("at") + F.col("start"), F.col("at") + F.col("end")
     said = F.struct("k", start.alias("s"), F.concat_ws(":", "kind", start, end).alias("said"))
     joined = lambda least: F.array_join(F.transform(F.filter("all", lambda x: x["k"] < least), lambda x: x["said"]), ",")
     counts = [F.count_if(F.col("kind") == name).alias(f"n_{name}") for name in KINDS]
     by_text = spans.groupBy("text_key").agg(*counts, F.array_sort(F.collect_list(said)).alias("all"))
     found = by_text.select("text_key", *(f"n_{x}" for x in KINDS), F.sha2(joined(len(KINDS)), 256).alias("base_sha256"), joined(len(KINDS) + 1).alias("spans"))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    met = rows.where(suspect(F.col("text"))).select("doc_id", F.sha2("text", 256).alias("text_key")).join(found, "text_key", "left")
-    rest = rows.where(~suspect(F.col("text"))).select("doc_id")
+    doc_id = F.col(id_col).cast("long").alias("doc_id")
+    met = df.where(could).select(doc_id, F.sha2(text_col, 256).alias("text_key")).join(found, "text_key", "left")
+    rest = df.where(~could).select(doc_id)
     none = {f"n_{x}": F.lit(0).cast("long") for x in KINDS} | {"base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit("")}
     return met.select("doc_id", *(F.coalesce(c, x).alias(c) for c, x in none.items())).unionByName(rest.select("doc_id", *(x.alias(c) for c, x in none.items())))
 
@@ -159,7 +189,7 @@ def sanitise(df: DataFrame, text_col: str = "text", **options: float) -> DataFra
     """The rows of ``df`` with each span of ``text_col`` replaced: base kinds by their name in capitals and brackets,
     generalised terms by [TERM], removed ones by nothing. Overlapping spans are replaced together, under the first's
     name. Rows without spans stay as they are; so do all other columns."""
-    lines, spans = all_spans(df, text_col, **options)
+    lines, spans, could = all_spans(df, text_col, **options)
     key = ["text_key", "line_no"]
     by = W.partitionBy(*key).orderBy("start", "k")
     ahead = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
@@ -177,6 +207,6 @@ def sanitise(df: DataFrame, text_col: str = "text", **options: float) -> DataFra
     changed = cut.groupBy(*key).agg(F.array_join(in_order("start", F.col("part")), "").alias("clean"))
     parts = lines.join(changed.select("text_key").distinct(), "text_key", "left_semi").join(changed, key, "left")
     texts = parts.groupBy("text_key").agg(F.array_join(in_order("line_no", F.coalesce("clean", "line")), "\n").alias("_clean")).withColumnRenamed("text_key", "_clean_key")
-    met = df.where(suspect(F.col(text_col))).withColumn("_text_key", F.sha2(F.col(text_col), 256)).join(texts, F.col("_text_key") == F.col("_clean_key"), "left")
+    met = df.where(could).withColumn("_text_key", F.sha2(F.col(text_col), 256)).join(texts, F.col("_text_key") == F.col("_clean_key"), "left")
     cleaned = met.select(*(F.coalesce("_clean", F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in df.columns))
-    return cleaned.unionByName(df.where(~suspect(F.col(text_col))))
+    return cleaned.unionByName(df.where(~could))

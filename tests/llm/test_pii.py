@@ -66,6 +66,19 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[1] == "the agent  wrote from [EMAIL] common words" and clean[4] == "words common [EMAIL] here" and clean[100] == filler[0][1]
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    filler = [(100 + i, f"common words stand here and there number line {chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(400)]
+    far = " ".join(f"w{chr(97 + i)}x" for i in range(15))
+    told = [(1, "the agent zorblax wrote from z@y.xw common words"), (2, "call zorblax at z@y.xw and there"), (3, f"common words\nZorblax {far} zorblax"), (4, f"Zorblax {far} there z@y.xw words"), (5, "zorblax@other.example 7")]
+    df = spark.createDataFrame(filler + told, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in find(df).collect()}
+    n = len(far)
+    assert found[3] == f"term:13:20,term:{22 + n}:{29 + n}"
+    assert found[4] == f"email:{15 + n}:{21 + n},term:0:7" and found[5] == "email:0:21" and found[100] == ""
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    assert not [t for t in clean.values() if "zorblax" in t.lower()] and clean[100] == filler[0][1]
+
+
 def test_copies_of_one_line_prove_nothing(spark):
     filler = [(100 + i, f"line {chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(300)]
     df = spark.createDataFrame(filler + [(i, "only zorblax wrote z@y.xw") for i in range(5)], "doc_id long, text string")
