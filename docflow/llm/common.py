@@ -47,6 +47,17 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has such a column already (names are compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     """Number of rows and UTF-8 bytes of all texts."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()

@@ -1,74 +1,121 @@
 """Exact deduplication by skew-safe combining, with DataFrame functions only.
 
-Three stages, each of which groups by the digest *and* the full normalised text, so that contents are compared
-whenever rows are combined:
+Digests are written once, with a number for each row. Counted by digest they tell which texts are hot: those with more
+than ``HOT_ROWS`` rows and more than ``HOT_SHARE`` of all rows, of which there are 1 / HOT_SHARE at most. A hot digest
+gets as many salts as it takes for each to stand for an even share of its rows. Then three stages combine texts, each
+by the digest *and* the full normalised text, so that contents are compared whenever rows are combined:
 
 1. local: the map-side half of the first aggregation leaves one row per text and input partition;
-2. salted: those rows meet by (salt, digest, text), where the salt comes from the input partition;
-3. global: at most ``salts`` winners of each text meet by digest and text.
+2. salted: those rows meet by (digest, salt, text), where the salt comes from the input partition;
+3. global: the winners of all salts meet by digest. Where there were several salts, texts travel along and are compared
+   again; a digest of one salt has met all its texts already, so more than one of them means that contents differ.
 
-However many rows share a text, a task of stage 2 receives at most one of its rows per input partition with that salt,
-and one of stage 3 at most ``salts``. Rows get their group's winner by a join on the digest without texts; its hot
-keys are split by adaptive execution. Two texts of one SHA-256 digest would stop the job in stage 3, so the join on
-the digest can't confuse contents.
+So each distinct text of an input partition crosses the network once, and only hot texts twice. Rows get their group's
+winner by a join on (digest, salt) without texts. Two texts of one SHA-256 digest would stop the job, so the join on the
+digest can't confuse contents.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docflow.llm.common import fresh, materialise, write_table
+
 #: Each run of these characters counts as one space.
 SPACES = r"[\x20\x09-\x0D]+"
+#: A digest is hot with more rows than this and than this share of all.
+HOT_ROWS, HOT_SHARE = 256, 1e-5
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256.
+def digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
 
-    * Null texts count as empty, and empty texts form one group.
-    * keep_id is the least id of the group; null ids come last (keep_id is null only if all ids of a group are).
-    * Of repeated rows (same id and text) just one is kept; which one makes no difference to this result.
-    * No rows in, no rows out. Other columns of ``df`` are not read, whatever their names.
-    """
-    text = normalised(F.col(text_col))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm")).withColumn("sha", F.sha2("norm", 256))
 
-    salted = (
-        rows.withColumn("salt", F.spark_partition_id() % salts)
-        .groupBy("salt", "sha", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    )
+@dataclass(frozen=True)
+class Combined:
+    """Tables of one run: each row's digest (row, doc_id, sha), the hot digests (sha, salts), and the texts' winners
+    (sha, keep_id, group_size, keep_row, same: rows that share the winner's id and text)."""
+
+    rows: DataFrame
+    hot: DataFrame
+    winners: DataFrame
+
+
+def salted(frame: DataFrame, hot: DataFrame, by: Column) -> DataFrame:
+    """Adds salt (0 but for rows of hot digests) and salts. ``hot`` has 1 / HOT_SHARE rows at most."""
+    return frame.join(F.broadcast(hot), "sha", "left").withColumn("salt", F.coalesce(F.pmod(by, "salts"), F.lit(0)).cast("int"))
+
+
+def combined(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS) -> Combined:
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("sha", digest(F.col("norm")))
+    rows = materialise(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sha"), "dedup-rows")
+    least = max(hot_rows, HOT_SHARE * rows.count())
+    counts = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialise(counts.where(F.col("n") > least).select("sha", F.ceil(F.col("n") / least).alias("salts")), "dedup-hot")
+
+    dealt = salted(texts, hot, F.spark_partition_id())
+    met = dealt.groupBy("sha", "salt", "salts", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     winners = (
-        salted.drop("salt")
+        met.select("sha", F.when(F.col("salts").isNotNull(), F.col("norm")).alias("content"), "keep_id", "n")
         .repartition("sha")
-        .groupBy("sha", "norm")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        .groupBy("sha", "content")
+        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.when(F.col("content").isNull(), F.count(F.lit(1))).otherwise(1).alias("contents"))
         .groupBy("sha")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("contents"))
-        .withColumn("group_size", F.when(F.col("contents") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")).otherwise(F.col("group_size")))
-        .drop("contents")
+        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.sum("contents").alias("contents"))
     )
-    found = rows.select("doc_id", "sha").join(winners, "sha")
-    # by one value of both columns: an own shuffle, so that adaptive execution may split the join's hot keys
-    nth = F.row_number().over(W.partitionBy(F.struct("doc_id", "sha")).orderBy("keep_id"))
+    size = F.when(F.col("contents") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long")).otherwise(F.col("n"))
+    first = rows.groupBy("sha", "doc_id").agg(F.min("row").alias("keep_row"), F.count(F.lit(1)).alias("same")).withColumnRenamed("sha", "own_sha")
+    found = winners.select("sha", "keep_id", size.alias("group_size")).join(first, (F.col("sha") == F.col("own_sha")) & F.col("keep_id").eqNullSafe(F.col("doc_id")))
+    return Combined(rows, hot, found.select("sha", "keep_id", "group_size", "keep_row", "same"))
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    * Null texts count as empty, and empty texts form one group. Very long texts are compared whole.
+    * keep_id is the least id of the group; null ids come last (keep_id is null only if all ids of a group are).
+    * Of repeated rows (same id and text) just one is kept; which one makes no difference to this result.
+    * No rows in, no rows out. Other columns of ``df`` are not read, whatever their names.
+    """
+    c = combined(df, id_col, text_col, hot_rows)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)).cast("int") - 1)).alias("salt")
+    winners = c.winners.join(F.broadcast(c.hot), "sha", "left").select("sha", "keep_id", "group_size", "keep_row", every)
+    found = salted(c.rows, c.hot, F.col("row")).drop("salts").join(winners, ["sha", "salt"])
     return found.select(
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that exact_dedup keeps, with all their columns."""
-    keep = exact_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    keyed = df.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    met = keyed.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    first = W.partitionBy(id_col, "_sha").orderBy(F.lit(0))
-    return met.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*df.columns)
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of ``df`` that exact_dedup keeps, with all their columns, whatever the others' names.
+
+    Nulls, empty texts, ties and empty tables are as there; of rows with one id and text any one stays. Whole rows are
+    shuffled once, to meet the winners' ids and digests.
+    """
+    spark, (sha, key, own, same) = df.sparkSession, fresh(df, "sha", "keep_id", "keep_sha", "same")
+    path = write_table(combined(df, id_col, text_col, hot_rows).winners.select(F.col("keep_id").alias(key), F.col("sha").alias(own), F.col("same").alias(same)), "dedup-winners")
+    winners = spark.read.parquet(path)
+    keyed = df.withColumn(sha, digest(normalised(F.col(text_col))))
+
+    def meet(some: DataFrame) -> DataFrame:
+        return keyed.join(some, (F.col(sha) == F.col(own)) & F.col(id_col).cast("long").eqNullSafe(F.col(key)))
+
+    repeated = winners.where(F.col(same) > 1)
+    if repeated.isEmpty():
+        return meet(winners).select(*df.columns)
+    # rows of one id and text are combined before they are shuffled
+    one = meet(repeated).groupBy(key, sha).agg(F.first(F.struct(*df.columns)).alias(own)).select(f"{own}.*")
+    return meet(winners.where(F.col(same) == 1)).select(*df.columns).unionByName(one)
+
+

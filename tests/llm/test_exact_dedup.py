@@ -39,5 +39,16 @@ def test_one_text_in_all_rows(spark):
     assert len(rows) == 3000 and {(r.keep_id, r.group_size) for r in rows} == {(0, 3000)} and sum(r.kept for r in rows) == 1
 
 
+def test_hot_texts_are_salted(docs, rows):
+    """With a bound of two rows several texts are hot, so their contents meet again in the global stage."""
+    assert sorted((tuple(r) for r in exact_dedup(docs, hot_rows=2).collect()), key=repr) == brute(rows)
+    assert sorted(repr(r.doc_id) for r in drop_copies(docs, hot_rows=2).collect()) == sorted(repr(r.doc_id) for r in drop_copies(docs).collect())
+
+
+def test_columns_that_clash_keep_their_values(spark):
+    df = spark.createDataFrame([(1, "a", "s1", "k1", 7, "w1"), (2, "a", "s2", "k2", 8, "w2"), (3, "b", "s3", "k3", 9, None), (3, "b", "s3", "k3", 9, None)], "doc_id long, text string, sha string, keep_id string, same long, _sha string")
+    assert sorted(map(tuple, drop_copies(df).collect())) == [(1, "a", "s1", "k1", 7, "w1"), (3, "b", "s3", "k3", 9, None)]
+
+
 def test_no_rows(no_docs):
     assert exact_dedup(no_docs).count() == 0 and drop_copies(no_docs).count() == 0
