@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -85,6 +88,88 @@ def test_copies_of_one_line_prove_nothing(spark):
     assert {r.spans for r in find(df).where("doc_id < 5").collect()} == {"email:19:25"}
 
 
+def brute_spans(rows, disclosure=0.9, support=(2, 3, 5)):
+    """All spans by the definition: distinct lines, every pair of an entity and a term counted one by one."""
+    secret = re.compile(r"[=:][ \t]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9+/_-]{19,})")
+    words = lambda line: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", line)]
+    spans = lambda line: brute(line) + [("secret", m.start(1), m.end(1)) for m in secret.finditer(line) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+    lines = {line for _, t in rows for line in (t or "").split("\n") if t is not None}
+    with_e, with_t, both = defaultdict(set), defaultdict(set), defaultdict(set)
+    for line in lines:
+        own, entities = spans(line), set()
+        for kind, a, b in own:
+            digits = re.sub("[^0-9]", "", line[a:b])
+            value = digits if kind in ("card", "phone") else line[a:b] if kind == "secret" else line[a:b].lower()
+            wide = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}.get(kind)
+            entities |= {(0, kind, value), (2, kind)} | ({(1, kind, wide)} if wide else set())
+        terms = {w for x, y, w in words(line) if not any(x < b and a < y for _, a, b in own)}
+        for t in terms:
+            with_t[t].add(line)
+        for e in entities:
+            with_e[e].add(line)
+            for t in terms:
+                both[e, t].add(line)
+    n, told = len(lines), set()
+    for (e, t), x in both.items():
+        ic = math.log2(n / len(with_e[e]))
+        if len(x) >= support[e[0]] and ic > 0 and math.log2(n * len(x) / (len(with_e[e]) * len(with_t[t]))) / ic >= disclosure:
+            told.add(t)
+    out = []
+    for doc, text in rows:
+        found, at = [], 0
+        for line in (text or "").split("\n"):
+            own = spans(line)
+            free = [("term", x, y) for x, y, w in words(line) if w in told and not any(x < b and a < y for _, a, b in own)]
+            found += [(k, a + at, b + at) for k, a, b in own + free]
+            at += len(line) + 1
+        rank = ["email", "ip", "card", "phone", "secret", "term"].index
+        out.append((repr(doc), ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda x: (rank(x[0]), x[1])))))
+    return sorted(out), told
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_all_spans_are_those_of_plain_counts(spark, seed):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdeghi") for _ in range(r.randint(2, 6))) for _ in range(60)]
+    people = [(f"{w}@d{k % 3}.example", f"agent{w}xx") for k, w in enumerate("abc def gei".split())]
+    rows = []
+    for i in range(260):
+        said = [r.choice(words) for _ in range(r.randint(1, 9))]
+        kind = r.random()
+        if kind < 0.2:
+            mail, name = r.choice(people)
+            said += [mail, name.upper() if r.random() < 0.2 else name]
+        elif kind < 0.3:
+            said += ["vouch", "=", '"' + "".join(r.choice("0123456789abcdef") for _ in range(30)) + '"']
+        elif kind < 0.4:
+            said += [f"10.{r.randint(0, 2)}.{r.randint(0, 255)}.1", r.choice(["vialink", r.choice(words)])]
+        elif kind < 0.42:
+            said += ["agentabcxx", "vialink"]
+        if kind < 0.5 or r.random() < 0.1:
+            r.shuffle(said) if not 0.2 <= kind < 0.3 else None
+        rows.append((i, " ".join(said) if r.random() < 0.9 else "\n".join(said)))
+    rows += [(5, rows[5][1]), (None, rows[6][1]), (400, None), (401, "")]
+    expected, told = brute_spans(rows)
+    assert told
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((repr(x.doc_id), x.spans) for x in find(df).collect()) == expected
+
+
+def test_secrets_and_the_word_before_them(spark):
+    filler = [(100 + i, f"common words stand here and there number line {chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(400)]
+    told = [(i, f'common {chr(97 + i)} token = "{i}ab{"0c9f" * 9}" and') for i in range(6)]
+    df = spark.createDataFrame([*filler, *told, (50, "a token alone"), (51, "x = 1234567890123456789012")], "doc_id long, text string")
+    found = {x.doc_id: x for x in find(df).collect()}
+    assert found[1].spans == "secret:18:57,term:9:14" and (found[1].n_secret, found[1].n_term) == (1, 1)
+    assert found[50].spans == "term:2:7" and found[51].spans == found[100].spans == "" and found[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert {x.doc_id: x.text for x in sanitise(df).collect()}[1] == 'common b  = "[SECRET]" and'
+
+
+def test_columns_that_clash_keep_their_values(spark):
+    df = spark.createDataFrame([(1, "a@b.cd 7", "c1", "k1", "t1", 9), (2, "none", "c2", "k2", "t2", None)], "doc_id long, text string, clean string, _clean string, text_key string, kind long")
+    assert sorted(map(tuple, sanitise(df).collect())) == [(1, "[EMAIL] 7", "c1", "k1", "t1", 9), (2, "none", "c2", "k2", "t2", None)]
+
+
 def test_sanitised_rows_keep_their_columns(odd, docs, rows):
     clean = sanitise(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
