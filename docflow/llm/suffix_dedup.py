@@ -15,8 +15,13 @@ A string of ``length`` bytes is looked for in all documents of smaller id. No ta
    sorted again. The least document of an interval decides for all its windows.
 4. Windows found in smaller documents go back to their texts, which cover their bytes.
 
-Equal texts collapse before all this, in each input block and where they meet: of their rows those of the least id are
-judged as above, the others repeat it throughout.
+Equal texts collapse before all this, by their digest: a task sends a text once, and a text with very many rows (its
+digest is counted first) is sent by the row of its least id only. Rows of the least id are judged as above, the others
+repeat it throughout. A task sends an anchor for two of its texts at most: that tells that several texts share it, and
+its other texts are marked at once.
+
+What stays in one place is what different contexts one anchor of ``K`` bytes has. Their transforms are sharded and
+merged, but within one task.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import buckets_for, text_bytes
+from docflow.llm.common import buckets_for, text_bytes, write_table
 from docflow.llm.suffix_tree_lm import by_bucket, find_in
 from docflow.llm.words import mixed, slices, text_bytes_of
 
@@ -37,7 +42,11 @@ LENGTH = 50
 #: Bytes of an anchor.
 K = 20
 #: Bytes of contexts in a shard, and in what is merged of its own (more if one anchor has more).
-SHARD_BYTES, GROUP_BYTES = 1 << 17, 1 << 18
+SHARD_BYTES, GROUP_BYTES = 1 << 17, 1 << 17
+#: Anchors that a task combines before it sends them.
+HELD_ANCHORS = 2_000_000
+#: A text with more rows than this and than this share of all is sent by one row only; there are 1 / HOT_SHARE at most.
+HOT_ROWS, HOT_SHARE = 256, 1e-5
 #: Bytes of text whose anchors are looked for at a time; each takes some ten numbers of eight bytes.
 PART_BYTES = 1 << 20
 NO_ID = 2**63 - 1
@@ -111,10 +120,10 @@ def transform(symbols: np.ndarray, strings: int) -> tuple[np.ndarray, np.ndarray
         rank[order] = np.cumsum(new) - 1
         if new.all():
             break
-        beyond = np.minimum(np.arange(n) + width, n - 1)
-        key = rank * n + rank[beyond]
-        order = np.argsort(key, kind="stable")
-        new[1:] = key[order[1:]] != key[order[:-1]]
+        key = rank[order] * n + rank[np.minimum(order + width, n - 1)]  # in order but for ties, which are short runs
+        by = np.argsort(key, kind="stable")
+        order, key = order[by], key[by]
+        new[1:] = key[1:] != key[:-1]
         width *= 2
     return order, symbols[order - 1]
 
@@ -170,7 +179,7 @@ def least_owner(contexts: list[bytes], owner: np.ndarray, length: int) -> list[n
     place[ends - 1] = False
     symbols[place] = code[data]
     # at least two shards, unless there is a single context
-    shards = max(2, -(-int(ends[-1]) // SHARD_BYTES))
+    shards = max(2, round(int(ends[-1]) / SHARD_BYTES))
     cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(1, shards) * (int(ends[-1]) / shards)), [len(contexts)]]))
     if len(cuts) == 2 and len(contexts) > 1:
         cuts = np.array([0, len(contexts) // 2, len(contexts)])
@@ -196,23 +205,37 @@ def least_owner(contexts: list[bytes], owner: np.ndarray, length: int) -> list[n
 
 
 # ------------------------------------------------------------------------------------------------------ the job
-def distinct_units(df: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
-    """block, key, doc, text: the texts of each input block, once each, with the least id (nulls last)."""
-    key = F.xxhash64("text")
-    rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"))
-    keyed = rows.select(F.pmod(key, F.lit(blocks)).cast("int").alias("block"), key.alias("key"), "doc", "text")
+def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc (nulls last), text (null: empty), digest, key (of the digest) of each row."""
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("key", F.xxhash64("digest"))
+
+
+def distinct_units(rows: DataFrame, n_rows: int, blocks: int) -> DataFrame:
+    """block, key, doc, text, digest: each task's texts, once each; rows of later copies, with their least id, have no text."""
+    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("sender"))
+    hot = rows.sparkSession.read.schema("digest binary, sender long").parquet(write_table(counts.where(F.col("n") > max(HOT_ROWS, HOT_SHARE * n_rows)).select("digest", "sender"), "repeats-hot"))
+    sent = F.when(F.col("sender").isNull() | (F.col("sender") == F.col("doc")), F.col("text"))
+    keyed = rows.join(F.broadcast(hot), "digest", "left").select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), "key", "doc", sent.alias("text"), "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[int]] = {}  # of texts of this task: key, block, id sent, least id
+        told: set[bytes] = set()  # whose text has been sent
+        schema = None
         for b in batches:
-            keys, docs = b.column(1).to_numpy(), b.column(2).to_numpy()
-            order = np.lexsort((docs, keys))
-            first = np.ones(len(order), dtype=bool)
-            first[1:] = keys[order[1:]] != keys[order[:-1]]
-            # rows of one key and another text stay, whatever the key is
-            texts = b.column(3)
-            heads = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-            other = [not first[i] and texts[int(order[i])] != texts[int(heads[i])] for i in range(len(order))] if not first.all() else first * False
-            yield b.take(pa.array(np.sort(order[first | np.asarray(other, dtype=bool)])))
+            schema = b.schema
+            first = np.zeros(b.num_rows, dtype=bool)
+            texts = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            for i, (block, key, doc, digest) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True)):
+                at = known.setdefault(digest, [block, key, NO_ID, NO_ID])
+                at[3] = min(at[3], doc)
+                if texts[i] and digest not in told:
+                    told.add(digest)
+                    first[i], at[2] = True, doc
+            yield b.filter(pa.array(first))
+        rest = [(block, key, least, None, digest) for digest, (block, key, sent, least) in known.items() if least < sent or digest not in told]
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rest, strict=True), schema, strict=True)], schema=schema)
 
     return keyed.mapInArrow(run, keyed.schema)
 
@@ -232,21 +255,53 @@ def spread_hash(h: np.ndarray) -> np.ndarray:
     return mixed(h + np.uint64(7))
 
 
-def send_anchors(units: DataFrame, length: int, n_buckets: int) -> DataFrame:
+def send_anchors(units: DataFrame, length: int, n_buckets: int, blocks: int) -> DataFrame:
+    """bucket, hashes, keys: of each task's anchors two texts at most; block, marks: its other texts of such anchors."""
+
+    def combined(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, k = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, k = distinct_pairs(h, k)
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        few = nth < 2
+        rows = [(b, *x, None, None) for b, x in by_bucket(spread_hash(h[few]), [packed_hashes(h[few]), k[few]], n_buckets)]
+        rows += [(b % n_buckets, None, None, b, x) for b, x in by_block(marks_of(k[~few], h[~few]), k[~few], blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))], ["bucket", "hashes", "keys", "block", "marks"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for part in slices(batch, 3, PART_BYTES):
                 data, offsets = text_bytes_of(part.column(3))
                 h, text, _, _ = anchors(data, offsets, length)
-                order = np.lexsort((text, h))
-                once = np.ones(len(h), dtype=bool)
-                once[1:] = (h[order[1:]] != h[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-                order = np.sort(order[once])
-                h, keys = h[order], part.column(1).to_numpy()[text[order]]
-                rows = [(b, *x) for b, x in by_bucket(spread_hash(h), [packed_hashes(h), keys], n_buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "hashes", "keys"])
-
-    return units.mapInArrow(run, "bucket int, hashes binary, keys binary")
+                held.append((h, part.column(1).to_numpy()[text]))
+                n += len(h)
+                if n > HELD_ANCHORS:
+                    yield from combined(held)
+                    held, n = [], 0
+        if n:
+            yield from combined(held)
+
+    return units.mapInArrow(run, "bucket int, hashes binary, keys binary, block int, marks binary")
+
+
+def distinct_pairs(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs in order of h, then k."""
+    order = np.lexsort((k, h))
+    h, k = h[order], k[order]
+    once = np.ones(len(h), dtype=bool)
+    once[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    return h[once], k[once]
+
+
+def by_block(marks: np.ndarray, keys: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+    block = np.mod(keys, blocks)
+    by = np.argsort(block, kind="stable")
+    marks, block = marks[by], block[by]
+    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=blocks))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(block[a]), marks[a:b].tobytes()
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
@@ -263,22 +318,21 @@ def shared_anchors(sent: DataFrame, n_buckets: int, blocks: int) -> DataFrame:
     """block, marks: for the texts of each block, text and anchor mixed into one number, of anchors that several texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, keys in gather(batches):
-            h, k = unpacked_hashes(b"".join(hashes)), np.frombuffer(b"".join(keys), "<i8")
-            order = np.lexsort((k, h))
-            h, k = h[order], k[order]
-            once = np.ones(len(h), dtype=bool)
-            once[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-            h, k = h[once], k[once]
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            marked = batch.filter(batch.column(4).is_valid())
+            if marked.num_rows:
+                yield marked.select(["block", "marks"])
+            for bucket, hashes, keys in zip(*(c.to_pylist() for c in batch.filter(batch.column(1).is_valid()).columns[:3]), strict=True):
+                held.setdefault(bucket, []).append((hashes, keys))
+        while held:
+            hashes, keys = zip(*held.popitem()[1], strict=True)
+            h, k = distinct_pairs(unpacked_hashes(b"".join(hashes)), np.frombuffer(b"".join(keys), "<i8"))
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
             times = np.diff(np.append(first, len(h)))
             many = np.repeat(times, times) > 1
-            h, k = h[many], k[many]
-            block = np.mod(k, blocks)
-            by = np.argsort(block, kind="stable")
-            marks, block = marks_of(k, h)[by], block[by]
-            cuts = np.flatnonzero(np.diff(block, prepend=-1, append=blocks))
-            yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]].astype(np.int32)), pa.array([marks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["block", "marks"])
+            rows = list(by_block(marks_of(k[many], h[many]), k[many], blocks))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.binary()))], ["block", "marks"])
 
     return sent.repartition(n_buckets, "bucket").mapInArrow(run, "block int, marks binary")
 
@@ -293,16 +347,13 @@ WHERE = np.dtype([("unit", "<u4"), ("at", "<u4")])
 
 def block_units(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
     """The block's distinct texts in an order that rows can't change, and the least id of each."""
-    table = table.sort_by([("key", "ascending"), ("text", "ascending"), ("doc", "ascending")]).combine_chunks()
-    keys, texts = table["key"].to_numpy(), table["text"]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = keys[1:] != keys[:-1]
-    for i in np.flatnonzero(~first):
-        first[i] = texts[int(i)] != texts[int(i) - 1]
-    table = table.filter(pa.array(first)).combine_chunks()
-    batches = table.to_batches()
+    least = table.group_by("digest").aggregate([("doc", "min")]).sort_by("digest")
+    table = table.filter(table["text"].is_valid()).sort_by("digest").combine_chunks()
+    names = table["digest"].to_pylist()
+    first = [i == 0 or names[i] != names[i - 1] for i in range(len(names))]
+    batches = table.filter(pa.array(first, pa.bool_())).combine_chunks().to_batches()
     batch = batches[0] if batches else pa.RecordBatch.from_pylist([], schema=table.schema)
-    return batch, batch.column(2).to_numpy()
+    return batch, least["doc_min"].to_numpy()
 
 
 def send_contexts(units: DataFrame, marks: DataFrame, length: int, n_buckets: int) -> DataFrame:
@@ -400,11 +451,11 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
     return contexts.select("bucket", "block", "anchors", "contexts", "sizes", "where_", "docs").repartition(n_buckets, "bucket").mapInArrow(run, "block int, where_ binary, masks binary")
 
 
-FOUND = {"key": pa.int64(), "doc": pa.int64(), "text_size": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+FOUND = {"digest": pa.binary(), "doc": pa.int64(), "text_size": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
 
 
 def cover(units: DataFrame, found: DataFrame, length: int, keep_bytes: bool) -> DataFrame:
-    """For each distinct text: key, doc, text_size, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept."""
+    """For each distinct text: digest, doc, text_size, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         columns: list[list] = [[] for _ in FOUND]
@@ -431,36 +482,35 @@ def cover(units: DataFrame, found: DataFrame, length: int, keep_bytes: bool) ->
                 for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     n = int(removed[hi] - removed[lo])
                     kept = data[lo:hi][~gone[lo:hi]].tobytes() if n else raw[lo:hi]
-                    values = (part.column(1)[i].as_py(), int(docs[done + i]), hi - lo, n, int(spans[hi] - spans[lo]), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None)
+                    values = (part.column(4)[i].as_py(), int(docs[done + i]), hi - lo, n, int(spans[hi] - spans[lo]), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None)
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
                 done += part.num_rows
         return pa.table([pa.array(c, t) for c, t in zip(columns, FOUND.values(), strict=True)], names=list(FOUND))
 
-    return units.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "key long, doc long, text_size long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return units.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "digest binary, doc long, text_size long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for each row.
 
     * A byte goes if a string of ``length`` bytes that covers it starts in a document of smaller id as well.
-    * Null texts count as empty; texts of fewer than ``length`` bytes lose nothing. Spans can cut characters in two.
+    * Null texts count as empty, very long ones are read whole; texts of fewer than ``length`` bytes lose nothing. Spans can cut characters in two.
     * Null ids count as larger than all others. Rows of one id are not smaller than each other, so repeated rows and
       different texts of one id don't remove each other's bytes.
     * No rows in, no rows out. Only the two columns named are read.
     """
-    if not K < length <= K + 32:
-        raise ValueError(f"length must be from {K + 1} to {K + 32}")
-    _, n_bytes = text_bytes(df, text_col)
+    if not K < length <= K + 31:  # windows of a context are bits of a number
+        raise ValueError(f"length must be from {K + 1} to {K + 31}")
+    n_rows, n_bytes = text_bytes(df, text_col)
     blocks, buckets = buckets_for(n_bytes), buckets_for(n_bytes / 2)
-    units = distinct_units(df, id_col, text_col, blocks)
-    marks = shared_anchors(send_anchors(units, length, buckets), buckets, blocks)
+    units = distinct_units(digests(df, id_col, text_col), n_rows, blocks)
+    marks = shared_anchors(send_anchors(units, length, buckets, blocks), buckets, blocks)
     fine = buckets_for(2 * n_bytes)  # contexts are several times the text that repeats
     found = repeats(send_contexts(units, marks, length, fine), length, fine)
     by_text = cover(units, found, length, keep_bytes)
     empty = F.sha2(F.lit(""), 256)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    met = rows.join(by_text, "key")
+    met = df.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")).join(by_text, "digest")
     first = F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")
     whole = ~first & (F.col("text_size") >= length)
     out = met.select(

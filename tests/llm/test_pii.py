@@ -162,7 +162,7 @@ def test_secrets_and_the_word_before_them(spark):
     found = {x.doc_id: x for x in find(df).collect()}
     assert found[1].spans == "secret:18:57,term:9:14" and (found[1].n_secret, found[1].n_term) == (1, 1)
     assert found[50].spans == "term:2:7" and found[51].spans == found[100].spans == "" and found[1].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert {x.doc_id: x.text for x in sanitise(df).collect()}[1] == 'common b  = "[SECRET]" and'
+    assert {x.doc_id: x.text for x in sanitise(df).collect()}[1] == 'common b [TERM] = "[SECRET]" and'
 
 
 def test_columns_that_clash_keep_their_values(spark):

@@ -33,6 +33,26 @@ def test_bytes_removed_are_those_of_all_windows(docs, rows):
     assert sum(r[2] > 0 for r in found) > 30
 
 
+@pytest.mark.parametrize("length", [21, 51])
+def test_shortest_and_longest_strings(docs, rows, length):
+    assert sorted((tuple(r) for r in remove_repeats(docs, length=length).collect()), key=repr) == brute(rows, length)
+
+
+def test_lengths_that_have_no_mask(docs):
+    for length in (20, 52):
+        with pytest.raises(ValueError):
+            remove_repeats(docs, length=length)
+
+
+def test_texts_with_many_rows(spark, rows, monkeypatch):
+    from docflow.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 2)
+    many = [*rows, *((20_000 + i, rows[40 + i % 3][1]) for i in range(60)), *((None, rows[50][1]) for _ in range(5)), *((i, "passed on " * 9) for i in (7, 7, 7, 3))]
+    df = spark.createDataFrame(many, "doc_id long, text string").repartition(7)
+    assert sorted((tuple(r) for r in remove_repeats(df).collect()), key=repr) == brute(many)
+
+
 def test_no_rows(no_docs):
     assert remove_repeats(no_docs).count() == 0
 
