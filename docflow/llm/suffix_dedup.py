@@ -28,9 +28,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ K = 20
 #: Bytes of contexts in a shard, and in what is merged of its own (more if one anchor has more).
 SHARD_BYTES, GROUP_BYTES = 1 << 17, 1 << 17
 #: Anchors that a task combines before it sends them.
-HELD_ANCHORS = 2_000_000
+HELD_ANCHORS = 500_000
 #: A text with more rows than this and than this share of all is sent by one row only; there are 1 / HOT_SHARE at most.
 HOT_ROWS, HOT_SHARE = 256, 1e-5
 #: Bytes of text whose anchors are looked for at a time; each takes some ten numbers of eight bytes.
@@ -357,7 +359,9 @@ def block_units(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
 
 
 def send_contexts(units: DataFrame, marks: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """bucket, block, anchors, contexts, sizes, where, docs: of each block, by the bucket of the anchor."""
+    """bucket, block, anchors, contexts, sizes, where, docs: of each block, by the bucket of the anchor; and bucket, block,
+    where, masks: what the block itself knows to repeat. Of equal contexts those of the least id go on; all windows of
+    the others stand in a smaller document."""
     most = 2 * length - K
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -380,23 +384,60 @@ def send_contexts(units: DataFrame, marks: DataFrame, length: int, n_buckets: in
                     held.append((h, wide, sizes, where, docs[text + done]))
                 done += part.num_rows
             if held:
-                h, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.argsort(h, kind="stable")  # equal contexts next to each other compress
-                h, rest = h[order], [x[order] for x in rest]
-                out = [(b, block, *x) for b, x in by_bucket(spread_hash(h), [packed_hashes(h), *rest], n_buckets)]
-        kinds = {"bucket": pa.int32(), "block": pa.int32(), "anchors": pa.binary(), "contexts": pa.binary(), "sizes": pa.binary(), "where_": pa.binary(), "docs": pa.binary()}
+                h, wide, sizes, where, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+                name = row_hashes(wide)
+                order = np.lexsort((docs, name, h))  # equal contexts next to each other, which compress too
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (h[order[1:]] != h[order[:-1]]) | (name[order[1:]] != name[order[:-1]])
+                head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+                again = np.flatnonzero(~new & (docs[order] > docs[head]))
+                again = again[(wide[order[again]] == wide[head[again]]).all(axis=1) & (sizes[order[again]] == sizes[head[again]])]
+                if len(again):
+                    own = order[again]
+                    out.append((0, block, None, None, None, where[own].tobytes(), None, all_windows(sizes[own], length).tobytes()))
+                order = np.delete(order, again)
+                h = h[order]
+                out += [(b, block, *x, None) for b, x in by_bucket(spread_hash(h), [packed_hashes(h), *(x[order] for x in (wide, sizes, where, docs))], n_buckets)]
+        kinds = {"bucket": pa.int32(), "block": pa.int32(), "anchors": pa.binary(), "contexts": pa.binary(), "sizes": pa.binary(), "where_": pa.binary(), "docs": pa.binary(), "masks": pa.binary()}
         return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds.values())], names=list(kinds))
 
-    schema = "bucket int, block int, anchors binary, contexts binary, sizes binary, where_ binary, docs binary"
+    schema = "bucket int, block int, anchors binary, contexts binary, sizes binary, where_ binary, docs binary, masks binary"
     return units.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, schema)
 
 
+def row_hashes(wide: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    padded = np.zeros((len(wide), -(-wide.shape[1] // 8) * 8), np.uint8)
+    padded[:, : wide.shape[1]] = wide
+    out = np.zeros(len(wide), dtype=np.uint64)
+    for column in padded.view("<u8").T:
+        out = mixed(out * np.uint64(BASE) + column)
+    return out
+
+
+def all_windows(sizes: np.ndarray, length: int) -> np.ndarray:
+    """The mask of a context of which all windows repeat."""
+    return ((np.uint64(1) << (sizes.astype(np.int64) - length + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+
+
 def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
     """block, where_, masks: of each context with a window that a smaller document has; bit r is the window r after the first."""
     most = 2 * length - K
 
+    def known(batches: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alone = batch.column(7).is_valid()
+            out.append(batch.filter(alone).select(["block", "where_", "masks"]))
+            yield batch.filter(pc.invert(alone)).select(["bucket", "block", "anchors", "contexts", "sizes", "where_", "docs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks, anchors_, wides, sizes, where, docs in gather(batches):
+        passed: list[pa.RecordBatch] = []
+        groups = gather(known(batches, passed))
+        first = next(groups, None)  # by now all rows have come
+        yield from passed
+        passed.clear()
+        for blocks, anchors_, wides, sizes, where, docs in chain([] if first is None else [first], groups):
             counts = [len(x) for x in sizes]
             block = np.repeat(np.array(blocks, dtype=np.int32), counts)
             h = unpacked_hashes(b"".join(anchors_))
@@ -416,8 +457,7 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
             heads = np.flatnonzero(new)
             together = np.diff(np.append(heads, len(rows)))
             alone = np.repeat(together, together) == 1
-            all_windows = ((np.uint64(1) << (own_size - length + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
-            mask = np.where(alone[inverse] & (least[inverse] < doc), all_windows[inverse], 0).astype(np.uint32)
+            mask = np.where(alone[inverse] & (least[inverse] < doc), all_windows(own_size, length)[inverse], 0).astype(np.uint32)
             member = np.flatnonzero(~alone[inverse])
             rank = np.cumsum(~alone) - 1
             among = rank[inverse[member]]
@@ -448,7 +488,7 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 ["block", "where_", "masks"],
             )
 
-    return contexts.select("bucket", "block", "anchors", "contexts", "sizes", "where_", "docs").repartition(n_buckets, "bucket").mapInArrow(run, "block int, where_ binary, masks binary")
+    return contexts.repartition(n_buckets, "bucket").mapInArrow(run, "block int, where_ binary, masks binary")
 
 
 FOUND = {"digest": pa.binary(), "doc": pa.int64(), "text_size": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
@@ -503,7 +543,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     if not K < length <= K + 31:  # windows of a context are bits of a number
         raise ValueError(f"length must be from {K + 1} to {K + 31}")
     n_rows, n_bytes = text_bytes(df, text_col)
-    blocks, buckets = buckets_for(n_bytes), buckets_for(n_bytes / 2)
+    blocks, buckets = buckets_for(n_bytes), buckets_for(n_bytes)
     units = distinct_units(digests(df, id_col, text_col), n_rows, blocks)
     marks = shared_anchors(send_anchors(units, length, buckets, blocks), buckets, blocks)
     fine = buckets_for(2 * n_bytes)  # contexts are several times the text that repeats
