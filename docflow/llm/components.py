@@ -22,17 +22,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, root for every node of ``links`` (u, v: long); root is the least node of the component.
+    """node, root for every node of ``links`` (u, v, of one type that sorts); root is the least node of the component.
 
     Minima are aggregated before they are joined back, so that a node with very many links is split like any join key.
     Self-links and nulls are left out; no links, no rows.
     """
     spark = links.sparkSession
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    path = write_table(edges, name)
+    path, schema = write_table(edges, name), edges.schema
     before = None
     while True:
-        edges = spark.read.schema("u long, v long").parquet(path)
+        edges = spark.read.schema(schema).parquet(path)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

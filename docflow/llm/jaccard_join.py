@@ -2,16 +2,17 @@
 
 Prefix filtering, rarest shingles first: two sets that reach the threshold share one of the shingles of their prefixes.
 
-1. Every text is read once for its set's size and fingerprint (128 bits) and for a count sketch of all shingles, whose
-   size is fixed. The sketch orders shingles from rare to frequent, hashes break ties; any order gives right results.
+1. Every text is read once for its set's size and digest (128 bits) and for a sketch of all shingles' counts, whose size
+   is fixed. What a counter holds above its share of all shingles tells frequent shingles from rare ones, whatever the
+   input's size; hashes break ties. Any order gives right results.
 2. Every text is read again; the prefix of each distinct set goes, packed into arrays, to the buckets of its shingles.
-   Equal sets collapse there (and in each input block before), so copies cost one entry. Shingles that several sets
-   share come out with the sets' sizes and places.
-3. Candidates are made in two steps. First each set meets its shingle's hub (the set of the least id), which makes as
-   many pairs as entries; the pairs that pass the length and positional filters are verified, and their links grouped
-   into components. Then sets of one shingle meet if they are in different components. So a large group of near copies
-   never gives all its pairs, and no link between components is missed: every link has its ends in one component in
-   the end.
+   Equal sets collapse there (and in each input block before), so copies cost one entry. A frequent shingle has several
+   buckets, in proportion to its count. Shingles that several sets share come out with the sets' sizes and places.
+3. Candidates are made in two steps. First each set meets its shingle's hub (the set of the least id in the bucket),
+   which makes as many pairs as entries; the pairs that pass the length and positional filters are verified, and their
+   links grouped into components. Then sets of one shingle and of like size meet if they are in different components.
+   So a large group of near copies never gives all its pairs, and no link between components is missed: every link has
+   its ends in one component in the end.
 4. Pairs are distinct, so each is verified once: whole sets are built anew from the texts, partitioned at pivots for the
    suffix filter, and intersected.
 """
@@ -25,17 +26,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import buckets_for, drop_table, materialise, write_table
+from docflow.llm.common import buckets_for, drop_table, fresh, materialise, write_table
 from docflow.llm.components import components
-from docflow.llm.words import shingle_hashes, slices, word_hashes
+from docflow.llm.words import mixed, shingle_hashes, slices, word_hashes
 
 SKETCH_BITS = 21
 SKETCH_PARTS = 32
-#: Prefix shingles that the sketch has counted this often go to buckets by (shingle, set): no bucket gets all of them.
-HOT_COUNT = 200_000
+#: Occurrences of a shingle for each of its buckets.
+SALT_COUNT = 200_000
+#: Parts of the sketch that one task adds up.
+PARTS_AT_ONCE = 64
+#: Documents' ids that are sent to all executors at most, to read their texts again; more are met by a shuffle.
+FEW_IDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -67,9 +72,9 @@ def document_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray,
         yield part.column(0), shingles, np.searchsorted(texts, np.arange(part.num_rows + 1))
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """Names a set: 63 bits of a digest of its shingles."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little") >> 1
+def fingerprint(shingles: np.ndarray) -> bytes:
+    """Names a set: 128 bits of a digest of its shingles."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def survey(rows: DataFrame) -> DataFrame:
@@ -83,11 +88,11 @@ def survey(rows: DataFrame) -> DataFrame:
                 sketch += np.bincount((shingles & mask).astype(np.int64), minlength=len(sketch))
                 sets = [fingerprint(shingles[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         blocks = np.minimum(sketch, 2**32 - 1).astype("<u4").reshape(SKETCH_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, pa.int64())] * 3 + [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, t) for t in (pa.int64(), pa.binary(), pa.int64())] + [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names)
 
-    return rows.mapInArrow(run, "doc_id long, set_id long, n long, part int, counts binary")
+    return rows.mapInArrow(run, "doc_id long, set_id binary, n long, part int, counts binary")
 
 
 def add_up(parts: DataFrame) -> np.ndarray:
@@ -97,52 +102,51 @@ def add_up(parts: DataFrame) -> np.ndarray:
         counts = sum(np.frombuffer(x.as_py(), dtype="<u4").astype(np.uint64) for x in table["counts"])
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "counts": pa.array([np.minimum(counts, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
-    # in two steps, so that no task gets a part from every task of the survey
-    some = parts.groupBy("part", F.pmod(F.xxhash64("counts"), F.lit(64))).applyInArrow(total, "part int, counts binary")
-    found = {r["part"]: r["counts"] for r in some.groupBy("part").applyInArrow(total, "part int, counts binary").collect()}
+    tasks = parts.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    while tasks > PARTS_AT_ONCE:  # so that no task gets a part from every task of the survey
+        tasks = -(-tasks // PARTS_AT_ONCE)
+        parts = materialise(parts.groupBy("part", F.pmod(F.xxhash64("counts"), F.lit(tasks))).applyInArrow(total, "part int, counts binary"), "jaccard-sketch")
+    found = {r["part"]: r["counts"] for r in parts.groupBy("part").applyInArrow(total, "part int, counts binary").collect()}
     empty = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, dtype="<u4").tobytes()
     return np.frombuffer(b"".join(found.get(k, empty) for k in range(SKETCH_PARTS)), dtype="<u4")
 
 
-#: Added to the place in entries of such shingles.
+#: Added to the place in entries of shingles with several buckets.
 HOT_MARK = 1 << 31
 
-#: An entry of a bucket: shingle, set, least id seen, place of the shingle in the set's order, size of the set.
-ENTRY = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("doc", "<i8"), ("place", "<u4"), ("size", "<u4")])
+#: An entry of a bucket: shingle, set (two halves), least id seen, place of the shingle in the set's order, size of the set.
+ENTRY = np.dtype([("shingle", "<u8"), ("lo", "<u8"), ("hi", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("size", "<u4")])
 
 
-def entries(rows: DataFrame, sketch: np.ndarray, n_buckets: int, limit: Threshold) -> DataFrame:
-    """bucket, packed: the prefixes of the distinct sets of each block, packed by bucket column after column."""
-    sent = rows.sparkSession.sparkContext.broadcast(sketch)
+def entries(rows: DataFrame, often: np.ndarray, n_buckets: int, limit: Threshold, salt_count: int) -> DataFrame:
+    """bucket, packed: the prefixes of the distinct sets of each block, packed by bucket column after column.
+    ``often``: about how often shingles occur, by the sketch."""
+    sent = rows.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mask = sent.value, np.uint64((1 << SKETCH_BITS) - 1)
+        counted, mask = sent.value, np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for ids, shingles, at in document_sets(batch):
                 owner = np.repeat(np.arange(len(ids)), np.diff(at))
-                often = counts[(shingles & mask).astype(np.int64)]
+                often = counted[(shingles & mask).astype(np.int64)]
                 order = np.lexsort((shingles, often, owner))
-                least: dict[int, int] = {}
-                docs = ids.to_pylist()
-                names = [fingerprint(shingles[a:b]) if b > a else -1 for a, b in zip(at[:-1], at[1:], strict=True)]
-                for name, doc in zip(names, docs, strict=True):
-                    if name >= 0:
-                        least[name] = min(least.get(name, 2**63 - 1), 2**63 - 1 if doc is None else doc)
-                firsts = {}
-                for i, name in enumerate(names):
-                    firsts.setdefault(name, i)
+                least: dict[bytes, int] = {}
+                names = [fingerprint(shingles[a:b]) if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
                 chosen = np.zeros(len(ids), dtype=bool)
-                chosen[[i for name, i in firsts.items() if name >= 0]] = True
+                for i, (name, doc) in enumerate(zip(names, ids.to_pylist(), strict=True)):
+                    chosen[i] = name != b"" and name not in least
+                    least[name] = min(least.get(name, 2**63 - 1), 2**63 - 1 if doc is None else doc)
                 n = np.diff(at)
                 place = np.arange(len(shingles)) - np.repeat(at[:-1], n)
                 keep = chosen[owner] & (place < limit.prefix(n)[owner])
                 rank, place, owner = order[keep], place[keep], owner[keep]
                 out = np.empty(len(rank), dtype=ENTRY)
-                hot = often[rank] >= HOT_COUNT
-                out["shingle"], out["place"], out["size"] = shingles[rank], place.astype(np.uint32) + (hot * HOT_MARK).astype(np.uint32), n[owner]
-                out["set"] = np.array(names, dtype=np.int64)[owner]
-                out["doc"] = np.array([least.get(x, 0) for x in names], dtype=np.int64)[owner]
-                key = out["shingle"] ^ np.where(hot, out["set"].astype(np.uint64), np.uint64(0))
+                salts = 1 + often[rank].astype(np.int64) // salt_count
+                out["shingle"], out["place"], out["size"] = shingles[rank], place.astype(np.uint32) + ((salts > 1) * HOT_MARK).astype(np.uint32), n[owner]
+                halves = np.frombuffer(b"".join(x or bytes(16) for x in names), dtype="<u8").reshape(-1, 2)
+                out["lo"], out["hi"] = halves[owner, 0], halves[owner, 1]
+                out["doc"] = np.array([least[x] for x in names], dtype=np.int64)[owner]
+                key = out["shingle"] ^ mixed(out["lo"] % salts.astype(np.uint64))
                 bucket = ((key >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 out, bucket = out[by], bucket[by]
@@ -162,9 +166,15 @@ def unpacked(packed: bytes) -> np.ndarray:
     return out
 
 
+def binary(lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """Names of sets from their halves."""
+    raw = np.stack([lo, hi], axis=1).astype("<u8").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((np.arange(len(lo) + 1) * 16).astype(np.int32)), pa.py_buffer(raw)])
+
+
 def shared(packed: DataFrame, n_buckets: int) -> DataFrame:
     """shingle, set_id, size, place, hub, hub_size, hub_place, hot: an entry for each set of the shingles that several
-    sets have, with the hub among them. Hot shingles have a hub in each of their buckets and keep single entries."""
+    sets have, with the hub among them. Shingles with several buckets have a hub in each and keep single entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[np.ndarray]] = {}
@@ -173,11 +183,11 @@ def shared(packed: DataFrame, n_buckets: int) -> DataFrame:
                 parts.setdefault(b, []).append(unpacked(x.as_py()))
         while parts:
             e = np.concatenate(parts.popitem()[1])
-            e = e[np.lexsort((e["doc"], e["set"], e["shingle"]))]
+            e = e[np.lexsort((e["doc"], e["lo"], e["hi"], e["shingle"]))]
             new = np.ones(len(e), dtype=bool)
-            new[1:] = (e["shingle"][1:] != e["shingle"][:-1]) | (e["set"][1:] != e["set"][:-1])
+            new[1:] = (e["shingle"][1:] != e["shingle"][:-1]) | (e["lo"][1:] != e["lo"][:-1]) | (e["hi"][1:] != e["hi"][:-1])
             e = e[new]
-            e = e[np.lexsort((e["set"], e["doc"], e["shingle"]))]
+            e = e[np.lexsort((e["lo"], e["hi"], e["doc"], e["shingle"]))]
             first = np.ones(len(e), dtype=bool)
             first[1:] = e["shingle"][1:] != e["shingle"][:-1]
             heads = np.flatnonzero(first)
@@ -188,11 +198,11 @@ def shared(packed: DataFrame, n_buckets: int) -> DataFrame:
             keep = (np.repeat(many, many) > 1) | hot
             e, hub, hot = e[keep], e[hub[keep]], hot[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(e["shingle"].view(np.int64)), pa.array(e["set"]), pa.array(e["size"].astype(np.int32)), pa.array(e["place"].astype(np.int32)), pa.array(hub["set"]), pa.array(hub["size"].astype(np.int32)), pa.array(hub["place"].astype(np.int32)), pa.array(hot)],
+                [pa.array(e["shingle"].view(np.int64)), binary(e["lo"], e["hi"]), pa.array(e["size"].astype(np.int32)), pa.array(e["place"].astype(np.int32)), binary(hub["lo"], hub["hi"]), pa.array(hub["size"].astype(np.int32)), pa.array(hub["place"].astype(np.int32)), pa.array(hot)],
                 ["shingle", "set_id", "size", "place", "hub", "hub_size", "hub_place", "hot"],
             )
 
-    return packed.repartition(n_buckets, "bucket").mapInArrow(run, "shingle long, set_id long, size int, place int, hub long, hub_size int, hub_place int, hot boolean")
+    return packed.repartition(n_buckets, "bucket").mapInArrow(run, "shingle long, set_id binary, size int, place int, hub binary, hub_size int, hub_place int, hot boolean")
 
 
 def filtered(limit: Threshold, n: str, i: str, m: str, j: str):
@@ -244,83 +254,120 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
             keep = [alike(np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8"), limit) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(run, "u long, v long")
+    return met.mapInArrow(run, "u binary, v binary")
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """set_id, shingles (sorted, as bytes) of the set ids in ``wanted``, built from the texts of one document each."""
+    """set_id, shingles (sorted, as bytes) of the set ids in ``wanted``, built from the texts of one document each; sets
+    that only rows of null id have are built from all such rows."""
     one = known.where("doc_id IS NOT NULL").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    one = materialise(one, "jaccard-chosen")
+    ids = one.select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, shingles, at in document_sets(batch):
                 found = [shingles[a:b] for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["set_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["set_id", "shingles"])
 
-    built = rows.join(one.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "set_id long, shingles binary")
+    build = lambda some: some.mapInArrow(run, "set_id binary, shingles binary")
+    built = build(rows.join(F.broadcast(ids) if one.count() <= FEW_IDS else ids, "doc_id", "left_semi"))
+    rest = wanted.join(one, "set_id", "left_anti")
+    if not rest.isEmpty():
+        built = built.unionByName(build(rows.where("doc_id IS NULL")))
     # rows that share an id can bring other sets, or one set twice
     return built.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
-def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def node_of(least: Column, set_id: Column) -> Column:
+    """A name for a set that sorts by its least id (nulls last), then by the set."""
+    flipped = F.lpad(F.hex(F.coalesce(least, F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.unhex(F.concat(F.when(least.isNull(), "01").otherwise("00"), flipped)), set_id)
+
+
+def least_of(node: Column) -> Column:
+    """The id that node_of was given."""
+    digits = F.hex(node)
+    return F.when(F.substring(digits, 1, 2) == "00", F.conv(F.substring(digits, 3, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63))))
+
+
+def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str = "doc_id", text_col: str = "text", salt_count: int = SALT_COUNT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; component_id is the least id reachable by links.
 
     * Null texts and texts without words have no shingles and link with nothing; fewer than five words are one shingle.
+      Very long texts are one set each.
     * Equal sets are linked, however many rows have them. Ties and repeated rows therefore share a component.
-    * Rows of one id are a row each, linked by their own texts. Rows of null id are linked by equal sets alone, and are
+    * Rows of one id are a row each, linked by their own texts. Rows of null id are linked like all others, and are
       nobody's component_id unless all ids of the component are null.
     * No rows in, no rows out. Only the two columns named are read.
     """
     limit = limit or Threshold()
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    surveyed = materialise(survey(rows), "jaccard-survey")
+    spark, surveyed = df.sparkSession, materialise(survey(rows), "jaccard-survey")
     known = surveyed.where("part IS NULL").select("doc_id", "set_id", "n")
     sketch = add_up(surveyed.where("part IS NOT NULL").select("part", "counts"))
     total = int(known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    share = total >> SKETCH_BITS
+    often = np.maximum(sketch, share).astype("<u4") - np.uint32(share)
     n_buckets = buckets_for(total * ENTRY.itemsize * (1 - limit.part / limit.whole))
-    met = materialise(shared(entries(rows, sketch, n_buckets, limit), n_buckets), "jaccard-shared")
+    met_path = write_table(shared(entries(rows, often, n_buckets, limit, salt_count), n_buckets), "jaccard-shared")
+    met = spark.read.schema("shingle long, set_id binary, size int, place int, hub binary, hub_size int, hub_place int, hot boolean").parquet(met_path)
+    with_node = known.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    with_node = materialise(with_node.select("set_id", node_of(F.col("least"), F.col("set_id")).alias("node")), "jaccard-sets")
 
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     to_hub = met.where((F.col("set_id") != F.col("hub")) & filtered(limit, "size", "place", "hub_size", "hub_place")).select(*ordered("set_id", "hub")).distinct()
     first_pairs = materialise(to_hub, "jaccard-pairs")
-    first_links = link(rows, known, first_pairs, limit)
+    first_links = materialise(as_nodes(link(rows, known, first_pairs, limit), with_node), "jaccard-links")
     groups = materialise(components(first_links), "jaccard-groups")
 
     # shingles whose sets are still in several components
-    own = met.select("shingle", "set_id", "size", "place", "hot").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    mixed = own.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot")).where("a <> b AND (n > 2 OR hot)").select("shingle")
-    open_ = own.join(mixed, "shingle", "left_semi")
-    x, y = (open_.select("shingle", *(F.col(c).alias(f"{p}_{c}") for c in ("set_id", "size", "place", "root"))) for p in "xy")
+    roots = with_node.join(groups, "node").select("set_id", "root")
+    own = met.select("shingle", "set_id", "size", "place", "hot").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    mixed_ = own.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot")).where("a <> b AND (n > 2 OR hot)").select("shingle")
+    # sizes that the length filter lets meet are in one band or in neighbouring ones
+    band = F.floor(F.log("size") / (1.001 * math.log(limit.whole / limit.part)))
+    open_ = own.join(mixed_, "shingle", "left_semi").withColumn("band", band)
+    x, y = (open_.select(F.col("shingle").alias(f"{p}_shingle"), *(F.col(c).alias(f"{p}_{c}") for c in ("set_id", "size", "place", "root", "band"))) for p in "xy")
+    y = y.withColumn("near", F.explode(F.sequence(F.col("y_band") - 1, F.col("y_band") + 1)))
     apart = (F.col("x_root") != F.col("y_root")) & (F.col("x_set_id") < F.col("y_set_id")) & filtered(limit, "x_size", "x_place", "y_size", "y_place")
-    rest = x.join(y, (x["shingle"] == y["shingle"]) & apart).select(*ordered("x_set_id", "y_set_id")).distinct().join(first_pairs, ["u", "v"], "left_anti")
+    rest = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_band") == F.col("near")) & apart).select(*ordered("x_set_id", "y_set_id")).distinct().join(first_pairs, ["u", "v"], "left_anti")
     second_pairs = materialise(rest, "jaccard-pairs")
-    second_links = link(rows, known, second_pairs, limit)
+    drop_table(spark, met_path)
+    second_links = as_nodes(link(rows, known, second_pairs, limit), with_node)
 
     stars = groups.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     found = components(stars.unionByName(second_links))
-    placed = known.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    whole = placed.where("root IS NOT NULL").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = with_node.join(found, "node", "left").select("set_id", least_of(F.coalesce("root", "node")).alias("component_id"))
+    whole = known.where("set_id IS NOT NULL").join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return whole.unionByName(known.where("set_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def as_nodes(links: DataFrame, with_node: DataFrame) -> DataFrame:
+    """Links (u, v) of sets as links of their nodes."""
+    for end in "uv":
+        links = links.join(with_node.withColumnRenamed("set_id", end), end).drop(end).withColumnRenamed("node", end)
+    return links.select("u", "v")
+
+
 def link(rows: DataFrame, known: DataFrame, pairs: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs that reach the threshold, as a table."""
     wanted = pairs.select(F.col("u").alias("set_id")).unionAll(pairs.select(F.col("v").alias("set_id"))).distinct()
-    path = write_table(sets_of(rows, wanted, known), "jaccard-sets")
-    sets = rows.sparkSession.read.schema("set_id long, shingles binary").parquet(path)
+    path = write_table(sets_of(rows, wanted, known), "jaccard-shingles")
+    sets = rows.sparkSession.read.schema("set_id binary, shingles binary").parquet(path)
     links = materialise(verified(pairs, sets, limit), "jaccard-links")
     drop_table(rows.sparkSession, path)
     return links
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, that of the least id: the rows of ``df``, with all their columns, but for
-    those of ids of which every row has a smaller component_id.
+    """One document of each component stays, that of the least id: the rows of ``df``, with all their columns (whatever
+    their names), but for those of ids of which every row has a smaller component_id.
 
-    Rows without shingles stay, and so do rows of null id. Rows of one id stay or go together.
+    Rows without shingles (null and empty texts) stay, and so do rows of null id. Rows of one id, repeated ones among
+    them, stay or go together. No rows in, no rows out.
     """
     groups = similar_groups(df, id_col=id_col, text_col=text_col)
-    gone = groups.groupBy("doc_id").agg(F.max("component_id").alias("component_id")).where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    (name,) = fresh(df, "gone")
+    gone = groups.groupBy("doc_id").agg(F.max("component_id").alias("component_id")).where("component_id < doc_id").select(F.col("doc_id").alias(name))
+    return df.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

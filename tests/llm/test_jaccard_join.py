@@ -24,7 +24,7 @@ def brute(rows):
         for j in range(i):
             x, y = sets[i], sets[j]
             same = bool(x) and x == y
-            near = x and y and 100 * len(x & y) >= 75 * len(x | y) and rows[i][0] is not None and rows[j][0] is not None
+            near = x and y and 100 * len(x & y) >= 75 * len(x | y)
             if same or near:
                 root[find(i)] = find(j)
     least = {}
@@ -57,6 +57,29 @@ def test_a_group_of_near_copies_around_no_hub(spark):
     assert {r.component_id for r in similar_groups(df).collect()} == {0}
 
 
+def test_shingles_with_several_buckets_and_ids_met_by_a_shuffle(docs, rows, monkeypatch):
+    from docflow.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "FEW_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "PARTS_AT_ONCE", 2)
+    assert sorted((tuple(r) for r in similar_groups(docs, salt_count=2).collect()), key=repr) == brute(rows)
+
+
+def test_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join(words[:-1])), (None, " ".join(words[:-2])), (-5, " ".join(words[1:])), (3, "apart " * 9), (None, "nul l"), (2**63 - 1, "nul l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in similar_groups(df).collect()), key=repr) == brute(rows)
+    alone = spark.createDataFrame(rows[:3], "doc_id long, text string")
+    assert {r.component_id for r in similar_groups(alone).collect()} == {None}
+
+
+def test_columns_that_clash_keep_their_values(spark):
+    same = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, same, "g1", "n1", 7), (2, same, "g2", "n2", 8), (3, "else", "g3", None, 9)], "doc_id long, text string, gone string, _gone string, component_id long")
+    assert sorted(map(tuple, drop_near_copies(df).collect())) == [(1, same, "g1", "n1", 7), (3, "else", "g3", None, 9)]
+
+
 def test_no_rows(no_docs):
     assert similar_groups(no_docs).count() == 0
 

@@ -19,7 +19,7 @@ def brute_groups(rows):
         changed = False
         for i, x in enumerate(sets):
             for j, y in enumerate(sets[:i]):
-                if label[i] != label[j] and x and y and 100 * len(x & y) >= 75 * len(x | y) and None not in (rows[i][0], rows[j][0]):
+                if label[i] != label[j] and x and y and 100 * len(x & y) >= 75 * len(x | y):
                     label[i] = label[j] = min(label[i], label[j])
                     changed = True
     least = {}
