@@ -30,7 +30,7 @@ def brute(rows):
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
-            least[find(i)] = min(least.get(find(i), 10**18), d)
+            least[find(i)] = min(least.get(find(i), 2**63), d)
     return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=repr)
 
 
