@@ -173,8 +173,9 @@ def binary(lo: np.ndarray, hi: np.ndarray) -> pa.Array:
 
 
 def shared(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """shingle, set_id, size, place, hub, hub_size, hub_place, hot: an entry for each set of the shingles that several
-    sets have, with the hub among them. Shingles with several buckets have a hub in each and keep single entries."""
+    """shingle, set_id, size, place, hub, hub_size, hub_place, more: an entry for each set of the shingles that several
+    sets have, with the hub among them. Shingles with several buckets have a hub in each and keep single entries. more:
+    whether others than the hub can have the shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[np.ndarray]] = {}
@@ -196,13 +197,13 @@ def shared(packed: DataFrame, n_buckets: int) -> DataFrame:
             e["place"] -= (hot * HOT_MARK).astype(np.uint32)
             hub = np.repeat(heads, many)
             keep = (np.repeat(many, many) > 1) | hot
-            e, hub, hot = e[keep], e[hub[keep]], hot[keep]
+            e, hub, more = e[keep], e[hub[keep]], (hot | (np.repeat(many, many) > 2))[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(e["shingle"].view(np.int64)), binary(e["lo"], e["hi"]), pa.array(e["size"].astype(np.int32)), pa.array(e["place"].astype(np.int32)), binary(hub["lo"], hub["hi"]), pa.array(hub["size"].astype(np.int32)), pa.array(hub["place"].astype(np.int32)), pa.array(hot)],
-                ["shingle", "set_id", "size", "place", "hub", "hub_size", "hub_place", "hot"],
+                [pa.array(e["shingle"].view(np.int64)), binary(e["lo"], e["hi"]), pa.array(e["size"].astype(np.int32)), pa.array(e["place"].astype(np.int32)), binary(hub["lo"], hub["hi"]), pa.array(hub["size"].astype(np.int32)), pa.array(hub["place"].astype(np.int32)), pa.array(more)],
+                ["shingle", "set_id", "size", "place", "hub", "hub_size", "hub_place", "more"],
             )
 
-    return packed.repartition(n_buckets, "bucket").mapInArrow(run, "shingle long, set_id binary, size int, place int, hub binary, hub_size int, hub_place int, hot boolean")
+    return packed.repartition(n_buckets, "bucket").mapInArrow(run, "shingle long, set_id binary, size int, place int, hub binary, hub_size int, hub_place int, more boolean")
 
 
 def filtered(limit: Threshold, n: str, i: str, m: str, j: str):
@@ -257,11 +258,10 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     return met.mapInArrow(run, "u binary, v binary")
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
+def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFrame:
     """set_id, shingles (sorted, as bytes) of the set ids in ``wanted``, built from the texts of one document each; sets
     that only rows of null id have are built from all such rows."""
-    one = known.where("doc_id IS NOT NULL").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    one = materialise(one, "jaccard-chosen")
+    one = materialise(with_node.where("least IS NOT NULL").join(wanted, "set_id", "left_semi").select("set_id", F.col("least").alias("doc_id")), "jaccard-chosen")
     ids = one.select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,20 +311,21 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     often = np.maximum(sketch, share).astype("<u4") - np.uint32(share)
     n_buckets = buckets_for(total * ENTRY.itemsize * (1 - limit.part / limit.whole))
     met_path = write_table(shared(entries(rows, often, n_buckets, limit, salt_count), n_buckets), "jaccard-shared")
-    met = spark.read.schema("shingle long, set_id binary, size int, place int, hub binary, hub_size int, hub_place int, hot boolean").parquet(met_path)
+    met = spark.read.schema("shingle long, set_id binary, size int, place int, hub binary, hub_size int, hub_place int, more boolean").parquet(met_path)
     with_node = known.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    with_node = materialise(with_node.select("set_id", node_of(F.col("least"), F.col("set_id")).alias("node")), "jaccard-sets")
+    with_node = materialise(with_node.select("set_id", "least", node_of(F.col("least"), F.col("set_id")).alias("node")), "jaccard-sets")
 
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     to_hub = met.where((F.col("set_id") != F.col("hub")) & filtered(limit, "size", "place", "hub_size", "hub_place")).select(*ordered("set_id", "hub")).distinct()
     first_pairs = materialise(to_hub, "jaccard-pairs")
-    first_links = materialise(as_nodes(link(rows, known, first_pairs, limit), with_node), "jaccard-links")
+    first_links = materialise(as_nodes(link(rows, with_node, first_pairs, limit), with_node), "jaccard-links")
     groups = materialise(components(first_links), "jaccard-groups")
 
     # shingles whose sets are still in several components
     roots = with_node.join(groups, "node").select("set_id", "root")
-    own = met.select("shingle", "set_id", "size", "place", "hot").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    mixed_ = own.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot")).where("a <> b AND (n > 2 OR hot)").select("shingle")
+    own = met.where("more").select("shingle", "set_id", "size", "place").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    own = materialise(own, "jaccard-open")
+    mixed_ = own.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
     # sizes that the length filter lets meet are in one band or in neighbouring ones
     band = F.floor(F.log("size") / (1.001 * math.log(limit.whole / limit.part)))
     open_ = own.join(mixed_, "shingle", "left_semi").withColumn("band", band)
@@ -334,7 +335,7 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     rest = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_band") == F.col("near")) & apart).select(*ordered("x_set_id", "y_set_id")).distinct().join(first_pairs, ["u", "v"], "left_anti")
     second_pairs = materialise(rest, "jaccard-pairs")
     drop_table(spark, met_path)
-    second_links = as_nodes(link(rows, known, second_pairs, limit), with_node)
+    second_links = as_nodes(link(rows, with_node, second_pairs, limit), with_node)
 
     stars = groups.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     found = components(stars.unionByName(second_links))
@@ -346,14 +347,14 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
 def as_nodes(links: DataFrame, with_node: DataFrame) -> DataFrame:
     """Links (u, v) of sets as links of their nodes."""
     for end in "uv":
-        links = links.join(with_node.withColumnRenamed("set_id", end), end).drop(end).withColumnRenamed("node", end)
+        links = links.join(with_node.select(F.col("set_id").alias(end), "node"), end).drop(end).withColumnRenamed("node", end)
     return links.select("u", "v")
 
 
-def link(rows: DataFrame, known: DataFrame, pairs: DataFrame, limit: Threshold) -> DataFrame:
+def link(rows: DataFrame, with_node: DataFrame, pairs: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs that reach the threshold, as a table."""
     wanted = pairs.select(F.col("u").alias("set_id")).unionAll(pairs.select(F.col("v").alias("set_id"))).distinct()
-    path = write_table(sets_of(rows, wanted, known), "jaccard-shingles")
+    path = write_table(sets_of(rows, wanted, with_node), "jaccard-shingles")
     sets = rows.sparkSession.read.schema("set_id binary, shingles binary").parquet(path)
     links = materialise(verified(pairs, sets, limit), "jaccard-links")
     drop_table(rows.sparkSession, path)
