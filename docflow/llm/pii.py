@@ -202,6 +202,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **option
     counts = [F.count_if(F.col("kind") == name).alias(f"n_{name}") for name in (*KINDS, "secret", "term")]
     by_text = spans.groupBy("text_key").agg(*counts, F.array_sort(F.collect_list(said)).alias("all"))
     found = by_text.select("text_key", *(f"n_{x}" for x in KINDS), F.sha2(joined(len(KINDS)), 256).alias("base_sha256"), joined(len(PROTECTED) + 1).alias("spans"), "n_secret", "n_term")
+    found = materialise(found, "pii-found")  # so that the join's hot texts can be split
     doc_id = F.col(id_col).cast("long").alias("doc_id")
     met = df.where(could).select(doc_id, F.sha2(text_col, 256).alias("text_key")).join(found, "text_key", "left")
     rest = df.where(~could).select(doc_id)
