@@ -1,5 +1,6 @@
 """The stages on a small corpus: each works on all that the one before it kept, and its decisions take effect."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -48,6 +49,29 @@ def test_no_rows(spark, no_docs):
         assert frame.count() == 0
 
 
+def test_columns_that_clash_keep_their_values(spark):
+    """Names that operators use inside, or have used, as columns of the documents."""
+    names = ["score", "rejected", "lang_pred", "_clean", "clean", "text_key", "_sha", "sha", "_nth", "same", "keep_id", "gone", "_gone", "component_id", "set_id"]
+    words = {"en": "the and of to is that it was for on are as with his they".split(), "de": "und der die das nicht ist ein zu mit auf sich des".split()}
+    r = random.Random(5)
+    texts = [(" ".join(r.choice(words[lang]) for _ in range(30)) + f" w{chr(97 + i % 26)}{chr(97 + i // 26)}", lang) for i, lang in enumerate(["en", "de"] * 40)]
+    rows = [(i, t, lang, "s", len(t), *(f"{n} {i}" for n in names)) for i, (t, lang) in enumerate(texts)]
+    rows += [(100, texts[0][0], "en", "s", 1, *names), (101, texts[1][0] + " more", "de", "s", 1, *names), (102, "they are with me@mail.example and it was", "en", "s", 1, *(f"{n} 102" for n in names))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, "")
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        left = frame.collect()
+        assert len(left) > 60 and all(r[n] == f"{n} {r.doc_id}" for r in left if r.doc_id not in (100, 101) for n in names)
+        frame = spark.createDataFrame(left, frame.schema)
+    assert not {100, 101} & {r.doc_id for r in left} and [r.text for r in left if r.doc_id == 102] == ["they are with [EMAIL] and it was"]
+    assert stage_columns(corpus_pipeline.STAGES[-1][1](spark, frame, "")) == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def stage_columns(frame):
+    return frame.columns
+
+
 def test_run_is_the_stages(spark, tmp_path, docs):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 50
