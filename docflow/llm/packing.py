@@ -3,8 +3,11 @@
 Lengths are whole numbers up to the capacity, so all that the packing must know of the corpus is how many pieces there
 are of each length: a histogram of at most ``capacity`` numbers. The driver plans on it:
 
-1. lengths over ``small`` are sorted and cut into groups of equal cardinality; each counts as its group's largest;
-2. configurations of these few sizes are chosen: the largest size left, filled up as far as a bounded knapsack can;
+1. pieces as long as the capacity are sequences of their own; other lengths over ``small`` are sorted and cut into
+   ``groups`` groups of equal cardinality, and each counts as its group's largest;
+2. configurations of these few sizes are chosen by the linear program over all of them: the simplex method on one column
+   for each size, new columns found by a knapsack of the dual prices. What rounding the program's numbers down leaves is
+   put together one configuration at a time, the largest size left first;
 3. the actual pieces, longest first, take their group's places, which frees what rounding had added;
 4. small lengths, longest first, go where the least room that holds them is left, else into new sequences.
 
@@ -39,9 +42,51 @@ PLAN_SCHEMA = "length int, first long, n long, sequence long, offset long, each
 
 
 # ------------------------------------------------------------------------------------------------------ the plan
+def most_valuable(sizes: list[int], prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is in the configuration of the greatest price, any number of each allowed."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for k, size in enumerate(sizes):
+        for start in range(size, capacity + 1, size):  # a copy more in each round
+            stop = min(start + size, capacity + 1)
+            more = best[start - size : stop - size] + prices[k]
+            better = more > best[start:stop] + 1e-12
+            best[start:stop][better], last[start:stop][better] = more[better], k
+    out, room = np.zeros(len(sizes)), capacity
+    while last[room] >= 0:
+        out[last[room]] += 1
+        room -= sizes[last[room]]
+    return out
+
+
+def best_columns(sizes: list[int], counts: list[int], capacity: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Configurations (as columns) and how often each is used, in numbers that aren't whole: the linear program's least
+    number of sequences, by column generation. A last round that hasn't come to an end only leaves a larger number."""
+    columns = np.diag([float(capacity // x) for x in sizes])
+    amounts = np.array(counts) / np.diag(columns)
+    for _ in range(rounds):
+        prices = np.linalg.solve(columns.T, np.ones(len(sizes)))
+        new = most_valuable(sizes, prices, capacity)
+        if new @ prices <= 1 + 1e-9:
+            break
+        step = np.linalg.solve(columns, new)
+        ratio = np.where(step > 1e-9, amounts / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(np.argmin(ratio))
+        amounts = amounts - ratio[out] * step
+        columns[:, out], amounts[out] = new, ratio[out]
+    return columns, np.maximum(amounts, 0)
+
+
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> Iterator[tuple[int, list[int]]]:
     """(times, places) where places are indices of sizes; sizes fall. All counts are used up."""
     left = list(counts)
+    columns, amounts = best_columns(sizes, counts, capacity) if sizes else (np.empty((0, 0)), np.empty(0))
+    for column, amount in zip(columns.T.round().astype(int), amounts, strict=True):
+        used = np.flatnonzero(column)
+        times = min([int(amount + 1e-9), *(left[k] // int(column[k]) for k in used)])
+        if times > 0:
+            for k in used:
+                left[k] -= times * int(column[k])
+            yield times, [int(k) for k in used for _ in range(column[k])]
     for top in range(len(sizes)):
         while left[top]:
             room, masks, reach = capacity - sizes[top], [], 1
@@ -83,7 +128,10 @@ def plan_packing(histogram: dict[int, int], capacity: int, small: int, groups: i
                 insort(rooms, left)
             room[left].append((first, n))
 
-    large = sorted((x for x in histogram if x > small), reverse=True)
+    if full := histogram.get(capacity, 0):
+        plan.append((capacity, 0, full, 0, 0, 1))
+        sequences = full
+    large = sorted((x for x in histogram if small < x < capacity), reverse=True)
     total = sum(histogram[x] for x in large)
     size_of_group, runs, sizes, counts = max(1, -(-total // groups)), [], [], []
     for length in large:
@@ -219,17 +267,18 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2,
 
 
 # ------------------------------------------------------------------------------------------------------ the operator
-def pack(pieces: DataFrame, capacity: int = 1024, small: int = 128, groups: int = 1000, part_rows: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, small: int = 384, groups: int = 48, part_rows: int = 1000) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (from 1 to ``capacity``).
 
     ``pieces`` is read three times, so it should be a table. Pieces of one length are interchangeable; their places
-    follow (part, doc_id, piece). Repeated rows are pieces of their own. No rows in, no rows out.
+    follow (part, doc_id, piece). Repeated rows are pieces of their own. No rows in, no rows out. Columns
+    beside the three may have any names but those of the result.
     """
     spark = pieces.sparkSession
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(plan_packing(histogram, capacity, small, groups), PLAN_SCHEMA)
-    parts = 1 + sum(histogram.values()) // part_rows
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    parts = spark.createDataFrame([(x, 1 + n // part_rows) for x, n in histogram.items()], "length long, parts long")  # at most `capacity` rows
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     nth = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1
@@ -245,7 +294,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, small: int = 128, groups: int
 def pack_documents(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenises documents and packs them: doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece.
 
-    Null texts count as empty: their one piece is the end id. Documents with the same id are packed each for itself.
+    Null texts count as empty: their one piece is the end id. Very long texts give as many pieces as they need.
+    Documents with the same id, and repeated rows, are packed each for itself. No rows in, no rows out. Only the two
+    columns named are read, whatever others there are.
     The pieces are written to the shared folder, so no text is tokenised twice.
     """
     spark, pieces = df.sparkSession, cut_pieces(df, path, capacity, end_id, id_col, text_col)
