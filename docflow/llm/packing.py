@@ -267,7 +267,7 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2,
 
 
 # ------------------------------------------------------------------------------------------------------ the operator
-def pack(pieces: DataFrame, capacity: int = 1024, small: int = 384, groups: int = 48, part_rows: int = 1000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, small: int = 384, groups: int = 96, part_rows: int = 1000) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (from 1 to ``capacity``).
 
     ``pieces`` is read three times, so it should be a table. Pieces of one length are interchangeable; their places
