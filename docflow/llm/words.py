@@ -16,7 +16,7 @@ _VALUE = _VALUE[LOWER]
 _VALUE[SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text worked on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
