@@ -35,7 +35,7 @@ from docflow.llm.common import write_table
 from docflow.llm.units import units
 
 #: Units that a worker remembers with their ids.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Units tokenised as one text.
 JOINED = 2_000
 PLAN_SCHEMA = "length int, first long, n long, sequence long, offset long, each long"
@@ -181,7 +181,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, small: int, groups: i
                 leave(left - k * length, first, bins)
                 rank, first = rank + k * bins, first + bins
 
-    for length in sorted((x for x in histogram if 0 < x <= small), reverse=True):
+    for length in sorted((x for x in histogram if 0 < x <= small and x < capacity), reverse=True):
         rank, n = 0, histogram[length]
         while n:
             at = bisect_left(rooms, length)
@@ -267,14 +267,15 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2,
 
 
 # ------------------------------------------------------------------------------------------------------ the operator
-def pack(pieces: DataFrame, capacity: int = 1024, small: int = 384, groups: int = 96, part_rows: int = 1000) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length (from 1 to ``capacity``).
+def pack(pieces: DataFrame, capacity: int = 1024, small: int | None = None, groups: int = 96, part_rows: int = 1000) -> DataFrame:
+    """Adds sequence_id and offset to rows with doc_id, piece and length (from 1 to ``capacity``). Lengths up to ``small``
+    (three eighths of the capacity) are placed by best fit, longer ones in ``groups`` groups.
 
     ``pieces`` is read three times, so it should be a table. Pieces of one length are interchangeable; their places
     follow (part, doc_id, piece). Repeated rows are pieces of their own. No rows in, no rows out. Columns
     beside the three may have any names but those of the result.
     """
-    spark = pieces.sparkSession
+    spark, small = pieces.sparkSession, 3 * capacity // 8 if small is None else small
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(plan_packing(histogram, capacity, small, groups), PLAN_SCHEMA)
     parts = spark.createDataFrame([(x, 1 + n // part_rows) for x, n in histogram.items()], "length long, parts long")  # at most `capacity` rows
