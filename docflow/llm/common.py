@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import math
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, so that it doesn't add to what the next stage needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     """Number of rows and UTF-8 bytes of all texts."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()

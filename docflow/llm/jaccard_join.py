@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import buckets_for, drop_table, fresh, materialise, write_table
+from docflow.llm.common import buckets_for, drop_table, fresh, materialise, trim, write_table
 from docflow.llm.components import components
 from docflow.llm.words import mixed, shingle_hashes, slices, word_hashes
 
@@ -39,7 +39,7 @@ SKETCH_PARTS = 32
 SALT_COUNT = 200_000
 #: Parts of the sketch that one task adds up.
 PARTS_AT_ONCE = 64
-#: Documents' ids that are sent to all executors at most, to read their texts again; more are met by a shuffle.
+#: Documents' ids and pairs that are sent to all executors at most; more are met by a shuffle.
 FEW_IDS = 200_000
 
 
@@ -89,6 +89,7 @@ def survey(rows: DataFrame) -> DataFrame:
                 sets = [fingerprint(shingles[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary()), pa.array(np.diff(at), pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        trim()
         blocks = np.minimum(sketch, 2**32 - 1).astype("<u4").reshape(SKETCH_PARTS, -1)
         yield pa.RecordBatch.from_arrays([pa.nulls(SKETCH_PARTS, t) for t in (pa.int64(), pa.binary(), pa.int64())] + [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names)
 
@@ -153,6 +154,7 @@ def entries(rows: DataFrame, often: np.ndarray, n_buckets: int, limit: Threshold
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=n_buckets))
                 packed = [b"".join(np.ascontiguousarray(out[a:b][c]).tobytes() for c in ENTRY.names) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "packed"])
+        trim()
 
     return rows.mapInArrow(run, "bucket int, packed binary")
 
@@ -248,7 +250,10 @@ def alike(x: np.ndarray, y: np.ndarray, limit: Threshold) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The links (u, v) among distinct pairs (u, v) of set ids; ``sets`` has set_id and the sorted shingles as bytes."""
-    met = pairs.join(sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("y")), "v").join(sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("x")), "u").select("u", "v", "x", "y")
+    sent = F.broadcast(pairs) if pairs.count() <= FEW_IDS else pairs
+    side = lambda end, name: sets.select(F.col("set_id").alias(end), F.col("shingles").alias(name)).join(sent, end)
+    # the ends of a pair meet by the pair, so that a set with very many partners is spread
+    met = side("v", "y").join(side("u", "x"), ["u", "v"]).select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,7 +264,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFrame:
-    """set_id, shingles (sorted, as bytes) of the set ids in ``wanted``, built from the texts of one document each; sets
+    """set_id, shingles (sorted, as bytes) of the set ids in ``wanted`` at least, built from the texts of one document each; sets
     that only rows of null id have are built from all such rows."""
     one = materialise(with_node.where("least IS NOT NULL").join(wanted, "set_id", "left_semi").select("set_id", F.col("least").alias("doc_id")), "jaccard-chosen")
     ids = one.select("doc_id").distinct()
@@ -275,8 +280,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFra
     rest = wanted.join(one, "set_id", "left_anti")
     if not rest.isEmpty():
         built = built.unionByName(build(rows.where("doc_id IS NULL")))
-    # rows that share an id can bring other sets, or one set twice
-    return built.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    return built  # rows that share an id can bring other sets, or one set twice, which does no harm
 
 
 def node_of(least: Column, set_id: Column) -> Column:
