@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docflow.llm.common import write_table
+from docflow.llm.common import trim, write_table
 from docflow.llm.units import units
 
 #: Units that a worker remembers with their ids.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+#: Documents split into units at a time.
+DOCS_AT_ONCE = 250
 #: Units tokenised as one text.
 JOINED = 2_000
 PLAN_SCHEMA = "length int, first long, n long, sequence long, offset long, each long"
@@ -219,14 +221,14 @@ def tokenizer_of(path: str):
     return tokenizer, spaced, {}, {}
 
 
-def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
+def token_bytes(texts: list[str], path: str, remembered: int = REMEMBERED) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers."""
     tokenizer, spaced, heads, tails = tokenizer_of(path)
     for known in (heads, tails):
-        if len(known) > REMEMBERED:  # short ones come again most
+        if len(known) > remembered:  # short ones come again most
             short = {x: known[x] for x in known if len(x) < 6}
             known.clear()
-            known.update(short if len(short) < REMEMBERED / 2 else {})
+            known.update(short if len(short) < remembered / 2 else {})
     parts = [units(x) if x else [] for x in texts]
     new = list({p[0] for p in parts if p} - heads.keys())
     heads.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
@@ -244,16 +246,17 @@ def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
         yield heads[p[0]] + b"".join(map(tails.__getitem__, p[1:])) if p else b""
 
 
-def cut_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the end id, cut if longer than ``capacity``."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                b = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, DOCS_AT_ONCE):
+                b = batch.slice(lo, DOCS_AT_ONCE)
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc, ids in zip(b.column(0).to_pylist(), token_bytes([x or "" for x in b.column(1).to_pylist()], path), strict=True):
+                for doc, ids in zip(b.column(0).to_pylist(), token_bytes([x or "" for x in b.column(1).to_pylist()], path, remembered), strict=True):
                     view = memoryview(ids + end)
                     n = len(view) // 4
                     first = n % capacity or capacity
@@ -292,13 +295,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, small: int | None = None, grou
     return placed.select(*pieces.columns, (F.col("sequence") + F.floor(k / F.col("each"))).cast("long").alias("sequence_id"), (F.col("run_offset") + (k % F.col("each")) * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Tokenises documents and packs them: doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece.
 
     Null texts count as empty: their one piece is the end id. Very long texts give as many pieces as they need.
     Documents with the same id, and repeated rows, are packed each for itself. No rows in, no rows out. Only the two
     columns named are read, whatever others there are.
+    ``remembered``: units a worker keeps with their ids; fewer take less memory and more time, the ids are the same.
     The pieces are written to the shared folder, so no text is tokenised twice.
     """
-    spark, pieces = df.sparkSession, cut_pieces(df, path, capacity, end_id, id_col, text_col)
+    spark, pieces = df.sparkSession, cut_pieces(df, path, capacity, end_id, id_col, text_col, remembered)
     return pack(spark.read.schema(pieces.schema).parquet(write_table(pieces, "pieces")), capacity)
