@@ -37,7 +37,7 @@ from docflow.llm.units import units
 #: Units that a worker remembers with their ids.
 REMEMBERED = 1_000_000
 #: Documents split into units at a time.
-DOCS_AT_ONCE = 250
+DOCS_AT_ONCE = 1000
 #: Units tokenised as one text.
 JOINED = 2_000
 PLAN_SCHEMA = "length int, first long, n long, sequence long, offset long, each long"
@@ -265,6 +265,9 @@ def cut_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2,
                         for column, value in zip(rows, (doc, k, s, e - s, zlib.crc32(view[4 * s : 4 * e])), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if remembered < REMEMBERED:  # memory is short, so nothing is kept for the worker's next task
+            tokenizer_of.cache_clear()
+        trim()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
