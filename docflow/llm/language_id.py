@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docflow.llm.common import fresh
+from docflow.llm.common import fresh, trim
 
 MAX_LANGUAGES = 256
 LETTER = regex.compile(r"\p{L}")
@@ -179,6 +179,8 @@ def drop_rejected(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
         for b in batches:
             keep = [not classify(x.as_py(), model)[2] for x in b.column(b.num_columns - 1)]
             yield b.select(range(b.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
+        compressors.cache_clear()
+        trim()
 
     return df.withColumn(name, F.col(text_col)).mapInArrow(run, df.schema)
 
