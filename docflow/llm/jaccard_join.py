@@ -37,6 +37,8 @@ SKETCH_BITS = 21
 SKETCH_PARTS = 32
 #: Occurrences of a shingle for each of its buckets.
 SALT_COUNT = 200_000
+#: Groups that the partners of one set are dealt into.
+HUB_SALTS = 16
 #: Parts of the sketch that one task adds up.
 PARTS_AT_ONCE = 64
 #: Documents' ids and pairs that are sent to all executors at most; more are met by a shuffle.
@@ -204,6 +206,7 @@ def shared(packed: DataFrame, n_buckets: int) -> DataFrame:
                 [pa.array(e["shingle"].view(np.int64)), binary(e["lo"], e["hi"]), pa.array(e["size"].astype(np.int32)), pa.array(e["place"].astype(np.int32)), binary(hub["lo"], hub["hi"]), pa.array(hub["size"].astype(np.int32)), pa.array(hub["place"].astype(np.int32)), pa.array(more)],
                 ["shingle", "set_id", "size", "place", "hub", "hub_size", "hub_place", "more"],
             )
+        trim()
 
     return packed.repartition(n_buckets, "bucket").mapInArrow(run, "shingle long, set_id binary, size int, place int, hub binary, hub_size int, hub_place int, more boolean")
 
@@ -217,6 +220,14 @@ def filtered(limit: Threshold, n: str, i: str, m: str, j: str):
     return length & (left * (part + whole) >= (F.col(n) + F.col(m)).cast("long") * part)
 
 
+def reachable(limit: Threshold, n: str, m: str, shared: str) -> Column:
+    """Whether two sets can reach the overlap, given how many shingles their prefixes share. The prefix that ends first
+    has no shingle in the other's rest, so all else that is shared is in its own rest."""
+    part, whole = limit.part, limit.whole
+    rest = F.greatest(*(F.ceil(F.col(c) * part / whole) - 1 for c in (n, m)))
+    return (F.col(shared) + rest) * (part + whole) >= (F.col(n) + F.col(m)).cast("long") * part
+
+
 def far_apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> int:
     """Suffix filter: a lower bound of the symmetric difference of two sorted sets, split at a pivot of the larger one;
     stops once it is over ``most``."""
@@ -250,15 +261,20 @@ def alike(x: np.ndarray, y: np.ndarray, limit: Threshold) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The links (u, v) among distinct pairs (u, v) of set ids; ``sets`` has set_id and the sorted shingles as bytes."""
-    sent = F.broadcast(pairs) if pairs.count() <= FEW_IDS else pairs
-    side = lambda end, name: sets.select(F.col("set_id").alias(end), F.col("shingles").alias(name)).join(sent, end)
-    # the ends of a pair meet by the pair, so that a set with very many partners is spread
-    met = side("v", "y").join(side("u", "x"), ["u", "v"]).select("u", "v", "x", "y")
+    few = pairs.count() <= FEW_IDS
+    sent = lambda some: F.broadcast(some) if few else some
+    salt = F.pmod(F.xxhash64("u"), F.lit(HUB_SALTS)).cast("int").alias("salt")
+    hubs = pairs.select("v", salt).distinct()
+    # the set of each pair's first end goes to the second's, which is sent once for each of its salts
+    firsts = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("x")).join(sent(pairs), "u").select("u", "v", salt, "x")
+    seconds = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("y")).join(sent(hubs), "v")
+    met = firsts.join(seconds, ["v", "salt"]).select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [alike(np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8"), limit) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return met.mapInArrow(run, "u binary, v binary")
 
@@ -274,6 +290,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFra
             for _, shingles, at in document_sets(batch):
                 found = [shingles[a:b] for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["set_id", "shingles"])
+        trim()
 
     build = lambda some: some.mapInArrow(run, "set_id binary, shingles binary")
     built = build(rows.join(F.broadcast(ids) if one.count() <= FEW_IDS else ids, "doc_id", "left_semi"))
@@ -320,7 +337,7 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     with_node = materialise(with_node.select("set_id", "least", node_of(F.col("least"), F.col("set_id")).alias("node")), "jaccard-sets")
 
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    to_hub = met.where((F.col("set_id") != F.col("hub")) & filtered(limit, "size", "place", "hub_size", "hub_place")).select(*ordered("set_id", "hub")).distinct()
+    to_hub = met.where((F.col("set_id") != F.col("hub")) & filtered(limit, "size", "place", "hub_size", "hub_place")).select(F.col("set_id").alias("u"), F.col("hub").alias("v")).distinct()
     first_pairs = materialise(to_hub, "jaccard-pairs")
     first_links = materialise(as_nodes(link(rows, with_node, first_pairs, limit), with_node), "jaccard-links")
     groups = materialise(components(first_links), "jaccard-groups")
@@ -335,8 +352,15 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     open_ = own.join(mixed_, "shingle", "left_semi").withColumn("band", band)
     x, y = (open_.select(F.col("shingle").alias(f"{p}_shingle"), *(F.col(c).alias(f"{p}_{c}") for c in ("set_id", "size", "place", "root", "band"))) for p in "xy")
     y = y.withColumn("near", F.explode(F.sequence(F.col("y_band") - 1, F.col("y_band") + 1)))
-    apart = (F.col("x_root") != F.col("y_root")) & (F.col("x_set_id") < F.col("y_set_id")) & filtered(limit, "x_size", "x_place", "y_size", "y_place")
-    rest = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_band") == F.col("near")) & apart).select(*ordered("x_set_id", "y_set_id")).distinct().join(first_pairs, ["u", "v"], "left_anti")
+    apart = (F.col("x_root") != F.col("y_root")) & (F.col("x_set_id") < F.col("y_set_id"))
+    each = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_band") == F.col("near")) & apart)
+    placed = filtered(limit, "x_size", "x_place", "y_size", "y_place")
+    pairs = each.groupBy(F.col("x_set_id").alias("u"), F.col("y_set_id").alias("v"), "x_size", "y_size").agg(F.count(F.lit(1)).alias("shared"), F.max(placed).alias("placed"))
+    # shingles of just two sets aren't among these, but count
+    twos = met.where("NOT more AND set_id <> hub").groupBy(*ordered("set_id", "hub")).agg(F.count(F.lit(1)).alias("twos"))
+    pairs = pairs.where("placed").join(twos, ["u", "v"], "left").withColumn("shared", F.col("shared") + F.coalesce("twos", F.lit(0)))
+    known_pairs = first_pairs.select(*ordered("u", "v"))
+    rest = pairs.where(reachable(limit, "x_size", "y_size", "shared")).select("u", "v").join(known_pairs, ["u", "v"], "left_anti")
     second_pairs = materialise(rest, "jaccard-pairs")
     drop_table(spark, met_path)
     second_links = as_nodes(link(rows, with_node, second_pairs, limit), with_node)
