@@ -61,7 +61,10 @@ def stitch(df: DataFrame, doc: str = "doc_id", page: str = "page_idx", text: str
 
 
 def merge_pages(df: DataFrame, mode: str = "paginated", doc: str = "doc_id", page: str = "page_idx", text: str = "text") -> DataFrame:
-    """doc, text: the pages with page breaks between them (paginated), or reflowed and stitched (any other mode)."""
+    """doc, text: the pages with page breaks between them (paginated: each stripped; cached: as they are), or reflowed and
+    stitched (any other mode)."""
+    if mode == "cached":
+        return df.groupBy(doc).agg(in_order(page, F.coalesce(text, F.lit("")), PAGE_BREAK).alias("text"))
     if mode == "paginated":
         return df.groupBy(doc).agg(in_order(page, strip(F.coalesce(text, F.lit(""))), PAGE_BREAK).alias("text"))
     return stitch(reflow(df, [doc, page], text), doc, page)

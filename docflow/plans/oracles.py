@@ -223,7 +223,7 @@ ORACLE_SQL = {
     "cached_render": f"""WITH {MIDDLE},
         md AS (SELECT doc_id, page_idx, block_idx, {NL2} || CASE WHEN tag IS NOT NULL THEN '![' || lower(label) || '](' || image_path || ')' ELSE {styled("lower(label)", "'Text ' || block_idx || 'end of block'")} END || {NL2} AS md FROM nb),
         pg AS (SELECT p.doc_id, p.page_idx, coalesce(string_agg(md, {NL2} ORDER BY block_idx), '') AS text FROM ({duck(PAGES)}) p LEFT JOIN md USING (doc_id, page_idx) GROUP BY ALL),
-        doc AS (SELECT doc_id, string_agg({strip("text")}, {BREAK} ORDER BY page_idx) AS text FROM pg GROUP BY doc_id)
+        doc AS (SELECT doc_id, string_agg(text, {BREAK} ORDER BY page_idx) AS text FROM pg GROUP BY doc_id)
         SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS sha FROM doc""",
     "cache_split": """SELECT lang, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS cached, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS sum_id FROM documents GROUP BY ALL""",
     "html_table_spans": rf"""WITH h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '{HTML_TABLE}' ELSE html END AS html FROM pages)

@@ -205,7 +205,7 @@ def middle_json_roundtrip(spark, sf_dir):
 def cached_render(spark, sf_dir):
     pages, blocks = render.from_middle(middle(spark, sf_dir))
     md = render.render_pages(pages, blocks, "cached")
-    return reflow.merge_pages(md.select("doc_id", "page_idx", F.col("markdown").alias("text"))).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+    return reflow.merge_pages(md.select("doc_id", "page_idx", F.col("markdown").alias("text")), "cached").select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
 def cache_split(spark, sf_dir):

@@ -239,3 +239,10 @@ def test_both_dialects_of_the_nested_form(spark):
 def test_settings():
     s = files.Settings.from_env({"VLLM_API_URL": "http://h/v1/chat/completions"})
     assert s.models_url == "http://h/v1/models" and files.output_folder("/x/a.b.pdf") == "ocr_output/a.b"
+
+
+def test_pages_of_cached_documents_keep_their_white_space(spark):
+    """By hand: blocks bring their own blank lines, and pages are joined as they are."""
+    df = spark.createDataFrame([(1, 1, "\n\n![figure](a.png)\n\n"), (1, 0, "\n\nText\n\n\n\n\n\nmore\n\n"), (1, 2, "")], "doc_id long, page_idx int, text string")
+    text = reflow.merge_pages(df, "cached").first().text
+    assert text == "\n\nText\n\n\n\n\n\nmore\n\n" + "\n\n\\newpage\n\n" + "\n\n![figure](a.png)\n\n" + "\n\n\\newpage\n\n"
