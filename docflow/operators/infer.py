@@ -5,6 +5,8 @@ A factory makes the model once for each worker process; failures become a status
 
 from __future__ import annotations
 
+import hashlib
+import threading
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +53,17 @@ def blank_image() -> bytes:
     return pixels.to_png(np.full((100, 100, 3), 255, np.uint8))
 
 
-_models: dict[int, object] = {}
+_models: dict[bytes, object] = {}
+_lock = threading.Lock()
 
 
 def _model(factory: Callable[[], object]) -> object:
-    key = hash(getattr(factory, "__qualname__", repr(factory)))
-    if key not in _models:
-        _models[key] = factory()
-    return _models[key]
+    """The worker's model of a factory, made once; factories are told apart by all that they hold."""
+    key = hashlib.sha256(cloudpickle.dumps(factory)).digest()
+    with _lock:
+        if key not in _models:
+            _models[key] = factory()
+        return _models[key]
 
 
 def detect(pages: DataFrame, factory: Callable[[], LayoutModel], keys: str = "doc_id string, page_idx int") -> DataFrame:

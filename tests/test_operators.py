@@ -246,3 +246,9 @@ def test_pages_of_cached_documents_keep_their_white_space(spark):
     df = spark.createDataFrame([(1, 1, "\n\n![figure](a.png)\n\n"), (1, 0, "\n\nText\n\n\n\n\n\nmore\n\n"), (1, 2, "")], "doc_id long, page_idx int, text string")
     text = reflow.merge_pages(df, "cached").first().text
     assert text == "\n\nText\n\n\n\n\n\nmore\n\n" + "\n\n\\newpage\n\n" + "\n\n![figure](a.png)\n\n" + "\n\n\\newpage\n\n"
+
+
+def test_models_of_one_function_are_told_apart():
+    make = lambda name: lambda: [name]
+    first, second = infer._model(make("a")), infer._model(make("b"))
+    assert (first, second) == (["a"], ["b"]) and infer._model(make("a")) is first
