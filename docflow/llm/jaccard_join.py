@@ -41,7 +41,7 @@ SALT_COUNT = 200_000
 HUB_SALTS = 16
 #: Parts of the sketch that one task adds up.
 PARTS_AT_ONCE = 64
-#: Documents' ids and pairs that are sent to all executors at most; more are met by a shuffle.
+#: Rows of ids, pairs and nodes that are sent to all executors at most; more are met by a shuffle.
 FEW_IDS = 200_000
 
 
@@ -220,14 +220,6 @@ def filtered(limit: Threshold, n: str, i: str, m: str, j: str):
     return length & (left * (part + whole) >= (F.col(n) + F.col(m)).cast("long") * part)
 
 
-def reachable(limit: Threshold, n: str, m: str, shared: str) -> Column:
-    """Whether two sets can reach the overlap, given how many shingles their prefixes share. The prefix that ends first
-    has no shingle in the other's rest, so all else that is shared is in its own rest."""
-    part, whole = limit.part, limit.whole
-    rest = F.greatest(*(F.ceil(F.col(c) * part / whole) - 1 for c in (n, m)))
-    return (F.col(shared) + rest) * (part + whole) >= (F.col(n) + F.col(m)).cast("long") * part
-
-
 def far_apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> int:
     """Suffix filter: a lower bound of the symmetric difference of two sorted sets, split at a pivot of the larger one;
     stops once it is over ``most``."""
@@ -261,13 +253,11 @@ def alike(x: np.ndarray, y: np.ndarray, limit: Threshold) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The links (u, v) among distinct pairs (u, v) of set ids; ``sets`` has set_id and the sorted shingles as bytes."""
-    few = pairs.count() <= FEW_IDS
-    sent = lambda some: F.broadcast(some) if few else some
     salt = F.pmod(F.xxhash64("u"), F.lit(HUB_SALTS)).cast("int").alias("salt")
     hubs = pairs.select("v", salt).distinct()
     # the set of each pair's first end goes to the second's, which is sent once for each of its salts
-    firsts = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("x")).join(sent(pairs), "u").select("u", "v", salt, "x")
-    seconds = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("y")).join(sent(hubs), "v")
+    firsts = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("x")).join(few(pairs), "u").select("u", "v", salt, "x")
+    seconds = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("y")).join(few(hubs), "v")
     met = firsts.join(seconds, ["v", "salt"]).select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +272,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFrame:
     """set_id, shingles (sorted, as bytes) of the set ids in ``wanted`` at least, built from the texts of one document each; sets
     that only rows of null id have are built from all such rows."""
-    one = materialise(with_node.where("least IS NOT NULL").join(wanted, "set_id", "left_semi").select("set_id", F.col("least").alias("doc_id")), "jaccard-chosen")
+    one = materialise(with_node.where("least IS NOT NULL").join(few(wanted), "set_id", "left_semi").select("set_id", F.col("least").alias("doc_id")), "jaccard-chosen")
     ids = one.select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +283,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFra
         trim()
 
     build = lambda some: some.mapInArrow(run, "set_id binary, shingles binary")
-    built = build(rows.join(F.broadcast(ids) if one.count() <= FEW_IDS else ids, "doc_id", "left_semi"))
+    built = build(rows.join(few(ids), "doc_id", "left_semi"))
     rest = wanted.join(one, "set_id", "left_anti")
     if not rest.isEmpty():
         built = built.unionByName(build(rows.where("doc_id IS NULL")))
@@ -343,8 +333,8 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     groups = materialise(components(first_links), "jaccard-groups")
 
     # shingles whose sets are still in several components
-    roots = with_node.join(groups, "node").select("set_id", "root")
-    own = met.where("more").select("shingle", "set_id", "size", "place").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    roots = materialise(with_node.join(few(groups), "node").select("set_id", "root"), "jaccard-roots")
+    own = met.where("more").select("shingle", "set_id", "size", "place").join(few(roots), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     own = materialise(own, "jaccard-open")
     mixed_ = own.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
     # sizes that the length filter lets meet are in one band or in neighbouring ones
@@ -352,30 +342,29 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     open_ = own.join(mixed_, "shingle", "left_semi").withColumn("band", band)
     x, y = (open_.select(F.col("shingle").alias(f"{p}_shingle"), *(F.col(c).alias(f"{p}_{c}") for c in ("set_id", "size", "place", "root", "band"))) for p in "xy")
     y = y.withColumn("near", F.explode(F.sequence(F.col("y_band") - 1, F.col("y_band") + 1)))
-    apart = (F.col("x_root") != F.col("y_root")) & (F.col("x_set_id") < F.col("y_set_id"))
-    each = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_band") == F.col("near")) & apart)
-    placed = filtered(limit, "x_size", "x_place", "y_size", "y_place")
-    pairs = each.groupBy(F.col("x_set_id").alias("u"), F.col("y_set_id").alias("v"), "x_size", "y_size").agg(F.count(F.lit(1)).alias("shared"), F.max(placed).alias("placed"))
-    # shingles of just two sets aren't among these, but count
-    twos = met.where("NOT more AND set_id <> hub").groupBy(*ordered("set_id", "hub")).agg(F.count(F.lit(1)).alias("twos"))
-    pairs = pairs.where("placed").join(twos, ["u", "v"], "left").withColumn("shared", F.col("shared") + F.coalesce("twos", F.lit(0)))
-    known_pairs = first_pairs.select(*ordered("u", "v"))
-    rest = pairs.where(reachable(limit, "x_size", "y_size", "shared")).select("u", "v").join(known_pairs, ["u", "v"], "left_anti")
+    apart = (F.col("x_root") != F.col("y_root")) & (F.col("x_set_id") < F.col("y_set_id")) & filtered(limit, "x_size", "x_place", "y_size", "y_place")
+    rest = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_band") == F.col("near")) & apart).select(*ordered("x_set_id", "y_set_id")).distinct()
+    rest = rest.join(first_pairs.select(*ordered("u", "v")), ["u", "v"], "left_anti")
     second_pairs = materialise(rest, "jaccard-pairs")
     drop_table(spark, met_path)
     second_links = as_nodes(link(rows, with_node, second_pairs, limit), with_node)
 
     stars = groups.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    found = components(stars.unionByName(second_links))
-    named = with_node.join(found, "node", "left").select("set_id", least_of(F.coalesce("root", "node")).alias("component_id"))
+    found = materialise(components(stars.unionByName(second_links)), "jaccard-groups")
+    named = with_node.join(few(found), "node", "left").select("set_id", least_of(F.coalesce("root", "node")).alias("component_id"))
     whole = known.where("set_id IS NOT NULL").join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return whole.unionByName(known.where("set_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def few(frame: DataFrame) -> DataFrame:
+    """The frame, sent to all executors where it is small."""
+    return F.broadcast(frame) if frame.count() <= FEW_IDS else frame
+
+
 def as_nodes(links: DataFrame, with_node: DataFrame) -> DataFrame:
     """Links (u, v) of sets as links of their nodes."""
     for end in "uv":
-        links = links.join(with_node.select(F.col("set_id").alias(end), "node"), end).drop(end).withColumnRenamed("node", end)
+        links = with_node.select(F.col("set_id").alias(end), "node").join(few(links), end).drop(end).withColumnRenamed("node", end)
     return links.select("u", "v")
 
 
