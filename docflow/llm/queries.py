@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their oracle SQL."""
+"""The registered queries of the operators, and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import license_scan, pii
+from docflow.llm import license_scan, pii, prefix_trie, secret_scan
 from docflow.llm.bpe import encode_digests
 from docflow.llm.common import documents
 from docflow.llm.exact_dedup import exact_dedup
@@ -16,6 +16,7 @@ from docflow.llm.nearest import search
 from docflow.llm.packing import pack_documents
 from docflow.llm.suffix_dedup import remove_repeats
 from docflow.llm.suffix_tree_lm import score_documents
+from docflow.llm.whitening import whiten
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,6 +84,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL = {
@@ -89,4 +105,5 @@ ORACLE_SQL = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_prefix_trie": prefix_trie.oracle_sql(),
 }
