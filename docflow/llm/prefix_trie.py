@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm.common import materialise
+from docflow.llm.common import drop_table, materialise, write_table
 
 #: Bytes of a turn's digest.
 TURN = 16
@@ -359,7 +359,11 @@ def prefix_trie(df: DataFrame, **sizes: int) -> DataFrame:
     * An empty table has no conversation, so no node, not even a root.
     * Only conv_id, turn, role and text are read, whatever the other columns are called.
     """
-    return trie_of(materialise(rebuilt(df), "trie-paths"), **sizes)
+    spark, paths = df.sparkSession, rebuilt(df)
+    table = write_table(paths, "trie-paths")
+    found = trie_of(spark.read.schema(paths.schema).parquet(table), **sizes)
+    drop_table(spark, table)  # read for the last time where the nodes were written
+    return found
 
 
 def oracle_sql() -> str:

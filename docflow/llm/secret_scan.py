@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docflow.llm.common import materialise
+from docflow.llm.common import drop_table, materialise, write_table
 from docflow.llm.pii import lines_of, with_matches
 
 #: The three base kinds in their order. Fixed patterns, written for Java: possessive where nothing can be given back, and
@@ -97,10 +97,9 @@ def linked(near_parts: DataFrame) -> DataFrame:
     return told.where(~F.col("inside") & (F.col("by_strong") | (F.col("roles") == 2))).select("text_key", "k", "start")
 
 
-def credential_parts(df: DataFrame, text_col: str = "text", reach: int = 200) -> DataFrame:
-    """text_key (SHA-256 of the text), kind, k, start, end, match, role, strong: the base spans and the weak parts that
-    are linked. Equal texts are read once."""
-    parts = materialise(parts_of(df, text_col), "secret-parts")
+def credential_parts(parts: DataFrame, reach: int = 200) -> DataFrame:
+    """text_key (SHA-256 of the text), kind, k, start, end, match, role, strong: of all parts the base spans, and the weak
+    ones that are linked."""
     weak = parts.join(linked(near(parts, reach)), ["text_key", "k", "start"], "left_semi")
     return parts.where("strong").unionByName(weak.select(*parts.columns)).drop("scope")
 
@@ -118,10 +117,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: i
     said = F.struct("start", "k", F.concat_ws(":", "kind", "start", "end").alias("said"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: x["said"]), ",")
     counts = [F.count_if(F.col("kind") == x).alias(f"n_{x}") for x in BASE] + [F.count_if(F.col("role") == x).alias(f"n_{x}") for x in ("identifier", "secret", "endpoint")]
-    by_text = credential_parts(df, text_col, reach).groupBy("text_key").agg(*counts, F.array_sort(F.collect_list(said)).alias("all"))
+    spark, parts = df.sparkSession, parts_of(df, text_col)
+    table = write_table(parts, "secret-parts")
+    by_text = credential_parts(spark.read.schema(parts.schema).parquet(table), reach).groupBy("text_key").agg(*counts, F.array_sort(F.collect_list(said)).alias("all"))
     names = [f"n_{x}" for x in BASE], ["base_sha256", "spans"], ["n_identifier", "n_secret", "n_endpoint"]
     base = F.sha2(joined(F.filter("all", lambda x: x["k"] < len(BASE))), 256).alias("base_sha256")
     found = materialise(by_text.select("text_key", *names[0], base, joined(F.col("all")).alias("spans"), *names[2]), "secret-spans")  # so that the join's hot texts can be split
+    drop_table(spark, table)
     none = {c: F.lit(0).cast("long") for c in names[0]} | {"base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit("")} | {c: F.lit(0).cast("long") for c in names[2]}
     doc_id, could = F.col(id_col).cast("long").alias("doc_id"), suspect(F.col(text_col))
     met = df.where(could).select(doc_id, F.sha2(text_col, 256).alias("text_key")).join(found, "text_key", "left")

@@ -21,7 +21,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import materialise
+from docflow.llm.common import drop_table, write_table
 
 #: Steps in which a component is measured.
 STEPS = 256
@@ -133,13 +133,15 @@ def whiten(df: DataFrame, k: int = 4, id_col: str = "vec_id", vector_col: str =
         return spark.createDataFrame([], OUT)
     dims = lengths["dims"]
     kept = kept.where(F.size("v") == dims).select("vec_id", whole_steps(F.col("v")).alias("x"))
-    fit = materialise(kept.select("x").distinct(), "whitening-fit")
+    table = write_table(kept.select("x").distinct(), "whitening-fit")
+    fit = spark.read.schema("x array<long>").parquet(table)
     found = moments(fit)
     values, vectors = components(fit, found, k)
+    to_white = vectors / np.sqrt(values)
+    total, error = spread(fit, found, to_white) if len(values) else (1.0, 0.0)
+    drop_table(spark, table)
     if not len(values):
         return spark.createDataFrame([], OUT)
-    to_white = vectors / np.sqrt(values)
-    total, error = spread(fit, found, to_white)
     explained = values / total
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
