@@ -12,7 +12,7 @@ HYPHENS = "-­‐‑⁃"
 HYPHEN = r"[-\x{ad}\x{2010}\x{2011}\x{2043}]"
 SENTENCE_END = r"[.!?。！？…”\x22]"
 CJK = r"[\x{4e00}-\x{9fff}]"
-#: Lines that are never joined with others, after stripping.
+#: How lines begin that are never joined with others, after stripping (fixed values).
 SENSITIVE = r"^(?:#|- |\* |> |\||<table|</table|\$\$|[0-9]+\.|(?:Figure|Fig\.|Table)" + WS + r"*[0-9]+)"
 #: Full-width digits and letters and their half-width forms, from their code points.
 FULL = "".join(chr(c + 0xFEE0) for r in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)) for c in range(*r))

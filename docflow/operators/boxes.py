@@ -15,7 +15,7 @@ PAGE_PROMPTS = {"text": "Text Recognition:", "table": "Table Recognition:", "for
 PAGE_TOKENS = 1536
 PICTURES = ("figure", "image", "chart")
 #: Colours of the overlay by label (fixed values).
-OVERLAY = {"text": "green", "table": "blue", "figure": "red", "image": "red", "chart": "orange", "formula": "purple"}
+OVERLAY = {"text": "green", "table": "blue", "formula": "red", "figure": "purple", "image": "purple", "chart": "purple"}
 PAGE = ["doc_id", "page_idx"]
 
 

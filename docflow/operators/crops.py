@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from docflow.operators import mask, pixels
 
@@ -77,7 +78,8 @@ def crop_images(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     Pictures are cut at their corners. Ocr blocks are padded, blanked out, and scaled up if under 64 high; n_white counts
     white pixels before that. Boxes of pages without a picture have no row, empty crops no image.
     """
-    left = pages.select(*PAGE, "width", "height", "nChannels", "data").groupBy(*PAGE)
+    # keys under new ids, as pages and boxes may come from one table
+    left = pages.select(*(F.col(c).alias(c) for c in PAGE), "width", "height", "nChannels", "data").groupBy(*PAGE)
     keep = [*PAGE, "det_idx", "kind", "x1", "y1", "x2", "y2", "px1", "py1", "px2", "py2", "out_w", "out_h", "masks"]
     return left.cogroup(with_masks(boxes).select(*keep).groupBy(*PAGE)).applyInPandas(_page_crops, CROP)
 
@@ -88,6 +90,11 @@ def crop_rows(crops: DataFrame, names: DataFrame) -> DataFrame:
     return met.select(F.concat("doc_id", F.lit("/"), "image_path").alias("path"), F.col("image").alias("content"))
 
 
-def page_pictures(df: DataFrame, path: Column, keys: dict[str, Column]) -> DataFrame:
-    """Decoded pictures of the image source (origin, width, ...) with keys from the end of their paths."""
-    return df.withColumns(keys).select(*keys, "width", "height", "nChannels", "data").where(path.isNotNull())
+def png(data: str, width: str, height: str, channels: str) -> Column:
+    """Decoded pictures as PNG files."""
+    return _png(data, width, height, channels)
+
+
+@F.pandas_udf(BinaryType())
+def _png(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.Series:
+    return pd.Series([pixels.to_png(pixels.from_source(*row)) for row in zip(data, width, height, channels, strict=True)])

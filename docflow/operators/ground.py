@@ -11,6 +11,7 @@ from docflow.operators.boxes import mapped
 
 #: Both ways that a tag is written (fixed value): a name and four numbers, plain or between markers.
 TAG = r"(?:<\|ref\|>)?([a-zA-Z_]+)(?:<\|/ref\|>)?(?:<\|det\|>)?(\[\[([0-9]+(?:,[\t-\r ]*[0-9]+){3})\]\])(?:<\|/det\|>)?"
+#: Markers that a recogniser leaves, and the range of its coordinates (fixed values).
 MARKERS = ("<|ref|>", "<|/ref|>", "<|det|>", "<|/det|>")
 SCALE = 1000.0
 #: Colours of the diagnosis overlay (fixed values).

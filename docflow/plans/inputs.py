@@ -29,6 +29,13 @@ BOX = f"""
 KEPT = f"SELECT * FROM ({BOX}) WHERE score >= 0.4"
 PAGES = "SELECT DISTINCT doc_id, page_idx, page_w, page_h FROM ({0})".format(KEPT)
 
+#: Boxes of small pages, one for each customer; nothing leaves its page.
+PICTURE_BOX = f"""
+    SELECT CAST(o_custkey % 50 AS STRING) AS doc_id, CAST(o_custkey AS INT) AS page_idx, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS det_idx,
+           {_case("o_orderkey % 14", LABELS)} AS label, CAST((o_orderkey * 37) % 180 AS INT) AS x1, CAST((o_orderkey * 53 + o_custkey) % 130 AS INT) AS y1,
+           CAST((o_orderkey * 37) % 180 + 10 + o_orderkey % 50 AS INT) AS x2, CAST((o_orderkey * 53 + o_custkey) % 130 + 4 + o_orderkey % 61 AS INT) AS y2, 240 AS page_w, 200 AS page_h
+    FROM {{orders}}"""
+
 #: Recognition results in any order: some early, some twice, one block of each fourth document never.
 _EVENT = """
     SELECT CAST(user_id % 10 AS STRING) AS doc_id, CAST((event_id {div} 7) % 6 AS INT) AS page_idx, CAST(event_id % 5 AS INT) AS block_idx,
@@ -57,6 +64,20 @@ def derived(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
+def pictures(pages: DataFrame) -> DataFrame:
+    """Decoded pictures, as the image source gives them, of rows with doc_id, page_idx, page_w and page_h: grey, never white."""
+    import numpy as np
+
+    def draw(frames):
+        for pdf in frames:
+            for k in range(0, len(pdf), 32):  # a picture is large, so a batch has few
+                part = pdf.iloc[k : k + 32]
+                made = [np.repeat(((np.arange(w) * 3 + np.arange(h)[:, None] * 5 + p) % 250).astype(np.uint8), 3).tobytes() for p, w, h in zip(part["page_idx"], part["page_w"], part["page_h"], strict=True)]
+                yield part[["doc_id", "page_idx"]].assign(width=part["page_w"], height=part["page_h"], nChannels=3, data=made)
+
+    return pages.mapInPandas(draw, "doc_id string, page_idx int, width int, height int, nChannels int, data binary")
+
+
 #: What is added to each text, by doc_id % 10: branches that the texts lack.
 TAILS = ("```\na-\nb\n```", "| a | b |\nc", "1. x\ny", "- x\ny", "Fig. 3 x\ny", "漢字\n漢字", "foo  \nbar", "\n---\ntext", "＃１ ＡＢｃ！\n<table>\nx\n$$\ny", "> q\nr\n* s\n# t\nu")
 LINES_SQL = (

@@ -1,11 +1,22 @@
-"""The registered queries' results in DuckDB SQL, written independently of the DataFrame operators."""
+"""The registered queries' results in DuckDB SQL, written independently of the DataFrame operators: no value is theirs."""
 
 from __future__ import annotations
 
-from docflow.functions.text import CJK, FULL, HALF, HYPHEN, SENSITIVE, SENTENCE_END, WS
-from docflow.operators.boxes import OVERLAY, PROMPTS, TEXT_PROMPT
-from docflow.operators.ground import DIAGNOSIS, TAG
-from docflow.plans.inputs import BLOCK, BOX, FILLS, GROUND, KEPT, LABELS, LINES_SQL, PAGE, PAGES, REGISTERED, duck
+from docflow.plans.inputs import BLOCK, BOX, FILLS, GROUND, KEPT, LABELS, LINES_SQL, PAGE, PAGES, PICTURE_BOX, REGISTERED, duck
+
+#: Fixed values of the data format and of line breaks.
+WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+HYPHEN = r"[-\x{ad}\x{2010}\x{2011}\x{2043}]"
+SENTENCE_END = r"[.!?。！？…”\x22]"
+CJK = r"[\x{4e00}-\x{9fff}]"
+SENSITIVE = r"^(?:#|- |\* |> |\||<table|</table|\$\$|[0-9]+\.|(?:Figure|Fig\.|Table)" + WS + r"*[0-9]+)"
+TAG = r"(?:<\|ref\|>)?([a-zA-Z_]+)(?:<\|/ref\|>)?(?:<\|det\|>)?(\[\[([0-9]+(?:,[\t-\r ]*[0-9]+){3})\]\])(?:<\|/det\|>)?"
+DIAGNOSIS = {"image": "red", "table": "blue", "chart": "orange", "title": "blue", "sub_title": "purple", "text": "green"}
+OVERLAY = {"text": "green", "table": "blue", "formula": "red", "figure": "purple", "image": "purple", "chart": "purple"}
+PROMPTS = {"table": ("Table Recognition:", 4096), "formula": ("Formula Recognition:", 256)}
+TEXT_PROMPT = ("Text Recognition:", 1024)
+FULL = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
+HALF = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 SELECTIONS = ("1, 3-5, 10", "", "  ", "a, 2, 1-2-3, -5", "5-3", "0, 1", "99", "2,2, 2-3", "1 - 4", "7-100", "１")
 HTML_TABLE = '<TABLE class="x"><tr><td>a</td></tr></table> and <table>\n<tr></tr></Table>'
@@ -105,14 +116,34 @@ def chosen(column: str, names: dict[str, str], default: str) -> str:
 
 
 _KEPT = duck(KEPT)
-CROPS = f"""
-        p AS (SELECT *, greatest(6, CAST(floor((x2 - x1) * CAST(0.02 AS DOUBLE)) AS INTEGER)) AS dx, greatest(6, CAST(floor((y2 - y1) * CAST(0.03 AS DOUBLE)) AS INTEGER)) AS dy FROM ({_KEPT})),
+def crops_sql(kept: str) -> str:
+    """CTEs up to met: crops of boxes, and the neighbours that their padding meets."""
+    return f"""
+        p AS (SELECT *, greatest(6, CAST(floor((x2 - x1) * CAST(0.02 AS DOUBLE)) AS INTEGER)) AS dx, greatest(6, CAST(floor((y2 - y1) * CAST(0.03 AS DOUBLE)) AS INTEGER)) AS dy FROM ({kept})),
         crop AS (SELECT *, greatest(0, x1 - dx) AS px1, greatest(0, y1 - dy) AS py1, least(page_w, x2 + dx) AS px2, least(page_h, y2 + dy) AS py2 FROM p),
         met AS (SELECT t.*, o.det_idx AS o_idx, (o.x2 - o.x1) * (o.y2 - o.y1) AS o_area, greatest(t.px1, o.x1) - t.px1 AS lx1, greatest(t.py1, o.y1) - t.py1 AS ly1,
                        least(t.px2, o.x2) - t.px1 AS lx2, least(t.py2, o.y2) - t.py1 AS ly2
-                FROM crop t JOIN ({_KEPT}) o ON t.doc_id = o.doc_id AND t.page_idx = o.page_idx AND t.det_idx <> o.det_idx
+                FROM crop t JOIN ({kept}) o ON t.doc_id = o.doc_id AND t.page_idx = o.page_idx AND t.det_idx <> o.det_idx
                      AND o.x1 < t.px2 AND o.x2 > t.px1 AND o.y1 < t.py2 AND o.y2 > t.py1)"""
 
+
+CORE_MASKS = """SELECT doc_id, page_idx, det_idx, o_idx, greatest(lx1, x1 - px1) AS x1, greatest(ly1, y1 - py1) AS y1, least(lx2, x2 - px1) AS x2, least(ly2, y2 - py1) AS y2
+        FROM met WHERE o_area < (x2 - x1) * (y2 - y1) * 0.5 AND least(lx2, x2 - px1) > greatest(lx1, x1 - px1) AND least(ly2, y2 - py1) > greatest(ly1, y1 - py1)"""
+RING_MASKS = """SELECT * FROM (
+        SELECT doc_id, page_idx, det_idx, o_idx, 'left' AS side, lx1 AS x1, ly1 AS y1, least(lx2, m.x1 - px1) AS x2, ly2 AS y2 FROM met m
+        UNION ALL SELECT doc_id, page_idx, det_idx, o_idx, 'right', greatest(lx1, m.x2 - px1), ly1, lx2, ly2 FROM met m
+        UNION ALL SELECT doc_id, page_idx, det_idx, o_idx, 'top', lx1, ly1, lx2, least(ly2, m.y1 - py1) FROM met m
+        UNION ALL SELECT doc_id, page_idx, det_idx, o_idx, 'bottom', lx1, greatest(ly1, m.y2 - py1), lx2, ly2 FROM met m) WHERE x2 > x1 AND y2 > y1"""
+_BOXES = duck(PICTURE_BOX)
+#: White pixels of crops: both corners of a mask are white; edges of all masks cut a crop into cells that are wholly covered or not.
+WHITE = f"""{crops_sql(_BOXES)},
+        r AS (SELECT m.doc_id, m.page_idx, m.det_idx, m.x1, m.y1, least(m.x2 + 1, c.px2 - c.px1) AS x2, least(m.y2 + 1, c.py2 - c.py1) AS y2
+              FROM (SELECT doc_id, page_idx, det_idx, x1, y1, x2, y2 FROM ({CORE_MASKS}) UNION ALL SELECT doc_id, page_idx, det_idx, x1, y1, x2, y2 FROM ({RING_MASKS})) m JOIN crop c USING (doc_id, page_idx, det_idx)),
+        xs AS (SELECT doc_id, page_idx, det_idx, x, lead(x) OVER (PARTITION BY doc_id, page_idx, det_idx ORDER BY x) AS nx FROM (SELECT DISTINCT doc_id, page_idx, det_idx, unnest([x1, x2]) AS x FROM r)),
+        ys AS (SELECT doc_id, page_idx, det_idx, y, lead(y) OVER (PARTITION BY doc_id, page_idx, det_idx ORDER BY y) AS ny FROM (SELECT DISTINCT doc_id, page_idx, det_idx, unnest([y1, y2]) AS y FROM r)),
+        cell AS (SELECT DISTINCT r.doc_id, r.page_idx, r.det_idx, x, nx, y, ny FROM r JOIN xs USING (doc_id, page_idx, det_idx) JOIN ys USING (doc_id, page_idx, det_idx) WHERE x >= r.x1 AND nx <= r.x2 AND y >= r.y1 AND ny <= r.y2),
+        white AS (SELECT doc_id, page_idx, det_idx, CAST(sum((nx - x) * (ny - y)) AS INTEGER) AS n FROM cell GROUP BY ALL)"""
+
 TAGS = rf"""
         raw AS (SELECT item_id, text, page_w, page_h, unnest(regexp_extract_all(text, '{TAG}', 1)) AS name, unnest(regexp_extract_all(text, '{TAG}', 3)) AS numbers,
                        unnest(range(len(regexp_extract_all(text, '{TAG}', 1)))) AS pos FROM ({duck(GROUND)})),
@@ -189,16 +220,23 @@ ORACLE_SQL = {
         CAST({chosen("lower(label)", {k: str(n) for k, (_, n) in PROMPTS.items()}, f"'{TEXT_PROMPT[1]}'")} AS INTEGER) AS max_tokens, count(*) AS n
         FROM {tagged(f"({_KEPT})", table=False)} WHERE tag IS NULL GROUP BY ALL""",
     "overlay_colors": f"SELECT label, {chosen('lower(label)', OVERLAY, chr(39) + 'yellow' + chr(39))} AS color, count(*) AS n, CAST(sum(x1) AS BIGINT) AS sum_x, CAST(sum(greatest(0, y1 - 12)) AS BIGINT) AS sum_y FROM ({_KEPT}) GROUP BY ALL",
-    "crop_geometry": f"""WITH {CROPS} SELECT doc_id, page_idx, det_idx, px1, py1, px2, py2,
+    "crop_geometry": f"""WITH {crops_sql(_KEPT)} SELECT doc_id, page_idx, det_idx, px1, py1, px2, py2,
         CASE WHEN py2 - py1 < 64 THEN CAST(trunc((px2 - px1) * (CAST(128 AS DOUBLE) / (py2 - py1))) AS INTEGER) ELSE px2 - px1 END AS out_w,
         CASE WHEN py2 - py1 < 64 THEN 128 ELSE py2 - py1 END AS out_h FROM crop""",
-    "mask_rects_core": f"""WITH {CROPS} SELECT doc_id, page_idx, det_idx, o_idx, greatest(lx1, x1 - px1) AS x1, greatest(ly1, y1 - py1) AS y1, least(lx2, x2 - px1) AS x2, least(ly2, y2 - py1) AS y2
-        FROM met WHERE o_area < (x2 - x1) * (y2 - y1) * 0.5 AND least(lx2, x2 - px1) > greatest(lx1, x1 - px1) AND least(ly2, y2 - py1) > greatest(ly1, y1 - py1)""",
-    "mask_rects_ring": f"""WITH {CROPS}, r AS (
-        SELECT doc_id, page_idx, det_idx, o_idx, 'left' AS side, lx1 AS x1, ly1 AS y1, least(lx2, m.x1 - px1) AS x2, ly2 AS y2 FROM met m
-        UNION ALL SELECT doc_id, page_idx, det_idx, o_idx, 'right', greatest(lx1, m.x2 - px1), ly1, lx2, ly2 FROM met m
-        UNION ALL SELECT doc_id, page_idx, det_idx, o_idx, 'top', lx1, ly1, lx2, least(ly2, m.y1 - py1) FROM met m
-        UNION ALL SELECT doc_id, page_idx, det_idx, o_idx, 'bottom', lx1, greatest(ly1, m.y2 - py1), lx2, ly2 FROM met m) SELECT * FROM r WHERE x2 > x1 AND y2 > y1""",
+    "mask_rects_core": f"WITH {crops_sql(_KEPT)} {CORE_MASKS}",
+    "mask_rects_ring": f"WITH {crops_sql(_KEPT)} {RING_MASKS}",
+    "image_scan": f"""SELECT 'p' || page_idx || '.png' AS file_name, 240 AS width, 200 AS height, 3 AS channels, md5(list_aggregate(list_transform(range(80), lambda x: repeat(printf('%02X', (x * 3 + page_idx) % 250), 3)), 'string_agg', '')) AS begins
+        FROM (SELECT DISTINCT page_idx FROM ({_BOXES}))""",
+    "mask_pixels": f"""WITH {WHITE}, t AS (SELECT *, tag IS NOT NULL AS plain FROM {tagged("crop")})
+        SELECT doc_id, page_idx, det_idx, CASE WHEN plain THEN 'image' ELSE 'ocr' END AS kind, CASE WHEN plain THEN 0 ELSE coalesce(n, 0) END AS n_white,
+               CASE WHEN plain THEN x2 - x1 WHEN py2 - py1 < 64 THEN CAST(trunc((px2 - px1) * (CAST(128 AS DOUBLE) / (py2 - py1))) AS INTEGER) ELSE px2 - px1 END AS width,
+               CASE WHEN plain THEN y2 - y1 WHEN py2 - py1 < 64 THEN 128 ELSE py2 - py1 END AS height
+        FROM t LEFT JOIN white USING (doc_id, page_idx, det_idx)""",
+    "crop_files": f"""WITH {cuts(_BOXES)} SELECT doc_id || '/images/page_' || lpad(CAST(page_idx AS VARCHAR), 7, '0') || '_' || tag || '_' || row_number() OVER (PARTITION BY doc_id, page_idx, tag ORDER BY block_idx) || '.png' AS path,
+        x2 - x1 AS width, y2 - y1 AS height FROM {tagged(headless("ranked"), formula=True)} WHERE tag IS NOT NULL""",
+    "document_files": f"""WITH {PAGE_MD}, f AS (SELECT doc_id || '/final_output.md' AS path, string_agg(CASE WHEN page_idx > 0 THEN {BREAK} || markdown ELSE markdown END, '' ORDER BY page_idx) AS text FROM page_md GROUP BY doc_id
+            UNION ALL SELECT doc_id || '/pages/page_' || lpad(CAST(page_idx + 1 AS VARCHAR), 5, '0') || '.md', markdown FROM page_md)
+        SELECT path, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS sha FROM f""",
     "skew_median": f"""WITH a AS (SELECT doc_id, page_idx, degrees(atan2(CAST(y1 + y2 % 90 - 40 - y1 AS DOUBLE), CAST(x2 - x1 AS DOUBLE))) AS d FROM ({_KEPT}))
         SELECT doc_id, page_idx, round(coalesce(median(CASE WHEN d > -15 AND d < 15 THEN d END), 0), 6) AS skew FROM a GROUP BY ALL""",
     "ground_extract": f"WITH {TAGS} SELECT * FROM tg",
@@ -220,6 +258,9 @@ ORACLE_SQL = {
     "middle_json_roundtrip": f"""WITH {MIDDLE}, pg AS (SELECT doc_id, count(*) AS n_pages, CAST(sum(page_h) AS BIGINT) AS sum_h FROM ({duck(PAGES)}) GROUP BY doc_id)
         SELECT doc_id, n_pages, sum_h, count(*) AS n_blocks, count(CASE WHEN tag IS NULL THEN 1 END) AS n_content, count(tag) AS n_images, CAST(sum(x1) AS BIGINT) AS sum_x1, count(DISTINCT lower(label)) AS n_labels
         FROM nb JOIN pg USING (doc_id) GROUP BY ALL""",
+    "middle_files": f"""WITH {MIDDLE}, pg AS (SELECT doc_id, count(*) AS n_pages, CAST(sum(page_h) AS BIGINT) AS sum_h FROM ({duck(PAGES)}) GROUP BY doc_id)
+        SELECT doc_id || '_middle' AS doc_id, n_pages, sum_h, count(*) AS n_blocks, count(CASE WHEN tag IS NULL THEN 1 END) AS n_content, count(tag) AS n_images, CAST(sum(x1) AS BIGINT) AS sum_x1, count(DISTINCT lower(label)) AS n_labels
+        FROM nb JOIN pg USING (doc_id) GROUP BY ALL""",
     "cached_render": f"""WITH {MIDDLE},
         md AS (SELECT doc_id, page_idx, block_idx, {NL2} || CASE WHEN tag IS NOT NULL THEN '![' || lower(label) || '](' || image_path || ')' ELSE {styled("lower(label)", "'Text ' || block_idx || 'end of block'")} END || {NL2} AS md FROM nb),
         pg AS (SELECT p.doc_id, p.page_idx, coalesce(string_agg(md, {NL2} ORDER BY block_idx), '') AS text FROM ({duck(PAGES)}) p LEFT JOIN md USING (doc_id, page_idx) GROUP BY ALL),
@@ -228,6 +269,6 @@ ORACLE_SQL = {
     "cache_split": """SELECT lang, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS cached, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS sum_id FROM documents GROUP BY ALL""",
     "html_table_spans": rf"""WITH h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '{HTML_TABLE}' ELSE html END AS html FROM pages)
         SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<table.*?>.*?</table>')) AS INTEGER) AS n, array_to_string(regexp_extract_all(html, '(?is)<table.*?>.*?</table>'), '|') AS tables FROM h""",
-    "chat_payload": """SELECT doc_id, md5('{"model":"m","messages":[{"role":"user","content":[{"type":"text","text":"Text Recognition:"},{"type":"image_url","image_url":{"url":"data:image/png;base64,' || base64(encode(text))
-        || '"}}]}],"max_tokens":1024,"temperature":0.0}') AS payload_md5, 'r' || doc_id AS reply FROM documents WHERE text IS NOT NULL""",
+    "chat_payload": """SELECT doc_id, md5('{"model":"m","messages":[{"role":"user","content":[{"type":"image_url","image_url":{"url":"data:image/png;base64,' || base64(encode(text))
+        || '"}},{"type":"text","text":"Text Recognition:"}]}],"temperature":0.0,"max_tokens":1024}') AS payload_md5, 'r' || doc_id AS reply FROM documents WHERE text IS NOT NULL""",
 }

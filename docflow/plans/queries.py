@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions.text import full_to_half
-from docflow.operators import assemble, boxes, ground, html_tables, infer, mask, order, pixels, reflow, render, skew
+from docflow.operators import assemble, boxes, crops, ground, html_tables, infer, mask, order, pixels, reflow, render, skew
 from docflow.plans import inputs, oracles
 from docflow.plans.inputs import derived, table
-from docflow.sources import files
+from docflow.sources import file_sink, files
+from docflow.sources.work import work_folder
 from docflow.streaming.assemble import EVENTS, assemble_stream
 
 
@@ -172,7 +171,7 @@ def assemble_document(spark, sf_dir):
 
 def stream_assemble(spark, sf_dir):
     """The same assembly as a stream over files of events: each trigger takes all that is there."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/docflow-stream-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "stream")
     blocks, registered, fills = assembly(spark, sf_dir)
     wanted = blocks.where("kind = 'ocr'").groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list("block_idx")).alias("ocr_blocks"))
     first = registered.join(wanted, ["doc_id", "page_idx"], "left").select("doc_id", "seq", F.lit("register").alias("kind"), "page_idx", F.coalesce("ocr_blocks", F.array().cast("array<int>")).alias("ocr_blocks"), F.lit(None).cast("int").alias("block_idx"), F.lit(None).cast("string").alias("content"))
@@ -196,12 +195,36 @@ def middle(spark, sf_dir):
     return render.to_middle(derived(spark, sf_dir, inputs.PAGES), blocks)
 
 
-def middle_json_roundtrip(spark, sf_dir):
-    pages, blocks = render.from_middle(middle(spark, sf_dir))
+def middle_counts(middle):
+    pages, blocks = render.from_middle(middle)
     counted = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count("content").alias("n_content"), F.count("image_path").alias("n_images"), F.sum(F.col("bbox")[0]).alias("sum_x1"), F.countDistinct("label").alias("n_labels"))
     return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("page_h").alias("sum_h")).join(counted, "doc_id")
 
 
+def middle_json_roundtrip(spark, sf_dir):
+    return middle_counts(middle(spark, sf_dir))
+
+
+def middle_files(spark, sf_dir):
+    """The nested form written as one file a document, and read again."""
+    folder = work_folder(spark, "middle")
+    file_sink.write_files(file_sink.middle_rows(middle(spark, sf_dir)), folder)
+    return middle_counts(files.middle_texts(spark, f"{folder}/*"))
+
+
+def document_files(spark, sf_dir):
+    """Documents and their pages written as files, and read again."""
+    folder, pages = work_folder(spark, "documents"), assembled(spark, sf_dir)
+    file_sink.write_files(file_sink.document_rows(render.render_documents(pages)).unionByName(file_sink.page_rows(pages)), folder)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return read.select(below(folder).alias("path"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha"))
+
+
+def below(folder, path="path"):
+    """A file's path below a folder."""
+    return F.substring_index(path, f"{folder.rsplit('/', 1)[-1]}/", -1)
+
+
 def cached_render(spark, sf_dir):
     pages, blocks = render.from_middle(middle(spark, sf_dir))
     md = render.render_pages(pages, blocks, "cached")
@@ -225,6 +248,40 @@ def chat_payload(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------------------------------------ pixels
+def picture_boxes(spark, sf_dir):
+    return derived(spark, sf_dir, inputs.PICTURE_BOX)
+
+
+def picture_files(spark, sf_dir):
+    """A folder with the pages' pictures as PNG files."""
+    folder = work_folder(spark, "pictures")
+    drawn = inputs.pictures(picture_boxes(spark, sf_dir).select("doc_id", "page_idx", "page_w", "page_h").distinct())
+    file_sink.write_files(drawn.select(F.concat(F.lit("p"), "page_idx", F.lit(".png")).alias("path"), crops.png("data", "width", "height", "nChannels").alias("content")), folder)
+    return folder
+
+
+def image_scan(spark, sf_dir):
+    read = files.decoded_images(spark, picture_files(spark, sf_dir))
+    return read.select(F.substring_index("origin", "/", -1).alias("file_name"), "width", "height", F.col("nChannels").alias("channels"), F.md5(F.hex(F.substring("data", 1, 240)).cast("binary")).alias("begins"))
+
+
+def mask_pixels(spark, sf_dir):
+    pages = inputs.pictures(picture_boxes(spark, sf_dir).select("doc_id", "page_idx", "page_w", "page_h").distinct())
+    return crops.crop_images(pages, boxes.route(picture_boxes(spark, sf_dir))).select("doc_id", "page_idx", "det_idx", "kind", "n_white", "width", "height")
+
+
+def crop_files(spark, sf_dir):
+    """Pages read from files, their pictures cut out and written as files, and those read again."""
+    read = files.decoded_images(spark, picture_files(spark, sf_dir)).withColumn("page_idx", F.regexp_extract("origin", r"p(\d+)\.png\z", 1).cast("int"))
+    found = picture_boxes(spark, sf_dir)
+    placed = boxes.route(boxes.drop_headers(order.with_reading_order(found)), formula_as_image=True)
+    names = boxes.name_crops(placed, F.concat(F.lit("page_"), F.lpad(F.col("page_idx").cast("string"), 7, "0")))
+    made = crops.crop_images(read.join(found.select("doc_id", "page_idx").distinct(), "page_idx"), placed)
+    folder = work_folder(spark, "crops")
+    file_sink.write_files(crops.crop_rows(made, names.select("doc_id", "page_idx", "det_idx", "image_path")), folder)
+    return files.decoded_images(spark, folder, deep=True).select(below(folder, "origin").alias("path"), "width", "height")
+
+
 def _pictures(spark, sf_dir):
     ids = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("page_idx")).withColumn("doc_id", F.lit("d"))
 
@@ -259,7 +316,8 @@ def infer_stub(spark, sf_dir):
 NAMES = (
     "text_fullwidth line_classify reflow_documents stitch_conversations merge_paginated merge_stream box_filter_score box_label_lookup header_footer_filter reading_order route_blocks "
     "crop_names width_bucket prompt_policy overlay_colors crop_geometry mask_rects_core mask_rects_ring skew_median ground_extract ground_rewrite ground_cleanup ground_diagnosis "
-    "page_selection fill_first_wins ordered_flush assemble_pages assemble_document stream_assemble middle_json_roundtrip cached_render cache_split html_table_spans chat_payload infer_stub"
+    "page_selection fill_first_wins ordered_flush assemble_pages assemble_document stream_assemble middle_json_roundtrip cached_render cache_split html_table_spans chat_payload infer_stub "
+    "document_files middle_files image_scan mask_pixels crop_files"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLE_SQL = oracles.ORACLE_SQL
