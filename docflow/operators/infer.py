@@ -1,27 +1,49 @@
 """Models as plug-ins: layout detection and text recognition over iterators of Arrow batches.
 
 A factory makes the model once for each worker process; failures become a status next to the row, never a lost row.
+Requests run on an event loop of the task: a window of rows is under way, answers are given in the order of rows.
 """
 
 from __future__ import annotations
 
+import asyncio
+import base64
 import hashlib
-import threading
+import inspect
 import json
+import struct
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from typing import Protocol
+from dataclasses import dataclass, replace
+from typing import Any, Protocol
+from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.text import base64_of
 from docflow.operators import pixels
-from docflow.operators.boxes import prompts
+from docflow.operators.boxes import PAGE_PROMPTS, PAGE_TOKENS, mapped, prompts
+
+#: What stands in a document where something failed (fixed values): all attempts of a request, an answer that can't be
+#: used, a block beyond the answers, a page whose layout failed.
+MARKERS = {
+    "request": "\n\n[OCR识别失败：此区域识别超时或服务端异常，标签为: {}]\n\n",
+    "answer": "[OCR识别失败: {}]",
+    "place": "[OCR识别失败：索引溢出，标签为: {}]",
+    "layout": "[Layout分析异常: {}]",
+}
+
+
+def marker(name: str, what: Column) -> Column:
+    before, after = MARKERS[name].split("{}")
+    return F.concat(F.lit(before), F.coalesce(what, F.lit("")), F.lit(after))
 
 
 class LayoutModel(Protocol):
@@ -31,103 +53,319 @@ class LayoutModel(Protocol):
 
 
 class TextRecognizer(Protocol):
-    """Sends one request and returns the text; raises on failure."""
+    """Sends one request and returns the text; raises on failure. May be a coroutine."""
 
     def recognize(self, payload: str, timeout: float) -> str: ...
 
 
 @dataclass(frozen=True)
-class Retry:
-    """attempts in all; after each failure a wait of ``wait`` times its number."""
+class Policy:
+    """How requests are made. ``attempts`` in all, after each failure a wait of ``wait`` times its number; ``concurrency``
+    requests at a time within a window of ``window`` rows; ``rate`` requests a second of each task (0: any), ``burst`` of
+    them at once; every other row waits ``stagger`` seconds first. ``keep`` left: a failed row gets a failure text; inner:
+    it is left out."""
 
     attempts: int = 3
     timeout: float = 15.0
     wait: float = 0.5
     concurrency: int = 4
+    window: int = 64
+    rate: float = 0.0
+    burst: int = 1
+    stagger: float = 0.0
+    keep: str = "left"
 
 
-#: A white picture of 100 by 100, sent where an image is missing.
-def blank_image() -> bytes:
-    import numpy as np
+#: Policies of blocks, of whole pages, and of the older protocol.
+BLOCKS = Policy()
+PAGES = Policy(attempts=1, timeout=300.0, stagger=0.2, keep="inner")
+OLDER = Policy(attempts=1, timeout=180.0, concurrency=1, keep="inner")
 
-    return pixels.to_png(np.full((100, 100, 3), 255, np.uint8))
 
+# ---- models of a worker
 
-_models: dict[bytes, object] = {}
+_models: dict[str, object] = {}
+_locks: dict[str, threading.Lock] = {}
 _lock = threading.Lock()
 
 
-def _model(factory: Callable[[], object]) -> object:
-    """The worker's model of a factory, made once; factories are told apart by all that they hold."""
-    key = hashlib.sha256(cloudpickle.dumps(factory)).digest()
+def key_of(factory: Callable[[], object]) -> str:
+    """Tells factories apart by all that they hold. Worked out once, on the driver."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def model_of(key: str, factory: Callable[[], object]) -> Any:
+    """The worker's model of a factory, made once; models of other keys don't wait for it."""
     with _lock:
+        own = _locks.setdefault(key, threading.Lock())
+    with own:
         if key not in _models:
             _models[key] = factory()
         return _models[key]
 
 
-def detect(pages: DataFrame, factory: Callable[[], LayoutModel], keys: str = "doc_id string, page_idx int") -> DataFrame:
-    """keys, scores, labels, boxes, status: raw detections of column content; status is null or what went wrong."""
-    names = [k.split()[0] for k in keys.split(", ")]
+# ---- layout
+
+def detect(pages: DataFrame, factory: Callable[[], LayoutModel], keys: str = "doc_id string, page_idx int", images: int = 16) -> DataFrame:
+    """keys, scores, labels, boxes, status: raw detections of column content; status is null or what went wrong.
+
+    The model gets up to ``images`` pictures a call; where a call fails, its pictures go one by one, so that only the one
+    at fault fails."""
+    names, key = [k.split()[0] for k in keys.split(", ")], key_of(factory)
+
+    def told(found: tuple) -> tuple:
+        scores, labels, boxes = found
+        return [float(s) for s in scores], [int(x) for x in labels], [[float(v) for v in b] for b in boxes], None
+
+    def of(model: LayoutModel, contents: list[bytes]) -> list[tuple]:
+        try:
+            found = [told(f) for f in model.detect(contents)]
+            if len(found) != len(contents):
+                raise ValueError(f"{len(found)} answers for {len(contents)} pictures")
+            return found
+        except Exception as e:
+            if len(contents) > 1:
+                return [x for c in contents for x in of(model, [c])]
+            return [(None, None, None, f"{type(e).__name__}: {e}")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            model, rows = _model(factory), []
-            for content in pdf["content"]:
-                try:
-                    scores, labels, boxes = model.detect([content])[0]
-                    rows.append(([float(s) for s in scores], [int(x) for x in labels], [[float(v) for v in b] for b in boxes], None))
-                except Exception as e:
-                    rows.append((None, None, None, f"{type(e).__name__}: {e}"))
+            contents = list(pdf["content"])
+            try:
+                model = model_of(key, factory)
+                rows = [x for k in range(0, len(contents), images) for x in of(model, contents[k : k + images])]
+            except Exception as e:  # no model
+                rows = [(None, None, None, f"{type(e).__name__}: {e}")] * len(contents)
             yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(rows, columns=["scores", "labels", "boxes", "status"])], axis=1)
 
     return pages.select(*names, "content").mapInPandas(run, f"{keys}, scores array<double>, labels array<int>, boxes array<array<double>>, status string")
 
 
+def error_pages(found: DataFrame) -> DataFrame:
+    """Blocks that stand for pages of ``detect`` whose layout failed: one of label paragraph with the failure text."""
+    message = F.regexp_replace("status", r"\A\w+: ", "")
+    return found.where("status IS NOT NULL").select(
+        "doc_id", "page_idx", F.lit(0).alias("block_idx"), F.lit("ocr").alias("kind"), F.lit("paragraph").alias("label"), F.array(*map(F.lit, (0, 0, 10, 10))).alias("bbox"),
+        marker("layout", message).alias("content"), F.lit(None).cast("string").alias("image_path"), F.lit(None).cast("string").alias("width_str"),
+    )
+
+
+# ---- requests
+
+#: A white picture of 100 by 100, sent where an image is missing.
+def blank_image() -> bytes:
+    return pixels.to_png(np.full((100, 100, 3), 255, np.uint8))
+
+
 def chat_payload(prompt: Column, image: Column, max_tokens: Column, model: str) -> Column:
-    """The JSON of a chat request with one text and one picture."""
+    """The JSON of a chat request with one picture and one text, in this order."""
     url = F.struct(F.concat(F.lit("data:image/png;base64,"), base64_of(image)).alias("url"))
-    parts = F.array(F.to_json(F.struct(F.lit("text").alias("type"), prompt.alias("text"))), F.to_json(F.struct(F.lit("image_url").alias("type"), url.alias("image_url"))))
-    head = F.concat(F.lit('{"model":"' + model + '","messages":[{"role":"user","content":['), F.array_join(parts, ","), F.lit(']}],"max_tokens":'))
-    return F.concat(head, max_tokens.cast("string"), F.lit(',"temperature":0.0}'))
+    parts = F.array(F.to_json(F.struct(F.lit("image_url").alias("type"), url.alias("image_url"))), F.to_json(F.struct(F.lit("text").alias("type"), prompt.alias("text"))))
+    head = F.concat(F.lit('{"model":"' + model + '","messages":[{"role":"user","content":['), F.array_join(parts, ","), F.lit(']}],"temperature":0.0,"max_tokens":'))
+    return F.concat(head, max_tokens.cast("string"), F.lit("}"))
+
+
+def older_payload(image: Column, mode: Column) -> Column:
+    """The JSON of a request in the older protocol."""
+    return F.to_json(F.struct(base64_of(image).alias("image_base64"), mode.alias("mode")))
 
 
 def response_text(response: Column) -> Column:
     return F.get_json_object(response, "$.choices[0].message.content")
 
 
-def recognise(tasks: DataFrame, factory: Callable[[], TextRecognizer], model: str = "recogniser", retry: Retry = Retry(), failed: str = "[recognition failed]") -> DataFrame:  # noqa: B008
-    """doc_id, page_idx, block_idx, content, status of blocks with a label and an image (null: a blank one is sent).
+class Bucket:
+    """Tokens that come at ``rate`` a second, ``burst`` of them kept; a request takes one."""
+
+    def __init__(self, rate: float, burst: int, clock: Callable[[], float] = time.monotonic):
+        self.rate, self.burst, self.clock = rate, max(burst, 1), clock
+        self.level, self.at = float(self.burst), clock()
+
+    def delay(self) -> float:
+        """Takes a token; how long to wait for it. Later callers wait longer."""
+        if self.rate <= 0:
+            return 0.0
+        now = self.clock()
+        self.level, self.at = min(self.burst, self.level + (now - self.at) * self.rate) - 1, now
+        return max(0.0, -self.level / self.rate)
+
+
+async def answered(client: TextRecognizer, payload: str, nth: int, policy: Policy, gate: asyncio.Semaphore, bucket: Bucket) -> tuple[str | None, str | None, int]:
+    """The answer, or what went wrong last, and the number of attempts."""
+    error = None
+    if policy.stagger and nth % 2:
+        await asyncio.sleep(policy.stagger)
+    async with gate:
+        for k in range(policy.attempts):
+            if late := bucket.delay():
+                await asyncio.sleep(late)
+            try:
+                if inspect.iscoroutinefunction(client.recognize):
+                    call = client.recognize(payload, policy.timeout)
+                else:
+                    call = asyncio.to_thread(client.recognize, payload, policy.timeout)
+                return await asyncio.wait_for(call, policy.timeout), None, k + 1
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+                if k + 1 < policy.attempts:
+                    await asyncio.sleep(policy.wait * (k + 1))
+    return None, error, policy.attempts
+
+
+def requests(tasks: DataFrame, factory: Callable[[], TextRecognizer], keys: list[str], policy: Policy = BLOCKS) -> DataFrame:
+    """keys, content, status, attempts for rows of keys and payload, in the order of a task's rows.
+
+    At most ``policy.window`` rows are held, whatever the number of a partition's rows: the first of them is waited for
+    while the others go on."""
+    names, key = keys, key_of(factory)
+    schema = tasks.select(*names).schema.add("content", "string").add("status", "string").add("attempts", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        loop = asyncio.new_event_loop()
+        under_way: deque[tuple[dict, asyncio.Task]] = deque()
+        try:
+            client = model_of(key, factory)
+            gate, bucket = asyncio.Semaphore(policy.concurrency), Bucket(policy.rate, policy.burst)
+            rows = (row for batch in batches for row in batch.to_pylist())
+            out: list[dict] = []
+            for nth, row in enumerate(rows):
+                under_way.append((row, loop.create_task(answered(client, row["payload"], nth, policy, gate, bucket))))
+                if len(under_way) >= policy.window:
+                    out.append(_row(names, *under_way[0], loop))
+                    under_way.popleft()
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out = []
+            out += [_row(names, *x, loop) for x in under_way]
+            yield pa.RecordBatch.from_pylist(out, arrow)
+        finally:
+            for _, task in under_way:
+                task.cancel()
+            loop.run_until_complete(loop.shutdown_asyncgens())
+            loop.run_until_complete(loop.shutdown_default_executor())
+            loop.close()
+
+    found = tasks.select(*names, "payload").mapInArrow(run, schema)
+    return found.where("status IS NULL") if policy.keep == "inner" else found
+
+
+def _row(names: list[str], row: dict, task: asyncio.Task, loop: asyncio.AbstractEventLoop) -> dict:
+    content, status, attempts = loop.run_until_complete(task)
+    if status is None and content is None:
+        status = "ValueError: an answer without text"
+    return {n: row[n] for n in names} | {"content": content, "status": status, "attempts": attempts}
+
+
+def recognise(tasks: DataFrame, factory: Callable[[], TextRecognizer], model: str = "recogniser", policy: Policy = BLOCKS) -> DataFrame:
+    """doc_id, page_idx, block_idx, content, status, attempts of blocks with a label and an image (null: a blank one is
+    sent). With ``policy.keep`` left, a block whose attempts all fail gets the failure text with its label, one whose
+    answer has no text the other failure text."""
+    ready = prompts(tasks).select("doc_id", "page_idx", "block_idx", "label", chat_payload(F.col("prompt"), F.coalesce("image", F.lit(blank_image())), F.col("max_tokens"), model).alias("payload"))
+    found = requests(ready, factory, ["doc_id", "page_idx", "block_idx", "label"], policy)
+    no_text = F.col("status").startswith("ValueError: an answer")
+    failed = F.when(no_text, marker("answer", F.regexp_replace("status", r"\A\w+: ", ""))).otherwise(marker("request", F.col("label")))
+    return found.select("doc_id", "page_idx", "block_idx", F.when(F.col("status").isNull(), F.col("content")).otherwise(failed).alias("content"), "status", "attempts")
+
+
+def recognise_pages(pages: DataFrame, factory: Callable[[], TextRecognizer], mode: Column, model: str = "recogniser", policy: Policy = PAGES, older: bool = False) -> DataFrame:
+    """doc_id, page_idx, content, status, attempts of whole pages with decoded pictures: scaled down to 1536, asked with
+    the prompt of their mode (text, table or formula; unknown modes are text), in either protocol. Failed pages are left
+    out, if the policy doesn't say otherwise."""
+    small = pages.select("doc_id", "page_idx", mode.alias("mode"), _small("data", "width", "height", "nChannels").alias("image"))
+    if older:
+        payload = older_payload(F.col("image"), F.col("mode"))
+    else:
+        payload = chat_payload(mapped(F.col("mode"), PAGE_PROMPTS, PAGE_PROMPTS["text"]), F.col("image"), F.lit(PAGE_TOKENS), model)
+    return requests(small.withColumn("payload", payload), factory, ["doc_id", "page_idx"], policy)
+
+
+def _small_pictures(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.Series:
+    return pd.Series([pixels.to_png(pixels.thumbnail(pixels.from_source(*row))) for row in zip(data, width, height, channels, strict=True)])
+
+
+def _small(*columns: str) -> Column:
+    return F.pandas_udf(_small_pictures, "binary")(*columns)
+
+
+# ---- clients
+
+async def post(url: str, body: bytes) -> tuple[int, bytes]:
+    """Status and body of a POST of JSON, over a connection of its own."""
+    to = urlsplit(url)
+    secure = to.scheme == "https"
+    reader, writer = await asyncio.open_connection(to.hostname, to.port or (443 if secure else 80), ssl=secure or None)
+    try:
+        path = (to.path or "/") + (f"?{to.query}" if to.query else "")
+        writer.write(f"POST {path} HTTP/1.0\r\nHost: {to.netloc}\r\nContent-Type: application/json\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body)
+        await writer.drain()
+        answer = await reader.read()  # to the end: HTTP/1.0 closes
+        head, _, rest = answer.partition(b"\r\n\r\n")
+        return int(head.split(b" ", 2)[1]), rest
+    finally:
+        writer.close()
 
-    Requests of a batch run in ``retry.concurrency`` threads, in order of rows; a row whose attempts all fail gets the
-    failure text and the last error.
-    """
-    ready = prompts(tasks).select("doc_id", "page_idx", "block_idx", chat_payload(F.col("prompt"), F.coalesce("image", F.lit(blank_image())), F.col("max_tokens"), model).alias("payload"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(payload: str) -> tuple[str, str | None]:
-            error = None
-            for k in range(retry.attempts):
-                try:
-                    return _model(factory).recognize(payload, retry.timeout), None
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
-                    if k + 1 < retry.attempts:
-                        time.sleep(retry.wait * (k + 1))
-            return failed, error
+@dataclass(frozen=True)
+class HttpRecognizer:
+    """Chat requests over HTTP. Anything but status 200 is a failure."""
+
+    url: str
+
+    async def recognize(self, payload: str, timeout: float) -> str | None:
+        status, body = await post(self.url, payload.encode())
+        if status != 200:
+            raise ConnectionError(f"status {status}")
+        return json.loads(body)["choices"][0]["message"]["content"]
 
-        with ThreadPoolExecutor(retry.concurrency) as pool:
-            for pdf in frames:
-                found = list(pool.map(one, pdf["payload"]))
-                yield pdf[["doc_id", "page_idx", "block_idx"]].assign(content=[c for c, _ in found], status=[s for _, s in found])
 
-    return ready.mapInPandas(run, "doc_id string, page_idx int, block_idx int, content string, status string")
+@dataclass(frozen=True)
+class OlderRecognizer:
+    """The older protocol: status, result and message."""
+
+    url: str
+
+    async def recognize(self, payload: str, timeout: float) -> str | None:
+        status, body = await post(self.url, payload.encode())
+        answer = json.loads(body) if status == 200 else {}
+        if answer.get("status") != "success":
+            raise ConnectionError(answer.get("message") or f"status {status}")
+        return answer.get("result")
+
+
+def asked(payload: str) -> tuple[str, bytes, int]:
+    """Prompt, picture and budget of a chat request."""
+    request = json.loads(payload)
+    parts = {p["type"]: p for p in request["messages"][0]["content"]}
+    return parts["text"]["text"], base64.b64decode(parts["image_url"]["image_url"]["url"].partition(",")[2]), request["max_tokens"]
 
 
 class EchoRecognizer:
-    """A stand-in for tests and dry runs: answers with the prompt and the size of what it got."""
+    """A stand-in for tests and dry runs: answers with the prompt, the budget and the picture's size."""
 
     def recognize(self, payload: str, timeout: float) -> str:
-        request = json.loads(payload)
-        text, image = request["messages"][0]["content"]
-        return f"{text['text']} {len(image['image_url']['url'])}"
+        prompt, image, budget = asked(payload)
+        width, height = struct.unpack(">II", image[16:24])
+        return f"{prompt} {budget} {width}x{height}"
+
+
+class FlakyRecognizer:
+    """A stand-in whose pictures say how often they fail first: digits, then anything."""
+
+    def __init__(self) -> None:
+        self.failed: dict[bytes, int] = {}
+
+    async def recognize(self, payload: str, timeout: float) -> str:
+        prompt, image, budget = asked(payload)
+        await asyncio.sleep(0)
+        if self.failed.get(image, 0) < int(image.split(b":")[0]):
+            self.failed[image] = self.failed.get(image, 0) + 1
+            raise ConnectionError(f"failure {self.failed[image]}")
+        self.failed.pop(image, None)
+        return f"{prompt} {image.decode()}"
+
+
+#: The policy of dry runs: no waiting.
+DRY = replace(BLOCKS, wait=0.0)

@@ -200,6 +200,8 @@ def selection() -> str:
                array_to_string(CASE WHEN selected IS NULL OR len(list_filter(selected, lambda p: p < total)) = 0 THEN range(total) ELSE list_filter(selected, lambda p: p < total) END, ',') AS pages FROM pg"""
 
 
+REQUESTS = f"""SELECT doc_id, page_idx, det_idx, label, (page_idx + det_idx) % 5 AS f, {chosen("lower(label)", {k: p for k, (p, _) in PROMPTS.items()}, f"'{TEXT_PROMPT[0]}'")} AS prompt FROM ({_KEPT})"""
+
 ORACLE_SQL = {
     "text_fullwidth": f"SELECT doc_id, translate(text, '{FULL}', '{HALF}') AS text FROM ({LINES_SQL})",
     "line_classify": f"WITH {classified(LINES_SQL, 'doc_id')} SELECT doc_id, kind, count(*) AS n, CAST(sum(i) AS BIGINT) AS places FROM k GROUP BY ALL",
@@ -271,4 +273,10 @@ ORACLE_SQL = {
         SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<table.*?>.*?</table>')) AS INTEGER) AS n, array_to_string(regexp_extract_all(html, '(?is)<table.*?>.*?</table>'), '|') AS tables FROM h""",
     "chat_payload": """SELECT doc_id, md5('{"model":"m","messages":[{"role":"user","content":[{"type":"image_url","image_url":{"url":"data:image/png;base64,' || base64(encode(text))
         || '"}},{"type":"text","text":"Text Recognition:"}]}],"temperature":0.0,"max_tokens":1024}') AS payload_md5, 'r' || doc_id AS reply FROM documents WHERE text IS NOT NULL""",
+    "infer_stub": "SELECT 'd' AS doc_id, CAST(r_regionkey AS INTEGER) AS page_idx, 0 AS block_idx, 'Text Recognition: 1024 160x120' AS content, CAST(NULL AS VARCHAR) AS status, 1 AS attempts FROM region",
+    "request_blocks": f"""SELECT doc_id, page_idx, det_idx AS block_idx, CASE WHEN f < 3 THEN prompt || ' ' || f || ':' || page_idx || ':' || det_idx ELSE {NL2} || '[OCR识别失败：此区域识别超时或服务端异常，标签为: ' || label || ']' || {NL2} END AS content,
+        CASE WHEN f >= 3 THEN 'ConnectionError: failure 3' END AS status, CAST(least(f + 1, 3) AS INTEGER) AS attempts FROM ({REQUESTS})""",
+    "request_inner": f"SELECT doc_id, page_idx, det_idx AS block_idx, prompt || ' ' || f || ':' || page_idx || ':' || det_idx AS content, CAST(f + 1 AS INTEGER) AS attempts FROM ({REQUESTS}) WHERE f < 2",
+    "page_requests": f"""SELECT doc_id, page_idx, CASE page_idx % 4 WHEN 1 THEN 'Table' WHEN 2 THEN 'Formula' ELSE 'Text' END || ' Recognition: 1536 240x200' AS content, 1 AS attempts
+        FROM (SELECT DISTINCT doc_id, page_idx FROM ({_BOXES}))""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -310,14 +312,35 @@ def infer_stub(spark, sf_dir):
     pages = _pictures(spark, sf_dir)
     found = boxes.detections(infer.detect(pages, OneBox), {0: "text", 1: "table"})
     tasks = found.select("doc_id", "page_idx", F.col("det_idx").alias("block_idx"), "label").join(pages.withColumnRenamed("content", "image"), ["doc_id", "page_idx"])
-    return infer.recognise(tasks, infer.EchoRecognizer, retry=infer.Retry(attempts=1))
+    return infer.recognise(tasks, infer.EchoRecognizer, policy=infer.DRY)
+
+
+def request_tasks(spark, sf_dir):
+    """Blocks whose picture says how often its request fails."""
+    picture = F.concat(((F.col("page_idx") + F.col("det_idx")) % 5).cast("string"), F.lit(":"), "page_idx", F.lit(":"), "det_idx")
+    return kept(spark, sf_dir).select("doc_id", "page_idx", F.col("det_idx").alias("block_idx"), "label", picture.cast("binary").alias("image"))
+
+
+def request_blocks(spark, sf_dir):
+    return infer.recognise(request_tasks(spark, sf_dir), infer.FlakyRecognizer, policy=infer.DRY)
+
+
+def request_inner(spark, sf_dir):
+    return infer.recognise(request_tasks(spark, sf_dir), infer.FlakyRecognizer, policy=replace(infer.DRY, attempts=2, keep="inner", window=7)).drop("status")
+
+
+def page_requests(spark, sf_dir):
+    """Whole pages, each with the prompt of its mode."""
+    pages = inputs.pictures(picture_boxes(spark, sf_dir).select("doc_id", "page_idx", "page_w", "page_h").distinct())
+    mode = F.element_at(F.array(F.lit("text"), F.lit("table"), F.lit("formula"), F.lit("other")), F.col("page_idx") % 4 + 1)
+    return infer.recognise_pages(pages, infer.EchoRecognizer, mode, policy=replace(infer.PAGES, stagger=0.0)).drop("status")
 
 
 NAMES = (
     "text_fullwidth line_classify reflow_documents stitch_conversations merge_paginated merge_stream box_filter_score box_label_lookup header_footer_filter reading_order route_blocks "
     "crop_names width_bucket prompt_policy overlay_colors crop_geometry mask_rects_core mask_rects_ring skew_median ground_extract ground_rewrite ground_cleanup ground_diagnosis "
     "page_selection fill_first_wins ordered_flush assemble_pages assemble_document stream_assemble middle_json_roundtrip cached_render cache_split html_table_spans chat_payload infer_stub "
-    "document_files middle_files image_scan mask_pixels crop_files"
+    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLE_SQL = oracles.ORACLE_SQL

@@ -209,23 +209,11 @@ def test_html_tables(spark):
     assert html_tables.rewrite_tables(df, ["id"]).first().text == "a\n\n| x | y\\|z |\n| --- | --- |\n| 1 |  |\n\nb\n\n\n\n"
 
 
-def test_recognition_failures_are_rows(spark):
-    class Flaky:
-        def recognize(self, payload, timeout):
-            if "Formula" in payload:
-                raise TimeoutError("late")
-            return "Recognized Text 1"
-
-    tasks = spark.createDataFrame([("d", 0, 0, "text", None), ("d", 0, 1, "formula", bytearray(b"x"))], "doc_id string, page_idx int, block_idx int, label string, image binary")
-    got = {r.block_idx: (r.content, r.status) for r in infer.recognise(tasks, Flaky, retry=infer.Retry(attempts=2, wait=0.0)).collect()}
-    assert got[0] == ("Recognized Text 1", None) and got[1] == ("[recognition failed]", "TimeoutError: late")
-
-
 def test_positional_fill(spark):
-    blocks = spark.createDataFrame([("d", 0, i, k) for i, k in enumerate(["ocr", "image", "ocr", "ocr"])], "doc_id string, page_idx int, block_idx int, kind string")
+    blocks = spark.createDataFrame([("d", 0, i, k, "Text") for i, k in enumerate(["ocr", "image", "ocr", "ocr"])], "doc_id string, page_idx int, block_idx int, kind string, label string")
     texts = spark.createDataFrame([("d", 0, 0, "a```"), ("d", 0, 1, "b")], "doc_id string, page_idx int, n int, content string")
     got = {r.block_idx: r.content for r in render.fill_by_place(blocks, texts).collect()}
-    assert got == {0: "a", 1: None, 2: "b", 3: render.FAILED}
+    assert got == {0: "a", 1: None, 2: "b", 3: "[OCR识别失败：索引溢出，标签为: Text]"}
 
 
 def test_both_dialects_of_the_nested_form(spark):
@@ -246,9 +234,3 @@ def test_pages_of_cached_documents_keep_their_white_space(spark):
     df = spark.createDataFrame([(1, 1, "\n\n![figure](a.png)\n\n"), (1, 0, "\n\nText\n\n\n\n\n\nmore\n\n"), (1, 2, "")], "doc_id long, page_idx int, text string")
     text = reflow.merge_pages(df, "cached").first().text
     assert text == "\n\nText\n\n\n\n\n\nmore\n\n" + "\n\n\\newpage\n\n" + "\n\n![figure](a.png)\n\n" + "\n\n\\newpage\n\n"
-
-
-def test_models_of_one_function_are_told_apart():
-    make = lambda name: lambda: [name]
-    first, second = infer._model(make("a")), infer._model(make("b"))
-    assert (first, second) == (["a"], ["b"]) and infer._model(make("a")) is first
