@@ -78,6 +78,18 @@ def pictures(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(draw, "doc_id string, page_idx int, width int, height int, nChannels int, data binary")
 
 
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of a PDF file for each supplier, of up to 40 pages of three sizes; every other file is packed."""
+    from docflow.sources.pdf_write import packed_pdf, pdf
+
+    def make(frames):
+        for pdf_ in frames:
+            sizes = [[(600 + 12 * ((s + k) % 3), 800 + 24 * (k % 2)) for k in range(s % 40 + 1)] for s in pdf_["s_suppkey"]]
+            yield pdf_.assign(path=[f"{s % 10}/{s}.pdf" for s in pdf_["s_suppkey"]], content=[(packed_pdf if s % 2 else pdf)(x) for s, x in zip(pdf_["s_suppkey"], sizes, strict=True)])[["path", "content"]]
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(make, "path string, content binary")
+
+
 #: What is added to each text, by doc_id % 10: branches that the texts lack.
 TAILS = ("```\na-\nb\n```", "| a | b |\nc", "1. x\ny", "- x\ny", "Fig. 3 x\ny", "漢字\n漢字", "foo  \nbar", "\n---\ntext", "＃１ ＡＢｃ！\n<table>\nx\n$$\ny", "> q\nr\n* s\n# t\nu")
 LINES_SQL = (

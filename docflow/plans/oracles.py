@@ -279,4 +279,7 @@ ORACLE_SQL = {
     "request_inner": f"SELECT doc_id, page_idx, det_idx AS block_idx, prompt || ' ' || f || ':' || page_idx || ':' || det_idx AS content, CAST(f + 1 AS INTEGER) AS attempts FROM ({REQUESTS}) WHERE f < 2",
     "page_requests": f"""SELECT doc_id, page_idx, CASE page_idx % 4 WHEN 1 THEN 'Table' WHEN 2 THEN 'Formula' ELSE 'Text' END || ' Recognition: 1536 240x200' AS content, 1 AS attempts
         FROM (SELECT DISTINCT doc_id, page_idx FROM ({_BOXES}))""",
+    "pdf_scan": """WITH p AS (SELECT s_suppkey AS s, unnest(range(s_suppkey % 40 + 1)) AS k FROM supplier)
+        SELECT CAST(s AS VARCHAR) AS doc_id, CAST(k AS INTEGER) AS page_idx, 'page_' || lpad(CAST(k + 1 AS VARCHAR), 5, '0') AS stem, CAST(150 + 3 * ((s + k) % 3) AS INTEGER) AS width, CAST(200 + 6 * (k % 2) AS INTEGER) AS height,
+               CAST(150 + 3 * ((s + k) % 3) AS INTEGER) AS drawn_w, CAST(200 + 6 * (k % 2) AS INTEGER) AS drawn_h, CAST(NULL AS VARCHAR) AS status FROM p WHERE k IN (0, 2, 3, 4, 29)""",
 }

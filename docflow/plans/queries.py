@@ -12,6 +12,7 @@ from docflow.operators import assemble, boxes, crops, ground, html_tables, infer
 from docflow.plans import inputs, oracles
 from docflow.plans.inputs import derived, table
 from docflow.sources import file_sink, files
+from docflow.sources.pdf_pages import pdf_pages
 from docflow.sources.work import work_folder
 from docflow.streaming.assemble import EVENTS, assemble_stream
 
@@ -315,6 +316,15 @@ def infer_stub(spark, sf_dir):
     return infer.recognise(tasks, infer.EchoRecognizer, policy=infer.DRY)
 
 
+def pdf_scan(spark, sf_dir):
+    """PDF files and their pages, drawn blank."""
+    folder = work_folder(spark, "pdf")
+    file_sink.write_files(inputs.pdf_files(spark, sf_dir), folder)
+    pages = pdf_pages(spark, folder, "1, 3-5, 30", dpi=18, renderer="docflow.sources.pdf_pages:blank_page")
+    size = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    return pages.select("doc_id", "page_idx", "stem", "width", "height", size(17).alias("drawn_w"), size(21).alias("drawn_h"), "status")
+
+
 def request_tasks(spark, sf_dir):
     """Blocks whose picture says how often its request fails."""
     picture = F.concat(((F.col("page_idx") + F.col("det_idx")) % 5).cast("string"), F.lit(":"), "page_idx", F.lit(":"), "det_idx")
@@ -340,7 +350,7 @@ NAMES = (
     "text_fullwidth line_classify reflow_documents stitch_conversations merge_paginated merge_stream box_filter_score box_label_lookup header_footer_filter reading_order route_blocks "
     "crop_names width_bucket prompt_policy overlay_colors crop_geometry mask_rects_core mask_rects_ring skew_median ground_extract ground_rewrite ground_cleanup ground_diagnosis "
     "page_selection fill_first_wins ordered_flush assemble_pages assemble_document stream_assemble middle_json_roundtrip cached_render cache_split html_table_spans chat_payload infer_stub "
-    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests"
+    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests pdf_scan"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLE_SQL = oracles.ORACLE_SQL
