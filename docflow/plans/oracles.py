@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.plans.inputs import BLOCK, BOX, FILLS, GROUND, KEPT, LABELS, LINES_SQL, PAGE, PAGES, PICTURE_BOX, REGISTERED, duck
+from docflow.plans.inputs import BLOCK, BOX, DEADLINE, FAILED_PAGE, FILLS, GROUND, KEPT, LABELS, LINES_SQL, PAGE, PAGES, PICTURE_BOX, REGISTERED, duck
 
 #: Fixed values of the data format and of line breaks.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -200,6 +200,19 @@ def selection() -> str:
                array_to_string(CASE WHEN selected IS NULL OR len(list_filter(selected, lambda p: p < total)) = 0 THEN range(total) ELSE list_filter(selected, lambda p: p < total) END, ',') AS pages FROM pg"""
 
 
+#: Pages in order, with failure texts for what is missing at the deadline, if the log goes on beyond it.
+DEADLINES = f"""WITH reg AS (SELECT *, seq + {DEADLINE} AS due, {FAILED_PAGE} AS failed FROM ({duck(REGISTERED)})), fil AS (SELECT * FROM ({duck(FILLS)})),
+        last AS (SELECT max(seq) AS now FROM (SELECT seq FROM reg UNION ALL SELECT seq FROM fil)),
+        blk AS (SELECT b.doc_id, b.page_idx, b.block_idx, r.seq, r.due FROM ({duck(BLOCK)}) b JOIN reg r USING (doc_id, page_idx) WHERE b.kind = 'ocr' AND NOT r.failed),
+        got AS (SELECT b.doc_id, b.page_idx, b.block_idx, arg_min(f.content, f.seq) AS content, min(f.seq) AS seq FROM blk b JOIN fil f USING (doc_id, page_idx, block_idx) WHERE f.seq > b.seq AND f.seq <= b.due GROUP BY ALL),
+        told AS (SELECT b.doc_id, b.page_idx, b.block_idx, CASE WHEN g.seq IS NOT NULL THEN replace(g.content, '```', '') WHEN b.due < now THEN '[OCR识别失败: no answer in time]' END AS content,
+                        CASE WHEN g.seq IS NOT NULL THEN g.seq WHEN b.due < now THEN b.due END AS seq FROM blk b CROSS JOIN last LEFT JOIN got g USING (doc_id, page_idx, block_idx)),
+        page AS (SELECT r.doc_id, r.page_idx, CASE WHEN failed THEN r.seq WHEN count(t.block_idx) = count(t.seq) THEN greatest(r.seq, coalesce(max(t.seq), r.seq)) END AS ready,
+                        CASE WHEN failed THEN '[Layout分析异常: no picture]' ELSE coalesce(string_agg(t.content, '|' ORDER BY t.block_idx), '') END AS contents
+                 FROM reg r LEFT JOIN told t USING (doc_id, page_idx) GROUP BY r.doc_id, r.page_idx, r.seq, failed),
+        run AS (SELECT *, max(ready) OVER w AS flush_seq, count(*) OVER w = count(ready) OVER w AND count(*) OVER w = page_idx + 1 AS ok FROM page WINDOW w AS (PARTITION BY doc_id ORDER BY page_idx))
+        SELECT doc_id, page_idx, flush_seq, contents FROM run WHERE ok"""
+
 REQUESTS = f"""SELECT doc_id, page_idx, det_idx, label, (page_idx + det_idx) % 5 AS f, {chosen("lower(label)", {k: p for k, (p, _) in PROMPTS.items()}, f"'{TEXT_PROMPT[0]}'")} AS prompt FROM ({_KEPT})"""
 
 ORACLE_SQL = {
@@ -282,4 +295,6 @@ ORACLE_SQL = {
     "pdf_scan": """WITH p AS (SELECT s_suppkey AS s, unnest(range(s_suppkey % 40 + 1)) AS k FROM supplier)
         SELECT CAST(s AS VARCHAR) AS doc_id, CAST(k AS INTEGER) AS page_idx, 'page_' || lpad(CAST(k + 1 AS VARCHAR), 5, '0') AS stem, CAST(150 + 3 * ((s + k) % 3) AS INTEGER) AS width, CAST(200 + 6 * (k % 2) AS INTEGER) AS height,
                CAST(150 + 3 * ((s + k) % 3) AS INTEGER) AS drawn_w, CAST(200 + 6 * (k % 2) AS INTEGER) AS drawn_h, CAST(NULL AS VARCHAR) AS status FROM p WHERE k IN (0, 2, 3, 4, 29)""",
+    "stream_deadline": DEADLINES,
+    "batch_deadline": DEADLINES,
 }

@@ -7,14 +7,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.functions.text import full_to_half
+from docflow.functions.text import full_to_half, in_order, strip_fences
 from docflow.operators import assemble, boxes, crops, ground, html_tables, infer, mask, order, pixels, reflow, render, skew
 from docflow.plans import inputs, oracles
 from docflow.plans.inputs import derived, table
 from docflow.sources import file_sink, files
 from docflow.sources.pdf_pages import pdf_pages
 from docflow.sources.work import work_folder
-from docflow.streaming.assemble import EVENTS, assemble_stream
+from docflow.streaming import assemble as stream
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,23 +172,49 @@ def assemble_document(spark, sf_dir):
     return render.render_documents(assembled(spark, sf_dir))
 
 
+def stream_events(blocks, registered, fills):
+    """The log of an assembly; pages that are registered with a content have failed."""
+    wanted = blocks.where("kind = 'ocr'").groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list("block_idx")).alias("ocr_blocks"))
+    first = registered.join(wanted, ["doc_id", "page_idx"], "left").select("doc_id", "seq", F.when(F.col("content").isNull(), "register").otherwise("error").alias("kind"), "page_idx", F.coalesce("ocr_blocks", F.array().cast("array<int>")).alias("ocr_blocks"), F.lit(None).cast("int").alias("block_idx"), "content")
+    rest = fills.select("doc_id", "seq", F.lit("fill").alias("kind"), "page_idx", F.lit(None).cast("array<int>").alias("ocr_blocks"), "block_idx", "content")
+    return first.unionByName(rest)
+
+
 def stream_assemble(spark, sf_dir):
     """The same assembly as a stream over files of events: each trigger takes all that is there."""
     folder = work_folder(spark, "stream")
     blocks, registered, fills = assembly(spark, sf_dir)
-    wanted = blocks.where("kind = 'ocr'").groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list("block_idx")).alias("ocr_blocks"))
-    first = registered.join(wanted, ["doc_id", "page_idx"], "left").select("doc_id", "seq", F.lit("register").alias("kind"), "page_idx", F.coalesce("ocr_blocks", F.array().cast("array<int>")).alias("ocr_blocks"), F.lit(None).cast("int").alias("block_idx"), F.lit(None).cast("string").alias("content"))
-    rest = fills.select("doc_id", "seq", F.lit("fill").alias("kind"), "page_idx", F.lit(None).cast("array<int>").alias("ocr_blocks"), "block_idx", "content")
-    first.unionByName(rest).write.parquet(f"{folder}/events")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = assemble_stream(spark.readStream.schema(EVENTS).parquet(f"{folder}/events"))
-        query = out.writeStream.format("parquet").option("path", f"{folder}/written").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema("doc_id STRING, page_idx INT, flush_seq BIGINT, contents STRING").parquet(f"{folder}/written")
+    stream_events(blocks, registered.withColumn("content", F.lit(None).cast("string")), fills).write.parquet(f"{folder}/events")
+    return stream.run_to_end(spark, folder)
+
+
+def deadline_inputs(spark, sf_dir):
+    """Blocks and registrations in which some pages have failed: one block that is there from the start."""
+    blocks, registered, fills = assembly(spark, sf_dir)
+    failed = registered.withColumn("content", F.when(F.expr(inputs.FAILED_PAGE), "no picture"))
+    return blocks, failed, fills
+
+
+def stream_deadline(spark, sf_dir):
+    """A stream in which answers are lost and layouts fail: pages are written without what comes too late."""
+    folder = work_folder(spark, "stream")
+    stream_events(*deadline_inputs(spark, sf_dir)).write.parquet(f"{folder}/events")
+    return stream.run_to_end(spark, folder, inputs.DEADLINE)
+
+
+def batch_deadline(spark, sf_dir):
+    """The same in batch."""
+    blocks, registered, fills = deadline_inputs(spark, sf_dir)
+    failed = registered.where("content IS NOT NULL").select("doc_id", "page_idx")
+    waiting = blocks.where("kind = 'ocr'").join(failed, ["doc_id", "page_idx"], "left_anti")
+    now = registered.select("seq").unionByName(fills.select("seq")).agg(F.max("seq").alias("now"))
+    accepted = assemble.first_fills(waiting, registered, fills, inputs.DEADLINE)
+    late = assemble.late_blocks(waiting, registered.join(now), accepted, inputs.DEADLINE, F.col("now"), stream.LATE)
+    errors = registered.where("content IS NOT NULL").select("doc_id", "page_idx", F.lit(0).alias("block_idx"), infer.marker("layout", F.col("content")).alias("content"), "seq")
+    told = accepted.unionByName(late)
+    order = assemble.flush_order(waiting, registered, told)
+    met = order.join(told.withColumn("content", strip_fences(F.col("content"))).unionByName(errors), ["doc_id", "page_idx"], "left")
+    return met.groupBy("doc_id", "page_idx", "flush_seq").agg(in_order("block_idx", F.coalesce("content", F.lit("")), "|").alias("contents"))
 
 
 def middle(spark, sf_dir):
@@ -350,7 +376,7 @@ NAMES = (
     "text_fullwidth line_classify reflow_documents stitch_conversations merge_paginated merge_stream box_filter_score box_label_lookup header_footer_filter reading_order route_blocks "
     "crop_names width_bucket prompt_policy overlay_colors crop_geometry mask_rects_core mask_rects_ring skew_median ground_extract ground_rewrite ground_cleanup ground_diagnosis "
     "page_selection fill_first_wins ordered_flush assemble_pages assemble_document stream_assemble middle_json_roundtrip cached_render cache_split html_table_spans chat_payload infer_stub "
-    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests pdf_scan"
+    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests pdf_scan stream_deadline batch_deadline"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLE_SQL = oracles.ORACLE_SQL
