@@ -82,6 +82,27 @@ def pictures(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(draw, "doc_id string, page_idx int, width int, height int, nChannels int, data binary")
 
 
+def skewed_pictures(pages: DataFrame) -> DataFrame:
+    """Decoded pictures, as ``pictures``, of pages with three dark lines at ``angle`` degrees on white."""
+    import numpy as np
+
+    def draw(frames):
+        for pdf in frames:
+            for k in range(0, len(pdf), 32):
+                part = pdf.iloc[k : k + 32]
+                made = []
+                for w, h, angle in zip(part["page_w"], part["page_h"], part["angle"], strict=True):
+                    y, x = np.mgrid[0:h, 0:w]
+                    t = np.radians(angle)
+                    across = (y - h / 2) * np.cos(t) - (x - w / 2) * np.sin(t)
+                    along = (y - h / 2) * np.sin(t) + (x - w / 2) * np.cos(t)
+                    dark = (np.abs(along) < 0.42 * w) & (np.abs((across + 20) % 40 - 20) < 1.5) & (np.abs(across) < 60)
+                    made.append(np.repeat(np.where(dark, 0, 255).astype(np.uint8).ravel(), 3).tobytes())
+                yield part[["doc_id", "page_idx"]].assign(width=part["page_w"], height=part["page_h"], nChannels=3, data=made)
+
+    return pages.mapInPandas(draw, "doc_id string, page_idx int, width int, height int, nChannels int, data binary")
+
+
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and content of a PDF file for each supplier, of up to 40 pages of three sizes; every other file is packed."""
     from docflow.sources.pdf_write import packed_pdf, pdf

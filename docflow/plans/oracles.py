@@ -297,4 +297,7 @@ ORACLE_SQL = {
                CAST(150 + 3 * ((s + k) % 3) AS INTEGER) AS drawn_w, CAST(200 + 6 * (k % 2) AS INTEGER) AS drawn_h, CAST(NULL AS VARCHAR) AS status FROM p WHERE k IN (0, 2, 3, 4, 29)""",
     "stream_deadline": DEADLINES,
     "batch_deadline": DEADLINES,
+    "skew_pages": f"SELECT DISTINCT doc_id, page_idx, true AS found, true AS straight FROM ({_BOXES})",
+    "table_markdown": rf"""WITH t AS (SELECT page_id, {NL2} || '| A' || page_id || ' | B\|' || page_id % 7 || ' |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '|  | ' || page_id % 7 || ' | d & e |' || chr(10)
+            || '| ' || page_id || ' |  |  |' || {NL2} AS md FROM pages) SELECT page_id, 'before ' || md || ' between ' || md || ' after' AS text FROM t""",
 }

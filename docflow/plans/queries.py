@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions.text import full_to_half, in_order, strip_fences
-from docflow.operators import assemble, boxes, crops, ground, html_tables, infer, mask, order, pixels, reflow, render, skew
+from docflow.operators import assemble, boxes, crops, ground, html_tables, infer, lines, mask, order, pixels, reflow, render, skew
 from docflow.plans import inputs, oracles
 from docflow.plans.inputs import derived, table
 from docflow.sources import file_sink, files
@@ -281,10 +281,16 @@ def picture_boxes(spark, sf_dir):
     return derived(spark, sf_dir, inputs.PICTURE_BOX)
 
 
+def picture_pages(spark, sf_dir):
+    """The pages of the pictures, spread over tasks: a row becomes a picture."""
+    pages = picture_boxes(spark, sf_dir).select("doc_id", "page_idx", "page_w", "page_h").distinct()
+    return pages.repartition(8 * spark.sparkContext.defaultParallelism, "page_idx")
+
+
 def picture_files(spark, sf_dir):
     """A folder with the pages' pictures as PNG files."""
     folder = work_folder(spark, "pictures")
-    drawn = inputs.pictures(picture_boxes(spark, sf_dir).select("doc_id", "page_idx", "page_w", "page_h").distinct())
+    drawn = inputs.pictures(picture_pages(spark, sf_dir))
     file_sink.write_files(drawn.select(F.concat(F.lit("p"), "page_idx", F.lit(".png")).alias("path"), crops.png("data", "width", "height", "nChannels").alias("content")), folder)
     return folder
 
@@ -295,10 +301,31 @@ def image_scan(spark, sf_dir):
 
 
 def mask_pixels(spark, sf_dir):
-    pages = inputs.pictures(picture_boxes(spark, sf_dir).select("doc_id", "page_idx", "page_w", "page_h").distinct())
+    pages = inputs.pictures(picture_pages(spark, sf_dir))
     return crops.crop_images(pages, boxes.route(picture_boxes(spark, sf_dir))).select("doc_id", "page_idx", "det_idx", "kind", "n_white", "width", "height")
 
 
+def skew_pages(spark, sf_dir):
+    """Pages turned by known angles: whether their skew is found, and whether turned pages are straight."""
+    pages = picture_pages(spark, sf_dir).withColumn("angle", (F.col("page_idx") % 27 - 13) * 0.9)
+    drawn = inputs.skewed_pictures(pages)
+    folder = work_folder(spark, "skew")
+    lines.page_skew(drawn).write.parquet(folder)
+    skews = spark.read.schema("doc_id string, page_idx int, skew double").parquet(folder)
+    found = skews.join(lines.page_skew(lines.deskewed(drawn, skews)).withColumnRenamed("skew", "left"), ["doc_id", "page_idx"])
+    return found.join(pages, ["doc_id", "page_idx"]).select("doc_id", "page_idx", (F.abs(F.col("skew") - F.col("angle")) <= 0.2).alias("found"), (F.abs("left") <= 0.2).alias("straight"))
+
+
+def table_markdown(spark, sf_dir):
+    """Tables with spans and tables within, as Markdown."""
+    cell = lambda tag, text, more="": F.concat(F.lit(f"<{tag}{more}>"), text, F.lit(f"</{tag}>"))
+    n, m = F.col("page_id").cast("string"), (F.col("page_id") % 7).cast("string")
+    head = F.concat(cell("th", F.concat(F.lit("A"), n), " rowspan=2"), cell("TH", F.concat(F.lit("B|"), m), ' colspan="2"'))
+    rows = F.concat(F.lit("<Table border=1>\n<thead><tr>"), head, F.lit("</tr><tr>"), cell("th", m), cell("th", F.lit("d &amp; e")), F.lit("</tr></thead><tr>"), cell("td", n, " colspan='9' rowspan=0"), F.lit("</tr></table>"))
+    text = F.concat(F.lit("before "), rows, F.lit(" between "), rows, F.lit(" after"))
+    return html_tables.rewrite_tables(table(spark, sf_dir, "pages").select("page_id", text.alias("text")), ["page_id"])
+
+
 def crop_files(spark, sf_dir):
     """Pages read from files, their pictures cut out and written as files, and those read again."""
     read = files.decoded_images(spark, picture_files(spark, sf_dir)).withColumn("page_idx", F.regexp_extract("origin", r"p(\d+)\.png\z", 1).cast("int"))
@@ -367,7 +394,7 @@ def request_inner(spark, sf_dir):
 
 def page_requests(spark, sf_dir):
     """Whole pages, each with the prompt of its mode."""
-    pages = inputs.pictures(picture_boxes(spark, sf_dir).select("doc_id", "page_idx", "page_w", "page_h").distinct())
+    pages = inputs.pictures(picture_pages(spark, sf_dir))
     mode = F.element_at(F.array(F.lit("text"), F.lit("table"), F.lit("formula"), F.lit("other")), F.col("page_idx") % 4 + 1)
     return infer.recognise_pages(pages, infer.EchoRecognizer, mode, policy=replace(infer.PAGES, stagger=0.0)).drop("status")
 
@@ -376,7 +403,7 @@ NAMES = (
     "text_fullwidth line_classify reflow_documents stitch_conversations merge_paginated merge_stream box_filter_score box_label_lookup header_footer_filter reading_order route_blocks "
     "crop_names width_bucket prompt_policy overlay_colors crop_geometry mask_rects_core mask_rects_ring skew_median ground_extract ground_rewrite ground_cleanup ground_diagnosis "
     "page_selection fill_first_wins ordered_flush assemble_pages assemble_document stream_assemble middle_json_roundtrip cached_render cache_split html_table_spans chat_payload infer_stub "
-    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests pdf_scan stream_deadline batch_deadline"
+    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests pdf_scan stream_deadline batch_deadline skew_pages table_markdown"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLE_SQL = oracles.ORACLE_SQL

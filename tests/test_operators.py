@@ -172,12 +172,6 @@ def test_skew(spark):
     lines = [("p", 50, 100, 350, 126), ("p", 50, 200, 350, 226), ("p", 0, 0, 0, 9), ("q", 0, 0, 0, 9)]
     got = {r.page: r.skew for r in skew.skew(spark.createDataFrame(lines, "page string, x1 int, y1 int, x2 int, y2 int"), ["page"]).collect()}
     assert abs(got["p"] - 4.95) < 0.01 and got["q"] == 0
-    image = np.full((400, 400, 3), 255, np.uint8)
-    for y in (100, 200):
-        for x in range(50, 351):
-            image[y + round((x - 50) * 26 / 300) - 1 : y + round((x - 50) * 26 / 300) + 2, x] = 0
-    angle = pixels.skew_angle(image)
-    assert 4 <= angle <= 6 and abs(pixels.skew_angle(pixels.rotate(image, angle))) < 1
 
 
 def test_png_is_what_the_image_source_reads(spark, tmp_path):
