@@ -300,4 +300,8 @@ ORACLE_SQL = {
     "skew_pages": f"SELECT DISTINCT doc_id, page_idx, true AS found, true AS straight FROM ({_BOXES})",
     "table_markdown": rf"""WITH t AS (SELECT page_id, {NL2} || '| A' || page_id || ' | B\|' || page_id % 7 || ' |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '|  | ' || page_id % 7 || ' | d & e |' || chr(10)
             || '| ' || page_id || ' |  |  |' || {NL2} AS md FROM pages) SELECT page_id, 'before ' || md || ' between ' || md || ' after' AS text FROM t""",
+    "overlay_pixels": f"""WITH b AS (SELECT *, CASE lower(label) WHEN 'text' THEN '008000' WHEN 'table' THEN 'FF0000' WHEN 'formula' THEN '0000FF' WHEN 'figure' THEN '800080' WHEN 'image' THEN '800080' WHEN 'chart' THEN '800080' ELSE '00FFFF' END AS bgr FROM ({_BOXES}))
+        SELECT p.doc_id, p.page_idx, p.det_idx, arg_max(o.bgr, o.det_idx) AS bgr FROM b p JOIN b o ON p.page_idx = o.page_idx AND p.x1 BETWEEN o.x1 AND o.x2 AND p.y1 BETWEEN o.y1 AND o.y2
+             AND (p.x1 < o.x1 + 3 OR p.x1 > o.x2 - 3 OR p.y1 < o.y1 + 3 OR p.y1 > o.y2 - 3) GROUP BY ALL""",
+    "progress_counts": f"SELECT count(*) AS completed, count(CASE WHEN f < 3 THEN 1 END) AS succeeded, count(CASE WHEN f >= 3 THEN 1 END) AS failed FROM ({REQUESTS})",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions.text import full_to_half, in_order, strip_fences
-from docflow.operators import assemble, boxes, crops, ground, html_tables, infer, lines, mask, order, pixels, reflow, render, skew
+from docflow.operators import assemble, boxes, crops, ground, html_tables, infer, lines, mask, order, overlay, pixels, progress, reflow, render, skew
 from docflow.plans import inputs, oracles
 from docflow.plans.inputs import derived, table
 from docflow.sources import file_sink, files
@@ -326,6 +326,26 @@ def table_markdown(spark, sf_dir):
     return html_tables.rewrite_tables(table(spark, sf_dir, "pages").select("page_id", text.alias("text")), ["page_id"])
 
 
+def overlay_pixels(spark, sf_dir):
+    """Boxes drawn on their pages, written as files and read again: the colour at each box's first corner."""
+    found = picture_boxes(spark, sf_dir)
+    images = overlay.overlay_images(inputs.pictures(picture_pages(spark, sf_dir)), boxes.overlay(found), "det_idx")
+    folder = work_folder(spark, "overlays")
+    file_sink.write_files(overlay.overlay_rows(images, F.concat(F.lit("page_"), "page_idx")), folder)
+    read = files.decoded_images(spark, folder, deep=True).select(F.regexp_extract("origin", r"page_(\d+)_diagnostic\.png\z", 1).cast("int").alias("page_idx"), F.col("width").alias("w"), "data")
+    place = (F.col("y1") * F.col("w") + F.col("x1")) * 3 + 1
+    return found.join(read, "page_idx").select("doc_id", "page_idx", "det_idx", F.hex(F.substring("data", place, F.lit(3))).alias("bgr"))
+
+
+def progress_counts(spark, sf_dir):
+    """Counters that ride along with requests."""
+    run = progress.Progress()
+    answers = run.observed(request_blocks(spark, sf_dir), "requests")
+    with run.timed("requests") as stage:
+        answers.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(stage.counts[c] for c in ("completed", "succeeded", "failed"))], "completed long, succeeded long, failed long")
+
+
 def crop_files(spark, sf_dir):
     """Pages read from files, their pictures cut out and written as files, and those read again."""
     read = files.decoded_images(spark, picture_files(spark, sf_dir)).withColumn("page_idx", F.regexp_extract("origin", r"p(\d+)\.png\z", 1).cast("int"))
@@ -403,7 +423,7 @@ NAMES = (
     "text_fullwidth line_classify reflow_documents stitch_conversations merge_paginated merge_stream box_filter_score box_label_lookup header_footer_filter reading_order route_blocks "
     "crop_names width_bucket prompt_policy overlay_colors crop_geometry mask_rects_core mask_rects_ring skew_median ground_extract ground_rewrite ground_cleanup ground_diagnosis "
     "page_selection fill_first_wins ordered_flush assemble_pages assemble_document stream_assemble middle_json_roundtrip cached_render cache_split html_table_spans chat_payload infer_stub "
-    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests pdf_scan stream_deadline batch_deadline skew_pages table_markdown"
+    "document_files middle_files image_scan mask_pixels crop_files request_blocks request_inner page_requests pdf_scan stream_deadline batch_deadline skew_pages table_markdown overlay_pixels progress_counts"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLE_SQL = oracles.ORACLE_SQL
