@@ -19,9 +19,9 @@ PAGE = ["doc_id", "page_idx"]
 CROP = "doc_id string, page_idx int, det_idx int, kind string, width int, height int, n_white int, image binary"
 
 
-def with_masks(boxes: DataFrame) -> DataFrame:
+def with_masks(boxes: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Boxes with the columns of ``mask.crops`` and masks: the rectangles to blank out in the crop, corners included."""
-    pairs = mask.overlaps(boxes)
+    pairs = mask.overlaps(boxes, others)
     rects = mask.core_masks(pairs).unionByName(mask.ring_masks(pairs).drop("side"))
     listed = rects.groupBy(*PAGE, "det_idx").agg(F.collect_set(F.array("x1", "y1", "x2", "y2")).alias("masks"))
     return mask.crops(boxes).join(listed, [*PAGE, "det_idx"], "left")
@@ -71,17 +71,18 @@ def _page_crops(page: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([keys, pd.DataFrame(rows, columns=names[4:])], axis=1)
 
 
-def crop_images(pages: DataFrame, boxes: DataFrame) -> DataFrame:
+def crop_images(pages: DataFrame, boxes: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Rows of CROP, one for each box (with kind: image or ocr; page_w, page_h) of a page with a decoded picture (width,
     height, nChannels, data as the image source gives them).
 
     Pictures are cut at their corners. Ocr blocks are padded, blanked out, and scaled up if under 64 high; n_white counts
-    white pixels before that. Boxes of pages without a picture have no row, empty crops no image.
+    white pixels before that. Boxes of pages without a picture have no row, empty crops no image. ``others``: all boxes
+    that can show in a crop, if ``boxes`` is a part of them.
     """
     # keys under new ids, as pages and boxes may come from one table
     left = pages.select(*(F.col(c).alias(c) for c in PAGE), "width", "height", "nChannels", "data").groupBy(*PAGE)
     keep = [*PAGE, "det_idx", "kind", "x1", "y1", "x2", "y2", "px1", "py1", "px2", "py2", "out_w", "out_h", "masks"]
-    return left.cogroup(with_masks(boxes).select(*keep).groupBy(*PAGE)).applyInPandas(_page_crops, CROP)
+    return left.cogroup(with_masks(boxes, others).select(*keep).groupBy(*PAGE)).applyInPandas(_page_crops, CROP)
 
 
 def crop_rows(crops: DataFrame, names: DataFrame) -> DataFrame:

@@ -26,11 +26,11 @@ def crops(df: DataFrame) -> DataFrame:
     return padded.withColumns({"out_w": F.when(small, (cw * (F.lit(128.0) / ch)).cast("int")).otherwise(cw), "out_h": F.when(small, 128).otherwise(ch)})
 
 
-def overlaps(df: DataFrame) -> DataFrame:
+def overlaps(df: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Pairs of a box (its columns as they are, padded) and another box of its page (o_...) that meets its padded crop:
-    an equi-join on the page with the range condition on top."""
+    an equi-join on the page with the range condition on top. ``others``: all boxes of the pages, if ``df`` is a part."""
     target = crops(df)
-    other = df.select(*PAGE, F.col("det_idx").alias("o_idx"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
+    other = (df if others is None else others).select(*PAGE, F.col("det_idx").alias("o_idx"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
     meets = (F.col("o_x1") < F.col("px2")) & (F.col("o_x2") > F.col("px1")) & (F.col("o_y1") < F.col("py2")) & (F.col("o_y2") > F.col("py1"))
     met = target.join(other, PAGE).where((F.col("det_idx") != F.col("o_idx")) & meets)
     # what lies within the crop, in its own coordinates
