@@ -41,7 +41,7 @@ SALT_COUNT = 200_000
 HUB_SALTS = 16
 #: Parts of the sketch that one task adds up.
 PARTS_AT_ONCE = 64
-#: Rows of ids, pairs and nodes that are sent to all executors at most; more are met by a shuffle.
+#: Ids of documents that are sent to all executors at most, so that texts needn't be shuffled; more are met by a shuffle.
 FEW_IDS = 200_000
 
 
@@ -256,8 +256,8 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     salt = F.pmod(F.xxhash64("u"), F.lit(HUB_SALTS)).cast("int").alias("salt")
     hubs = pairs.select("v", salt).distinct()
     # the set of each pair's first end goes to the second's, which is sent once for each of its salts
-    firsts = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("x")).join(few(pairs), "u").select("u", "v", salt, "x")
-    seconds = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("y")).join(few(hubs), "v")
+    firsts = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("x")).join(pairs, "u").select("u", "v", salt, "x")
+    seconds = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("y")).join(hubs, "v")
     met = firsts.join(seconds, ["v", "salt"]).select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +272,9 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFrame:
     """set_id, shingles (sorted, as bytes) of the set ids in ``wanted`` at least, built from the texts of one document each; sets
     that only rows of null id have are built from all such rows."""
-    one = materialise(with_node.where("least IS NOT NULL").join(few(wanted), "set_id", "left_semi").select("set_id", F.col("least").alias("doc_id")), "jaccard-chosen")
-    ids = one.select("doc_id").distinct()
+    one = materialise(with_node.where("least IS NOT NULL").join(wanted, "set_id", "left_semi").select("set_id", F.col("least").alias("doc_id")), "jaccard-chosen")
+    ids = materialise(one.select("doc_id").distinct(), "jaccard-ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +284,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFra
         trim()
 
     build = lambda some: some.mapInArrow(run, "set_id binary, shingles binary")
-    built = build(rows.join(few(ids), "doc_id", "left_semi"))
+    built = build(rows.join(ids, "doc_id", "left_semi"))
     rest = wanted.join(one, "set_id", "left_anti")
     if not rest.isEmpty():
         built = built.unionByName(build(rows.where("doc_id IS NULL")))
@@ -333,8 +334,8 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     groups = materialise(components(first_links), "jaccard-groups")
 
     # shingles whose sets are still in several components
-    roots = materialise(with_node.join(few(groups), "node").select("set_id", "root"), "jaccard-roots")
-    own = met.where("more").select("shingle", "set_id", "size", "place").join(few(roots), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    roots = materialise(with_node.join(groups, "node").select("set_id", "root"), "jaccard-roots")
+    own = met.where("more").select("shingle", "set_id", "size", "place").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     own = materialise(own, "jaccard-open")
     mixed_ = own.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
     # sizes that the length filter lets meet are in one band or in neighbouring ones
@@ -351,20 +352,15 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
 
     stars = groups.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     found = materialise(components(stars.unionByName(second_links)), "jaccard-groups")
-    named = with_node.join(few(found), "node", "left").select("set_id", least_of(F.coalesce("root", "node")).alias("component_id"))
+    named = with_node.join(found, "node", "left").select("set_id", least_of(F.coalesce("root", "node")).alias("component_id"))
     whole = known.where("set_id IS NOT NULL").join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return whole.unionByName(known.where("set_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def few(frame: DataFrame) -> DataFrame:
-    """The frame, sent to all executors where it is small."""
-    return F.broadcast(frame) if frame.count() <= FEW_IDS else frame
-
-
 def as_nodes(links: DataFrame, with_node: DataFrame) -> DataFrame:
     """Links (u, v) of sets as links of their nodes."""
     for end in "uv":
-        links = with_node.select(F.col("set_id").alias(end), "node").join(few(links), end).drop(end).withColumnRenamed("node", end)
+        links = with_node.select(F.col("set_id").alias(end), "node").join(links, end).drop(end).withColumnRenamed("node", end)
     return links.select("u", "v")
 
 
