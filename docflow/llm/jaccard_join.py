@@ -13,8 +13,10 @@ Prefix filtering, rarest shingles first: two sets that reach the threshold share
    links grouped into components. Then sets of one shingle and of like size meet if they are in different components.
    So a large group of near copies never gives all its pairs, and no link between components is missed: every link has
    its ends in one component in the end.
-4. Pairs are distinct, so each is verified once: whole sets are built anew from the texts, partitioned at pivots for the
-   suffix filter, and intersected.
+4. Pairs are distinct, so each is verified once: whole sets are built anew from the texts. Ranges of hashes are counted in
+   each set, four shingles a range; two sets differ at least as much as their counts do, so most pairs that share only a
+   passage are told apart by counts a thirtieth as large as the sets. The sets of the others meet, are partitioned at
+   pivots for the suffix filter, and intersected.
 """
 
 from __future__ import annotations
@@ -114,6 +116,7 @@ def add_up(parts: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(found.get(k, empty) for k in range(SKETCH_PARTS)), dtype="<u4")
 
 
+SET = "set_id binary, size int, ranges binary, shingles binary"
 #: Added to the place in entries of shingles with several buckets.
 HOT_MARK = 1 << 31
 
@@ -251,6 +254,41 @@ def alike(x: np.ndarray, y: np.ndarray, limit: Threshold) -> bool:
     return int(np.count_nonzero(y[at] == x)) >= need
 
 
+def range_counts(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles are in each of 2 ** k equal ranges of hashes, about four a range; 255 stands for more."""
+    k = max(3, round(math.log2(max(len(shingles), 1) / 4))) if len(shingles) > 4 else 3
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+
+
+def at_least_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, by their range counts."""
+    a, b = (np.frombuffer(c, dtype=np.uint8).astype(np.int64) for c in (x, y))
+    if len(a) != len(b):  # neighbouring ranges of the finer one together
+        if len(a) < len(b):
+            a, b = b, a
+        if (a == 255).any() or (b == 255).any():
+            return 0
+        a = a.reshape(len(b), -1).sum(axis=1)
+    return int(np.abs(a - b).sum())
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (u, v) whose range counts don't rule out the threshold, as a table."""
+    light = sets.select("set_id", "size", "ranges").dropDuplicates(["set_id"])
+    met = pairs.select("u", "v")
+    for end in "uv":
+        met = met.join(light.select(F.col("set_id").alias(end), F.col("size").alias(f"{end}_size"), F.col("ranges").alias(f"{end}_ranges")), end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b[c].to_pylist() for c in ("u_size", "v_size", "u_ranges", "v_ranges")), strict=True)
+            keep = [at_least_apart(x, y) <= n + m - 2 * limit.overlap(n, m) for n, m, x, y in rows]
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        trim()
+
+    return materialise(met.mapInArrow(run, "u binary, v binary"), "jaccard-plausible")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The links (u, v) among distinct pairs (u, v) of set ids; ``sets`` has set_id and the sorted shingles as bytes."""
     salt = F.pmod(F.xxhash64("u"), F.lit(HUB_SALTS)).cast("int").alias("salt")
@@ -270,7 +308,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFrame:
-    """set_id, shingles (sorted, as bytes) of the set ids in ``wanted`` at least, built from the texts of one document each; sets
+    """Rows of SET (shingles sorted, as bytes) of the set ids in ``wanted`` at least, built from the texts of one document each; sets
     that only rows of null id have are built from all such rows."""
     one = materialise(with_node.where("least IS NOT NULL").join(few(wanted), "set_id", "left_semi").select("set_id", F.col("least").alias("doc_id")), "jaccard-chosen")
     ids = one.select("doc_id").distinct()
@@ -279,10 +317,11 @@ def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFra
         for batch in batches:
             for _, shingles, at in document_sets(batch):
                 found = [shingles[a:b] for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["set_id", "shingles"])
+                columns = [pa.array([f(x) for x in found], t) for f, t in ((fingerprint, pa.binary()), (len, pa.int32()), (range_counts, pa.binary()), (np.ndarray.tobytes, pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["set_id", "size", "ranges", "shingles"])
         trim()
 
-    build = lambda some: some.mapInArrow(run, "set_id binary, shingles binary")
+    build = lambda some: some.mapInArrow(run, SET)
     built = build(rows.join(few(ids), "doc_id", "left_semi"))
     rest = wanted.join(one, "set_id", "left_anti")
     if not rest.isEmpty():
@@ -372,8 +411,8 @@ def link(rows: DataFrame, with_node: DataFrame, pairs: DataFrame, limit: Thresho
     """The pairs that reach the threshold, as a table."""
     wanted = pairs.select(F.col("u").alias("set_id")).unionAll(pairs.select(F.col("v").alias("set_id"))).distinct()
     path = write_table(sets_of(rows, wanted, with_node), "jaccard-shingles")
-    sets = rows.sparkSession.read.schema("set_id binary, shingles binary").parquet(path)
-    links = materialise(verified(pairs, sets, limit), "jaccard-links")
+    sets = rows.sparkSession.read.schema(SET).parquet(path)
+    links = materialise(verified(plausible(pairs, sets, limit), sets, limit), "jaccard-links")
     drop_table(rows.sparkSession, path)
     return links
 

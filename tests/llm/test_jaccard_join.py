@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from docflow.llm.jaccard_join import Threshold, alike, drop_near_copies, far_apart, similar_groups
+from docflow.llm.jaccard_join import Threshold, alike, at_least_apart, drop_near_copies, far_apart, range_counts, similar_groups
 
 
 def shingles(text):
@@ -92,3 +92,19 @@ def test_suffix_filter_is_a_lower_bound(seed):
     assert far_apart(x, y, 10**9) <= apart
     both, either = len(set(x.tolist()) & set(y.tolist())), len(set(x.tolist()) | set(y.tolist()))
     assert alike(x, y, Threshold()) == (100 * both >= 75 * either)
+
+
+def test_range_counts_never_say_too_much():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(r.choice([1, 2, 5, 17, 40, 300, 3000]))
+        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < r.choice([0.1, 0.8, 1.0])], r.integers(0, 2**63, int(r.integers(0, n * 2 + 1))).astype(np.uint64)]))
+        if len(y):
+            apart = len(np.setxor1d(x, y))
+            assert at_least_apart(range_counts(x), range_counts(y)) <= apart
+            assert at_least_apart(range_counts(x), range_counts(x)) == 0
+    x, y = (np.unique(r.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(2))
+    assert at_least_apart(range_counts(x), range_counts(y)) > 84  # strangers are told apart
+    crowd = np.arange(4000, dtype=np.uint64)
+    assert at_least_apart(range_counts(crowd), range_counts(crowd[:900])) <= 3100
