@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docflow.functions.text import in_order
 from docflow.operators.boxes import mapped
 
 #: Both ways that a tag is written (fixed value): a name and four numbers, plain or between markers.
@@ -14,6 +12,8 @@ TAG = r"(?:<\|ref\|>)?([a-zA-Z_]+)(?:<\|/ref\|>)?(?:<\|det\|>)?(\[\[([0-9]+(?:,[
 #: Markers that a recogniser leaves, and the range of its coordinates (fixed values).
 MARKERS = ("<|ref|>", "<|/ref|>", "<|det|>", "<|/det|>")
 SCALE = 1000.0
+#: Classes of tags that show a picture.
+CLASSES = ("image", "table", "chart")
 #: Colours of the diagnosis overlay (fixed values).
 DIAGNOSIS = {"image": "red", "table": "blue", "chart": "orange", "title": "blue", "sub_title": "purple", "text": "green"}
 
@@ -24,27 +24,26 @@ def tag_class(tag: Column) -> Column:
     return F.when(aside, None).when(tag.contains("image"), "image").when(tag.contains("table"), "table").when(tag.contains("chart"), "chart")
 
 
-def tags(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, pos, tag, class, x1, y1, x2, y2 for each tag; corners in pixels of page_w and page_h, cut to the page."""
-    names, numbers = F.regexp_extract_all(text, F.lit(TAG), F.lit(1)), F.regexp_extract_all(text, F.lit(TAG), F.lit(3))
-    each = df.select(*keys, "page_w", "page_h", F.posexplode(F.arrays_zip(names.alias("name"), numbers.alias("numbers"))).alias("pos", "t"))
-    read = each.withColumn("tag", F.lower("t.name")).withColumn("c", F.transform(F.slice(F.regexp_extract_all("t.numbers", F.lit("[0-9]+"), F.lit(0)), 1, 4), lambda x: x.cast("double")))
+def _corners(numbers: Column, width: Column, height: Column) -> list[Column]:
+    """x1, y1, x2, y2 in pixels, cut to the page."""
+    c = F.transform(F.slice(F.regexp_extract_all(numbers, F.lit("[0-9]+"), F.lit(0)), 1, 4), lambda x: x.cast("double"))
+    pixel = lambda i, size: (c[i] / F.lit(SCALE) * size).cast("int")
+    low = [F.greatest(F.lit(0), pixel(i, size)) for i, size in ((0, width), (1, height))]
+    return low + [F.least(size, pixel(i, size)) for i, size in ((2, width), (3, height))]
 
-    def corner(i: int, size: str) -> Column:
-        return (F.col("c")[i] / F.lit(SCALE) * F.col(size)).cast("int")
 
-    low = lambda i, size: F.greatest(F.lit(0), corner(i, size))
-    high = lambda i, size: F.least(F.col(size), corner(i, size))
-    return read.select(*keys, "pos", "tag", tag_class(F.col("tag")).alias("class"), low(0, "page_w").alias("x1"), low(1, "page_h").alias("y1"), high(2, "page_w").alias("x2"), high(3, "page_h").alias("y2"))
+def _found(text: str) -> Column:
+    """The tags of a text: name and numbers."""
+    names, numbers = (F.regexp_extract_all(text, F.lit(TAG), F.lit(i)) for i in (1, 3))
+    return F.arrays_zip(names.alias("name"), numbers.alias("numbers"))
 
 
-def links(found: DataFrame, keys: list[str], stem: Column) -> DataFrame:
-    """Adds n (of the class on the page, counting crops with an area) and link: the picture's Markdown, or ''."""
-    ok = F.col("class").isNotNull() & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    nth = F.sum(F.col("ok").cast("int")).over(W.partitionBy(*keys, "class").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    numbered = found.withColumn("ok", ok).withColumn("n", F.when(F.col("ok"), nth))
-    link = F.concat(F.lit("\n\n!["), "class", F.lit("](images/"), stem, F.lit("_"), "class", F.lit("_"), F.col("n").cast("string"), F.lit(".png)\n\n"))
-    return numbered.withColumn("link", F.when(F.col("ok"), link).otherwise("")).drop("ok")
+def tags(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, pos, tag, class, x1, y1, x2, y2 for each tag; corners in pixels of page_w and page_h, cut to the page."""
+    each = df.select(*keys, "page_w", "page_h", F.posexplode(_found(text)).alias("pos", "t"))
+    corners = _corners(F.col("t.numbers"), F.col("page_w"), F.col("page_h"))
+    tag = F.lower("t.name")
+    return each.select(*keys, "pos", tag.alias("tag"), tag_class(tag).alias("class"), *(c.alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)))
 
 
 def cleanup(text: Column) -> Column:
@@ -55,12 +54,23 @@ def cleanup(text: Column) -> Column:
 
 
 def rewrite(df: DataFrame, keys: list[str], stem: Column, text: str = "text") -> DataFrame:
-    """keys, text: each tag replaced by its link, then cleaned up. The pieces between tags are those of a split."""
-    pieces = df.select(*keys, F.posexplode(F.split(text, TAG, -1)).alias("pos", "piece"))
-    found = links(tags(df, keys, text), keys, stem).select(*keys, "pos", "link")
-    met = pieces.join(found, [*keys, "pos"], "left")
-    whole = met.groupBy(*keys).agg(in_order("pos", F.concat("piece", F.coalesce("link", F.lit(""))), "").alias("text"))
-    return whole.withColumn("text", cleanup(F.col("text")))
+    """keys, text: each tag replaced by its link, then cleaned up. The pieces between tags are those of a split. Rows stay
+    where they are: a running count by class goes along with the links."""
+
+    def told(t: Column) -> Column:
+        x1, y1, x2, y2 = _corners(t["numbers"], F.col("page_w"), F.col("page_h"))
+        return F.struct(F.when((x2 > x1) & (y2 > y1), tag_class(F.lower(t["name"]))).alias("class"))
+
+    def step(state: Column, t: Column) -> Column:
+        n = {c: state[c] + F.when(t["class"] == c, 1).otherwise(0) for c in CLASSES}
+        nth = F.coalesce(*(F.when(t["class"] == c, n[c]) for c in CLASSES))
+        link = F.concat(F.lit("\n\n!["), t["class"], F.lit("](images/"), stem, F.lit("_"), t["class"], F.lit("_"), nth.cast("string"), F.lit(".png)\n\n"))
+        return F.struct(*(n[c].alias(c) for c in CLASSES), F.concat(state["links"], F.array(F.coalesce(link, F.lit("")))).alias("links"))
+
+    start = F.struct(*(F.lit(0).alias(c) for c in CLASSES), F.array().cast("array<string>").alias("links"))
+    links = F.aggregate(F.transform(_found(text), told), start, step, lambda state: state["links"])
+    joined = F.zip_with(F.split(text, TAG, -1), links, lambda piece, link: F.concat(piece, F.coalesce(link, F.lit(""))))
+    return df.select(*keys, cleanup(F.array_join(joined, "")).alias("text"))
 
 
 def diagnosis(found: DataFrame, keys: list[str]) -> DataFrame:
