@@ -9,6 +9,8 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of packed arrays that one bucket of a shuffle holds on average.
 BUCKET_BYTES = 8 << 20
+#: Paths of the tables that the innermost ``finished`` has seen written.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, name: str) -> str:
     """Writes a table into the shared folder, which cuts its lineage; returns its path."""
     path = f"{shared_dir(df.sparkSession)}/docflow/{name}-{uuid.uuid4().hex}"
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return path
 
@@ -47,6 +54,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of the frame that ``make`` returns, read from a table; the tables written on the way are removed."""
+    on_the_way: list[str] = []
+    token = _WRITTEN.set(on_the_way)
+    try:
+        frame = make()
+        schema, path = frame.schema, write_table(frame, name)
+        on_the_way.remove(path)
+    finally:
+        _WRITTEN.reset(token)
+        for x in on_the_way:
+            drop_table(spark, x)
+    outer = _WRITTEN.get()
+    if outer is not None:
+        outer.append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Removes a table that no later step reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

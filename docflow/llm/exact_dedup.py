@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import fresh, materialise, write_table
+from docflow.llm.common import finished, fresh, materialise
 
 #: Each run of these characters counts as one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -101,21 +101,16 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """The rows of ``df`` that exact_dedup keeps, with all their columns, whatever the others' names.
 
     Nulls, empty texts, ties and empty tables are as there; of rows with one id and text any one stays. Whole rows are
-    shuffled once, to meet the winners' ids and digests.
+    joined once with the winners' ids and digests; where rows are repeated, what the join leaves is a table, and the
+    repeated rows alone are combined, before they are shuffled.
     """
     spark, (sha, key, own, same) = df.sparkSession, fresh(df, "sha", "keep_id", "keep_sha", "same")
-    path = write_table(combined(df, id_col, text_col, hot_rows).winners.select(F.col("keep_id").alias(key), F.col("sha").alias(own), F.col("same").alias(same)), "dedup-winners")
-    winners = spark.read.parquet(path)
+    named = lambda: combined(df, id_col, text_col, hot_rows).winners.select(F.col("keep_id").alias(key), F.col("sha").alias(own), F.col("same").alias(same))
+    winners = finished(spark, named, "dedup-winners")
     keyed = df.withColumn(sha, digest(normalised(F.col(text_col))))
-
-    def meet(some: DataFrame) -> DataFrame:
-        return keyed.join(some, (F.col(sha) == F.col(own)) & F.col(id_col).cast("long").eqNullSafe(F.col(key)))
-
-    repeated = winners.where(F.col(same) > 1)
-    if repeated.isEmpty():
-        return meet(winners).select(*df.columns)
-    # rows of one id and text are combined before they are shuffled
-    one = meet(repeated).groupBy(key, sha).agg(F.first(F.struct(*df.columns)).alias(own)).select(f"{own}.*")
-    return meet(winners.where(F.col(same) == 1)).select(*df.columns).unionByName(one)
-
-
+    kept = keyed.join(winners, (F.col(sha) == F.col(own)) & F.col(id_col).cast("long").eqNullSafe(F.col(key)))
+    if winners.where(F.col(same) > 1).isEmpty():
+        return kept.select(*df.columns)
+    kept = materialise(kept, "dedup-kept")
+    one = kept.where(F.col(same) > 1).groupBy(key, own).agg(F.first(F.struct(*df.columns)).alias(sha)).select(f"{sha}.*")
+    return kept.where(F.col(same) == 1).select(*df.columns).unionByName(one)

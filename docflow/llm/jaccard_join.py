@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import buckets_for, drop_table, fresh, materialise, trim, write_table
+from docflow.llm.common import buckets_for, drop_table, finished, fresh, materialise, trim, write_table
 from docflow.llm.components import components
 from docflow.llm.words import mixed, shingle_hashes, slices, word_hashes
 
@@ -292,10 +292,10 @@ def plausible(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The links (u, v) among distinct pairs (u, v) of set ids; ``sets`` has set_id and the sorted shingles as bytes."""
     salt = F.pmod(F.xxhash64("u"), F.lit(HUB_SALTS)).cast("int").alias("salt")
-    hubs = pairs.select("v", salt).distinct()
+    hubs, small = pairs.select("v", salt).distinct(), pairs.count() <= FEW_IDS  # no more hubs than pairs
     # the set of each pair's first end goes to the second's, which is sent once for each of its salts
-    firsts = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("x")).join(few(pairs), "u").select("u", "v", salt, "x")
-    seconds = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("y")).join(few(hubs), "v")
+    firsts = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("x")).join(sent(pairs, small), "u").select("u", "v", salt, "x")
+    seconds = sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("y")).join(sent(hubs, small), "v")
     met = firsts.join(seconds, ["v", "salt"]).select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +311,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFra
     """Rows of SET (shingles sorted, as bytes) of the set ids in ``wanted`` at least, built from the texts of one document each; sets
     that only rows of null id have are built from all such rows."""
     one = materialise(with_node.where("least IS NOT NULL").join(few(wanted), "set_id", "left_semi").select("set_id", F.col("least").alias("doc_id")), "jaccard-chosen")
+    small = one.count() <= FEW_IDS
     ids = one.select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +323,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, with_node: DataFrame) -> DataFra
         trim()
 
     build = lambda some: some.mapInArrow(run, SET)
-    built = build(rows.join(few(ids), "doc_id", "left_semi"))
+    built = build(rows.join(sent(ids, small), "doc_id", "left_semi"))
     rest = wanted.join(one, "set_id", "left_anti")
     if not rest.isEmpty():
         built = built.unionByName(build(rows.where("doc_id IS NULL")))
@@ -350,12 +351,21 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     * Rows of one id are a row each, linked by their own texts. Rows of null id are linked like all others, and are
       nobody's component_id unless all ids of the component are null.
     * No rows in, no rows out. Only the two columns named are read.
+
+    The result is a table; all others are removed once it is written, the large ones once nothing reads them.
     """
-    limit = limit or Threshold()
+    return finished(df.sparkSession, lambda: grouped(df, limit or Threshold(), id_col, text_col, salt_count), "jaccard-found")
+
+
+def grouped(df: DataFrame, limit: Threshold, id_col: str, text_col: str, salt_count: int) -> DataFrame:
+    """As similar_groups, whose result isn't written yet."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark, surveyed = df.sparkSession, materialise(survey(rows), "jaccard-survey")
-    known = surveyed.where("part IS NULL").select("doc_id", "set_id", "n")
+    spark, seen = df.sparkSession, survey(rows)
+    survey_path = write_table(seen, "jaccard-survey")
+    surveyed = spark.read.schema(seen.schema).parquet(survey_path)
+    known = materialise(surveyed.where("part IS NULL").select("doc_id", "set_id", "n"), "jaccard-known")
     sketch = add_up(surveyed.where("part IS NOT NULL").select("part", "counts"))
+    drop_table(spark, survey_path)  # every task of the survey has left a sketch
     total = int(known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     share = total >> SKETCH_BITS
     often = np.maximum(sketch, share).astype("<u4") - np.uint32(share)
@@ -374,7 +384,9 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     # shingles whose sets are still in several components
     roots = materialise(with_node.join(few(groups), "node").select("set_id", "root"), "jaccard-roots")
     own = met.where("more").select("shingle", "set_id", "size", "place").join(few(roots), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    own = materialise(own, "jaccard-open")
+    open_path, own_schema = write_table(own, "jaccard-open"), own.schema
+    drop_table(spark, met_path)
+    own = spark.read.schema(own_schema).parquet(open_path)
     mixed_ = own.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
     # sizes that the length filter lets meet are in one band or in neighbouring ones
     band = F.floor(F.log("size") / (1.001 * math.log(limit.whole / limit.part)))
@@ -385,7 +397,7 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     rest = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_band") == F.col("near")) & apart).select(*ordered("x_set_id", "y_set_id")).distinct()
     rest = rest.join(first_pairs.select(*ordered("u", "v")), ["u", "v"], "left_anti")
     second_pairs = materialise(rest, "jaccard-pairs")
-    drop_table(spark, met_path)
+    drop_table(spark, open_path)
     second_links = as_nodes(link(rows, with_node, second_pairs, limit), with_node)
 
     stars = groups.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -395,21 +407,27 @@ def similar_groups(df: DataFrame, limit: Threshold | None = None, id_col: str =
     return whole.unionByName(known.where("set_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def sent(frame: DataFrame, small: bool) -> DataFrame:
+    """The frame, sent to all executors where it is known to be small."""
+    return F.broadcast(frame) if small else frame
+
+
 def few(frame: DataFrame) -> DataFrame:
-    """The frame, sent to all executors where it is small."""
-    return F.broadcast(frame) if frame.count() <= FEW_IDS else frame
+    """The frame (a table, so that it isn't worked out to be counted), sent to all executors where it is small."""
+    return sent(frame, frame.count() <= FEW_IDS)
 
 
 def as_nodes(links: DataFrame, with_node: DataFrame) -> DataFrame:
-    """Links (u, v) of sets as links of their nodes."""
+    """Links (u, v) of sets, a table, as links of their nodes: as many."""
+    small = links.count() <= FEW_IDS
     for end in "uv":
-        links = with_node.select(F.col("set_id").alias(end), "node").join(few(links), end).drop(end).withColumnRenamed("node", end)
+        links = with_node.select(F.col("set_id").alias(end), "node").join(sent(links, small), end).drop(end).withColumnRenamed("node", end)
     return links.select("u", "v")
 
 
 def link(rows: DataFrame, with_node: DataFrame, pairs: DataFrame, limit: Threshold) -> DataFrame:
     """The pairs that reach the threshold, as a table."""
-    wanted = pairs.select(F.col("u").alias("set_id")).unionAll(pairs.select(F.col("v").alias("set_id"))).distinct()
+    wanted = materialise(pairs.select(F.col("u").alias("set_id")).unionAll(pairs.select(F.col("v").alias("set_id"))).distinct(), "jaccard-wanted")
     path = write_table(sets_of(rows, wanted, with_node), "jaccard-shingles")
     sets = rows.sparkSession.read.schema(SET).parquet(path)
     links = materialise(verified(plausible(pairs, sets, limit), sets, limit), "jaccard-links")

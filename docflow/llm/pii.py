@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docflow.llm.common import fresh, materialise
+from docflow.llm.common import finished, fresh, materialise
 
 #: The four kinds in their order. Fixed patterns, written for Java: possessive where nothing can be given back, and
 #: not started within a run of the first class's characters, where the run's own start has failed already.
@@ -195,14 +195,14 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **option
     * Very long texts are read whole, line by line.
     * No rows in, no rows out. Only the two columns named are read.
     """
-    _, spans, could = all_spans(df, text_col, **options)
-    start, end = F.col("at") + F.col("start"), F.col("at") + F.col("end")
-    said = F.struct("k", start.alias("s"), F.concat_ws(":", "kind", start, end).alias("said"))
-    joined = lambda least: F.array_join(F.transform(F.filter("all", lambda x: x["k"] < least), lambda x: x["said"]), ",")
-    counts = [F.count_if(F.col("kind") == name).alias(f"n_{name}") for name in (*KINDS, "secret", "term")]
-    by_text = spans.groupBy("text_key").agg(*counts, F.array_sort(F.collect_list(said)).alias("all"))
-    found = by_text.select("text_key", *(f"n_{x}" for x in KINDS), F.sha2(joined(len(KINDS)), 256).alias("base_sha256"), joined(len(PROTECTED) + 1).alias("spans"), "n_secret", "n_term")
-    found = materialise(found, "pii-found")  # so that the join's hot texts can be split
+    could = F.lit(True)
+
+    def by_text() -> DataFrame:
+        nonlocal could
+        _, spans, could = all_spans(df, text_col, **options)
+        return told_of(spans)
+
+    found = finished(df.sparkSession, by_text, "pii-found")  # a table, so that the join's hot texts can be split
     doc_id = F.col(id_col).cast("long").alias("doc_id")
     met = df.where(could).select(doc_id, F.sha2(text_col, 256).alias("text_key")).join(found, "text_key", "left")
     rest = df.where(~could).select(doc_id)
@@ -210,13 +210,38 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **option
     return met.select("doc_id", *(F.coalesce(c, x).alias(c) for c, x in none.items())).unionByName(rest.select("doc_id", *(x.alias(c) for c, x in none.items())))
 
 
+def told_of(spans: DataFrame) -> DataFrame:
+    """text_key and what ``find`` says of the text."""
+    start, end = F.col("at") + F.col("start"), F.col("at") + F.col("end")
+    said = F.struct("k", start.alias("s"), F.concat_ws(":", "kind", start, end).alias("said"))
+    joined = lambda least: F.array_join(F.transform(F.filter("all", lambda x: x["k"] < least), lambda x: x["said"]), ",")
+    counts = [F.count_if(F.col("kind") == name).alias(f"n_{name}") for name in (*KINDS, "secret", "term")]
+    by_text = spans.groupBy("text_key").agg(*counts, F.array_sort(F.collect_list(said)).alias("all"))
+    return by_text.select("text_key", *(f"n_{x}" for x in KINDS), F.sha2(joined(len(KINDS)), 256).alias("base_sha256"), joined(len(PROTECTED) + 1).alias("spans"), "n_secret", "n_term")
+
+
 def sanitise(df: DataFrame, text_col: str = "text", **options: float) -> DataFrame:
     """The rows of ``df`` with each span of ``text_col`` replaced: protected kinds by their name in capitals and
     brackets, generalised terms by [TERM], removed ones by nothing. Overlapping spans are replaced together, under the
     first's name. Rows without spans (nulls, empty texts) stay as they are; so do all other columns, whatever their names.
     Repeated rows and equal texts are changed alike. No rows in, no rows out."""
-    lines, spans, could = all_spans(df, text_col, **options)
     key, (clean, clean_key, text_key) = ["text_key", "line_no"], fresh(df, "clean", "clean_key", "text_key")
+    could = F.lit(True)
+
+    def by_text() -> DataFrame:
+        nonlocal could
+        lines, spans, could = all_spans(df, text_col, **options)
+        return cleaned_texts(lines, spans).select(F.col("text_key").alias(clean_key), F.col("clean").alias(clean))
+
+    texts = finished(df.sparkSession, by_text, "pii-clean")
+    met = df.where(could).withColumn(text_key, F.sha2(F.col(text_col), 256)).join(texts, F.col(text_key) == F.col(clean_key), "left")
+    cleaned = met.select(*(F.coalesce(F.col(clean), F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in df.columns))
+    return cleaned.unionByName(df.where(~could))
+
+
+def cleaned_texts(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """text_key and clean: the texts that have spans, with these replaced."""
+    key = ["text_key", "line_no"]
     by = W.partitionBy(*key).orderBy("start", "k")
     ahead = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     groups = spans.withColumn("first", (ahead.isNull() | (ahead <= F.col("start"))).cast("int")).withColumn("g", F.sum("first").over(by.rowsBetween(W.unboundedPreceding, 0)))
@@ -232,7 +257,4 @@ def sanitise(df: DataFrame, text_col: str = "text", **options: float) -> DataFra
     in_order = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), value.alias("_v")))), lambda x: x["_v"])
     changed = cut.groupBy(*key).agg(F.array_join(in_order("start", F.col("part")), "").alias("clean"))
     parts = lines.join(changed.select("text_key").distinct(), "text_key", "left_semi").join(changed, key, "left")
-    texts = parts.groupBy("text_key").agg(F.array_join(in_order("line_no", F.coalesce("clean", "line")), "\n").alias(clean)).withColumnRenamed("text_key", clean_key)
-    met = df.where(could).withColumn(text_key, F.sha2(F.col(text_col), 256)).join(texts, F.col(text_key) == F.col(clean_key), "left")
-    cleaned = met.select(*(F.coalesce(F.col(clean), F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in df.columns))
-    return cleaned.unionByName(df.where(~could))
+    return parts.groupBy("text_key").agg(F.array_join(in_order("line_no", F.coalesce("clean", "line")), "\n").alias("clean"))
