@@ -147,3 +147,14 @@ def test_models_are_told_apart_and_made_once():
     first = infer.model_of(infer.key_of(one), one)
     assert (first, infer.model_of(infer.key_of(two), two)) == (["a"], ["b"]) and infer.model_of(infer.key_of(make("a")), make("a")) is first
     assert pixels.to_png(np.zeros((1, 1, 3), np.uint8)) and infer.blank_image()[16:24] == b"\x00\x00\x00\x64" * 2
+
+
+def test_a_worker_forgets_what_failed_in_earlier_tasks(spark):
+    """The same rows in the same worker again, after a run that gave up on some of them."""
+    rows = tasks(spark, [f"{k % 5}:{k}" for k in range(2500)])
+
+    def failed(policy):
+        return sorted(r.block_idx for r in infer.recognise(rows, infer.FlakyRecognizer, policy=policy).collect() if r.status is not None)
+
+    for attempts in (3, 2, 3):
+        assert failed(Policy(attempts=attempts, wait=0.0)) == [k for k in range(2500) if k % 5 >= attempts]
