@@ -17,6 +17,7 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from typing import Any, Protocol
 from urllib.parse import urlsplit
 
@@ -190,28 +191,95 @@ class Bucket:
         return max(0.0, -self.level / self.rate)
 
 
-async def answered(client: TextRecognizer, payload: str, nth: int, policy: Policy, gate: asyncio.Semaphore, bucket: Bucket) -> tuple[str | None, str | None, int]:
-    """The answer, or what went wrong last, and the number of attempts."""
+async def answered(client: TextRecognizer, payload: str, policy: Policy, bucket: Bucket, own_loop: bool) -> tuple[str | None, str | None, int]:
+    """The answer, or what went wrong last, and the number of attempts. own_loop: the client's requests are coroutines."""
     error = None
-    if policy.stagger and nth % 2:
-        await asyncio.sleep(policy.stagger)
-    async with gate:
-        for k in range(policy.attempts):
-            if late := bucket.delay():
-                await asyncio.sleep(late)
-            try:
-                if inspect.iscoroutinefunction(client.recognize):
-                    call = client.recognize(payload, policy.timeout)
-                else:
-                    call = asyncio.to_thread(client.recognize, payload, policy.timeout)
-                return await asyncio.wait_for(call, policy.timeout), None, k + 1
-            except Exception as e:
-                error = f"{type(e).__name__}: {e}"
-                if k + 1 < policy.attempts:
-                    await asyncio.sleep(policy.wait * (k + 1))
+    for k in range(policy.attempts):
+        if late := bucket.delay():
+            await asyncio.sleep(late)
+        try:
+            async with asyncio.timeout(policy.timeout):
+                content = await (client.recognize(payload, policy.timeout) if own_loop else asyncio.to_thread(client.recognize, payload, policy.timeout))
+            return content, None if content is not None else "ValueError: an answer without text", k + 1
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            if k + 1 < policy.attempts and policy.wait:
+                await asyncio.sleep(policy.wait * (k + 1))
     return None, error, policy.attempts
 
 
+class Window:
+    """Requests under way: at most ``policy.window`` payloads are held, the first of them is waited for while the others go
+    on. ``policy.concurrency`` coroutines take payloads in their order; with a stagger there is one for each place of the
+    window, so that those that wait first hold up no other."""
+
+    def __init__(self, client: TextRecognizer, payloads: Iterator[str], policy: Policy):
+        self.client, self.payloads, self.policy = client, enumerate(payloads), policy
+        self.own_loop, self.bucket = inspect.iscoroutinefunction(client.recognize), Bucket(policy.rate, policy.burst)
+        self.gate = asyncio.Semaphore(policy.concurrency) if policy.stagger else None
+        self.held: deque[list] = deque()  # answers in the order of rows: empty lists until they come
+        self.ready: deque[tuple[list, int, str]] = deque()
+        self.idle: deque[asyncio.Future] = deque()
+        self.first: asyncio.Future | None = None  # done when the first answer held has come
+        self.workers: list[asyncio.Task] = []
+        self.broken: str | None = None
+
+    async def work(self) -> None:
+        try:
+            await self.take()
+        except BaseException as e:  # a client's failures are answers, so this is no request's
+            self.broken = f"{type(e).__name__}: {e}"
+            if self.first is not None and not self.first.done():
+                self.first.set_result(None)
+            raise
+
+    async def take(self) -> None:
+        loop = asyncio.get_running_loop()
+        while True:
+            while not self.ready:
+                self.idle.append(more := loop.create_future())
+                await more
+            answer, nth, payload = self.ready.popleft()
+            if self.gate is None:
+                answer.append(await answered(self.client, payload, self.policy, self.bucket, self.own_loop))
+            else:
+                if nth % 2:
+                    await asyncio.sleep(self.policy.stagger)
+                async with self.gate:
+                    answer.append(await answered(self.client, payload, self.policy, self.bucket, self.own_loop))
+            if self.first is not None and self.held[0] and not self.first.done():
+                self.first.set_result(None)
+
+    async def answers(self, n: int) -> list[tuple[str | None, str | None, int]]:
+        """The next n answers, or all that are left; the window is filled up before each."""
+        loop = asyncio.get_running_loop()
+        if not self.workers:
+            self.workers = [loop.create_task(self.work()) for _ in range(self.policy.window if self.gate else self.policy.concurrency)]
+        out: list[tuple] = []
+        while len(out) < n:
+            while len(self.held) < self.policy.window and (row := next(self.payloads, None)):
+                self.held.append(answer := [])
+                self.ready.append((answer, *row))
+                if self.idle:
+                    self.idle.popleft().set_result(None)
+            if not self.held:
+                break
+            if not self.held[0]:
+                self.first = loop.create_future()
+                if self.broken is None:
+                    await self.first
+                self.first = None
+            if self.broken:
+                raise RuntimeError(f"requests ended: {self.broken}")
+            out.append(self.held.popleft()[0])
+        return out
+
+    async def close(self) -> None:
+        for worker in self.workers:
+            worker.cancel()
+        await asyncio.gather(*self.workers, return_exceptions=True)
+
+
 def requests(tasks: DataFrame, factory: Callable[[], TextRecognizer], keys: list[str], policy: Policy = BLOCKS) -> DataFrame:
     """keys, content, status, attempts for rows of keys and payload, in the order of a task's rows.
 
@@ -225,25 +293,21 @@ def requests(tasks: DataFrame, factory: Callable[[], TextRecognizer], keys: list
 
         arrow = to_arrow_schema(schema)
         loop = asyncio.new_event_loop()
-        under_way: deque[tuple[dict, asyncio.Task]] = deque()
+        parts: deque[pa.RecordBatch] = deque()  # whose keys wait for answers
+        window = None
         try:
-            client = model_of(key, factory)
-            gate, bucket = asyncio.Semaphore(policy.concurrency), Bucket(policy.rate, policy.burst)
-            rows = (row for batch in batches for row in batch.to_pylist())
-            out: list[dict] = []
-            for nth, row in enumerate(rows):
-                under_way.append((row, loop.create_task(answered(client, row["payload"], nth, policy, gate, bucket))))
-                if len(under_way) >= policy.window:
-                    out.append(_row(names, *under_way[0], loop))
-                    under_way.popleft()
-                if len(out) >= 1000:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
-                    out = []
-            out += [_row(names, *x, loop) for x in under_way]
-            yield pa.RecordBatch.from_pylist(out, arrow)
+            window = Window(model_of(key, factory), _payloads(batches, parts), policy)
+            held: list[tuple] = []
+            while answers := loop.run_until_complete(window.answers(parts[0].num_rows - len(held) if parts else 1)):
+                held += answers
+                while parts and len(held) >= parts[0].num_rows:
+                    part = parts.popleft()
+                    told, held = held[: part.num_rows], held[part.num_rows :]
+                    columns = [part.column(n) for n in names] + [pa.array(x, arrow.field(f).type) for x, f in zip(zip(*told, strict=True), ("content", "status", "attempts"), strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
         finally:
-            for _, task in under_way:
-                task.cancel()
+            if window:
+                loop.run_until_complete(window.close())
             loop.run_until_complete(loop.shutdown_asyncgens())
             loop.run_until_complete(loop.shutdown_default_executor())
             loop.close()
@@ -252,11 +316,13 @@ def requests(tasks: DataFrame, factory: Callable[[], TextRecognizer], keys: list
     return found.where("status IS NULL") if policy.keep == "inner" else found
 
 
-def _row(names: list[str], row: dict, task: asyncio.Task, loop: asyncio.AbstractEventLoop) -> dict:
-    content, status, attempts = loop.run_until_complete(task)
-    if status is None and content is None:
-        status = "ValueError: an answer without text"
-    return {n: row[n] for n in names} | {"content": content, "status": status, "attempts": attempts}
+def _payloads(batches: Iterator[pa.RecordBatch], parts: deque[pa.RecordBatch]) -> Iterator[str]:
+    """Payloads one by one; what they come from is put down in parts of up to 1000 rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            parts.append(part.drop_columns("payload"))
+            yield from part.column("payload").to_pylist()
 
 
 def recognise(tasks: DataFrame, factory: Callable[[], TextRecognizer], model: str = "recogniser", policy: Policy = BLOCKS) -> DataFrame:
@@ -358,9 +424,10 @@ class FlakyRecognizer:
     def __init__(self) -> None:
         self.failed: dict[bytes, int] = {}
         self.task: int | None = None
+        self.asked = lru_cache(256)(asked)
 
     async def recognize(self, payload: str, timeout: float) -> str:
-        prompt, image, budget = asked(payload)
+        prompt, image, _ = self.asked(payload)
         await asyncio.sleep(0)
         context = TaskContext.get()
         task = context.taskAttemptId() if context else None

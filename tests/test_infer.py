@@ -158,3 +158,14 @@ def test_a_worker_forgets_what_failed_in_earlier_tasks(spark):
 
     for attempts in (3, 2, 3):
         assert failed(Policy(attempts=attempts, wait=0.0)) == [k for k in range(2500) if k % 5 >= attempts]
+
+
+def test_a_request_that_is_cancelled_ends_the_task(spark):
+    class Cancelled:
+        async def recognize(self, payload, timeout):
+            import asyncio
+
+            raise asyncio.CancelledError
+
+    with pytest.raises(Exception, match="requests ended"):
+        infer.recognise(tasks(spark, ["a", "b"]), Cancelled).collect()
