@@ -7,8 +7,9 @@ A string of ``length`` bytes is looked for in all documents of smaller id. No ta
    repeat. Anchors are packed into arrays and meet in buckets by their hash.
 2. The windows of a shared anchor lie in one run; the run with the bytes of its last window is a context. Contexts
    meet in buckets by their anchor; equal contexts collapse there.
-3. Where an anchor has several contexts, they are dealt into shards, and each shard gets its Burrows-Wheeler transform
-   (a context that is alone with its anchor shares its windows with its copies only). Transforms are
+3. Contexts fall into halves by a core, some more bytes about their anchor that their windows share. Where a core has
+   several halves, they are dealt into shards, and each shard gets its Burrows-Wheeler transform (a half that is alone
+   with its core shares its windows with its copies only). Transforms are
    merged in pairs by refining their interleave: in each round the interleave is dealt out anew by the symbols that
    precede, so after h rounds suffixes stand in the order of their first h bytes. The round in which two neighbours part
    is their longest common prefix, so what never parts in ``length`` rounds is an interval of repeats; suffixes are not
@@ -20,8 +21,8 @@ digest is counted first) is sent by the row of its least id only. Rows of the le
 repeat it throughout. A task sends an anchor for two of its texts at most: that tells that several texts share it, and
 its other texts are marked at once.
 
-What stays in one place is what different contexts one anchor of ``K`` bytes has. Their transforms are sharded and
-merged, but within one task.
+What stays in one place is what different contexts one anchor of ``K`` bytes has: they are split there, in linear time.
+Transforms of one core's halves are sharded and merged, but within one task.
 """
 
 from __future__ import annotations
@@ -421,6 +422,53 @@ def all_windows(sizes: np.ndarray, length: int) -> np.ndarray:
     return ((np.uint64(1) << (sizes.astype(np.int64) - length + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
 
 
+def halves(wide: np.ndarray, size: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts in two: of each half its context, its first window there, a hash of its core, its bytes and their number.
+
+    Windows that begin near their anchor all hold what follows it as well, the others what precedes it: a core of some
+    ``(length + K) / 2`` bytes about the anchor. Equal windows have their anchor at one place, so they have equal cores; an
+    anchor with very many contexts falls apart into cores with few. The anchor is where its hash is first met."""
+    n, most = wide.shape
+    middle = (length - K) // 2
+    member, shift, core, part, sizes = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint64)], [np.empty((0, length + middle), np.uint8)], [np.empty(0, np.uint8)]
+    step = max(1, PART_BYTES // most)
+    for begin in range(0, n, step):
+        own, last = wide[begin : begin + step], size[begin : begin + step].astype(np.int64) - length
+        padded = np.concatenate([own, np.zeros((len(own), length + middle), np.uint8)], axis=1)
+        flat = window_hashes(np.append(own.ravel(), np.zeros(K - 1, np.uint8)), K) >> np.uint64(16)
+        place = (flat.reshape(-1, most)[:, : most - length + 1] == h[begin : begin + len(own), None]).argmax(axis=1)
+        for side, first, end, at, width in ((0, np.maximum(place - middle, 0), np.minimum(place, last), place, length - middle), (1, np.zeros_like(place), np.minimum(place - middle - 1, last), place - middle - 1, K + middle + 1)):
+            k = np.flatnonzero(first <= end)
+            cores = padded[k[:, None], at[k, None] + np.arange(width)]
+            n_bytes = end[k] - first[k] + length
+            found = padded[k[:, None], first[k, None] + np.arange(length + middle)]
+            found[np.arange(length + middle)[None, :] >= n_bytes[:, None]] = 0
+            for x, y in zip((member, shift, core, part, sizes), (k + begin, first[k].astype(np.uint32), mixed(row_hashes(cores) + np.uint64(side)), found, n_bytes.astype(np.uint8)), strict=True):
+                x.append(y)
+    return tuple(np.concatenate(x) for x in (member, shift, core, part, sizes))
+
+
+def collapsed(core: np.ndarray, part: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each half the distinct one that it is a copy of; of these, by core, a row and the least document."""
+    name = mixed(row_hashes(part) + size)
+    order = np.lexsort((name, core))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (core[order[1:]] != core[order[:-1]]) | (name[order[1:]] != name[order[:-1]])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    run = np.cumsum(new) - 1
+    unlike = np.zeros(len(order), dtype=bool)
+    for begin in range(0, len(order), 1 << 15):
+        one, other = order[begin : begin + (1 << 15)], head[begin : begin + (1 << 15)]
+        unlike[begin : begin + (1 << 15)] = (part[one] != part[other]).any(axis=1) | (size[one] != size[other])
+    new |= np.isin(run, run[unlike])  # where two of one hash differ, each stays by itself
+    sub = np.empty(len(order), dtype=np.int64)
+    sub[order] = np.cumsum(new) - 1
+    heads = order[new]
+    least = np.full(len(heads), NO_ID, dtype=np.int64)
+    np.minimum.at(least, sub, doc)
+    return sub, heads, least
+
+
 def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
     """block, where_, masks: of each context with a window that a smaller document has; bit r is the window r after the first."""
     most = 2 * length - K
@@ -444,41 +492,39 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
             wide = np.frombuffer(b"".join(wides), np.uint8).reshape(-1, most)
             size, doc = np.frombuffer(b"".join(sizes), np.uint8), np.frombuffer(b"".join(docs), "<i8")
             at = np.frombuffer(b"".join(where), WHERE)
-            full = np.concatenate([h.astype(">u8").view(np.uint8).reshape(-1, 8), wide, size[:, None]], axis=1)
-            rows, inverse = np.unique(np.ascontiguousarray(full).view(f"V{full.shape[1]}").ravel(), return_inverse=True)
-            least = np.full(len(rows), NO_ID, dtype=np.int64)
-            np.minimum.at(least, inverse, doc)
-            distinct = rows.view(np.uint8).reshape(len(rows), -1)
-            own_size = distinct[:, -1].astype(np.int64)
-            anchor = np.ascontiguousarray(distinct[:, :8]).view(">u8").ravel()
-            # a context alone with its anchor shares its windows with itself only: all are its least owner's
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = anchor[1:] != anchor[:-1]
-            heads = np.flatnonzero(new)
-            together = np.diff(np.append(heads, len(rows)))
+            member, shift, core, part, part_size = halves(wide, size, h, length)
+            sub, heads, least = collapsed(core, part, part_size, doc[member])
+            mask = np.zeros(len(doc), dtype=np.uint32)
+            # a half alone with its core shares its windows with its copies only: all are its least owner's
+            core = core[heads]
+            new = np.append(True, core[1:] != core[:-1]) if len(core) else np.empty(0, bool)
+            first_of = np.flatnonzero(new)
+            together = np.diff(np.append(first_of, len(core)))
             alone = np.repeat(together, together) == 1
-            mask = np.where(alone[inverse] & (least[inverse] < doc), all_windows(own_size, length)[inverse], 0).astype(np.uint32)
-            member = np.flatnonzero(~alone[inverse])
-            rank = np.cumsum(~alone) - 1
-            among = rank[inverse[member]]
-            rows_left = np.flatnonzero(~alone)
-            distinct, own_size, anchor, least = distinct[rows_left], own_size[rows_left], anchor[rows_left], least[rows_left]
-            by = np.argsort(among, kind="stable")
-            ends = np.cumsum(np.bincount(among, minlength=len(rows_left)))
-            # groups end where an anchor does
-            sums, starts = np.cumsum(own_size + 1), np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(rows_left) else []
+            own = np.flatnonzero(alone[sub] & (least[sub] < doc[member]))
+            np.bitwise_or.at(mask, member[own], all_windows(part_size[own], length) << shift[own])
+            # the others, by the rank of what they are a copy of
+            rank, left = np.cumsum(~alone) - 1, np.flatnonzero(~alone)
+            entry = np.flatnonzero(~alone[sub])
+            entry = entry[np.argsort(rank[sub[entry]], kind="stable")]
+            among = rank[sub[entry]]
+            rows, core, own_size, least = heads[left], core[left], part_size[heads[left]].astype(np.int64), least[left]
+            # groups end where a core does
+            sums, starts = np.cumsum(own_size + 1), np.flatnonzero(np.append(True, core[1:] != core[:-1])) if len(left) else []
             cut = 0
-            while cut < len(rows_left):
+            while cut < len(left):
                 goal = np.searchsorted(sums, (sums[cut - 1] if cut else 0) + GROUP_BYTES)
                 i = np.searchsorted(starts, max(goal, cut + 1))
-                end = int(starts[i]) if i < len(starts) else len(rows_left)
-                found = least_owner([distinct[r, 8 : 8 + own_size[r]].tobytes() for r in range(cut, end)], least[cut:end], length)
+                end = int(starts[i]) if i < len(starts) else len(left)
+                found = least_owner([part[rows[r], : own_size[r]].tobytes() for r in range(cut, end)], least[cut:end], length)
                 lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-                windows = np.full((end - cut, most - length + 1), NO_ID, dtype=np.int64)
+                windows = np.full((end - cut, part.shape[1] - length + 1), NO_ID, dtype=np.int64)
                 windows[np.arange(windows.shape[1])[None, :] < lengths[:, None]] = np.concatenate(found)
-                own = by[(ends[cut - 1] if cut else 0) : ends[end - 1]]
-                smaller = windows[among[own] - cut] < doc[member[own]][:, None]
-                mask[member[own]] = (smaller * (np.uint32(1) << np.arange(smaller.shape[1], dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
+                lo, hi = np.searchsorted(among, [cut, end])
+                own = entry[lo:hi]
+                smaller = windows[among[lo:hi] - cut] < doc[member[own]][:, None]
+                bits = (smaller * (np.uint32(1) << np.arange(smaller.shape[1], dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
+                np.bitwise_or.at(mask, member[own], bits << shift[own])
                 cut = end
             hit = np.flatnonzero(mask)
             hit = hit[np.argsort(block[hit], kind="stable")]

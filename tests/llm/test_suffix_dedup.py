@@ -91,3 +91,23 @@ def test_rolling_parts():
     assert len(set(h.tolist())) == len(same)
     for w in (1, 2, 5, 31):
         assert sliding_min(h, w).tolist() == [min(h[i : i + w].tolist()) for i in range(381 - w + 1)]
+
+
+def test_an_anchor_with_many_contexts_falls_apart(spark, monkeypatch):
+    """Texts with one phrase in common: its contexts have cores of their own, so none is left for the transforms."""
+    from docflow.llm import suffix_dedup
+
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    wide, sizes, h = np.zeros((500, 80), np.uint8), np.full(500, 80, np.uint8), np.empty(500, np.uint64)
+    for i in range(500):
+        wide[i] = np.frombuffer((text(30) + "one phrase in common" + text(30)).encode(), np.uint8)
+        h[i] = window_hashes(wide[i], 20)[30] >> np.uint64(16)
+    member, shift, core, part, size = suffix_dedup.halves(wide, sizes, h, 50)
+    assert np.bincount(member).tolist() == [2] * 500 and sorted(set(shift.tolist())) == [0, 15] and sorted(set(size.tolist())) == [64, 65]
+    sub, heads, _ = suffix_dedup.collapsed(core, part, size, member)
+    assert len(set(core.tolist())) == len(heads) == len(set(sub.tolist())) == 1000
+    texts = [text(r.choice([10, 40])) + "one phrase in common" + r.choice(["", " of these texts, and", " of these texts, and what follows it as well"]) + text(40) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + i, t[5:70] + t[3:]) for i, t in enumerate(texts[:50])]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(x) for x in found.collect()), key=repr) == brute(rows)
