@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,6 +49,29 @@ def overlay_images(pages: DataFrame, draw: DataFrame, order: str) -> DataFrame:
     return left.cogroup(right).applyInPandas(_painted, IMAGE)
 
 
+def listed(draw: DataFrame, order: str) -> DataFrame:
+    """doc_id, page_idx, outlines: a page's draw list in the order of a column, to be joined to pages before their pictures
+    are read; then no pictures are sent to it."""
+    one = F.struct(F.col(order).alias("nth"), "x1", "y1", "x2", "y2", "color")
+    rows = draw.groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("o"))
+    return rows.select(*PAGE, F.struct(*(F.col(f"o.{c}").alias(c) for c in ("x1", "y1", "x2", "y2", "color"))).alias("outlines"))
+
+
+def overlays_of(pages: DataFrame) -> DataFrame:
+    """``overlay_images`` for pages that have their ``outlines`` (of ``listed``; null: none) beside their pictures."""
+    flat = pages.select(*PAGE, "width", "height", "nChannels", "data", *(F.col(f"outlines.{c}").alias(c) for c in ("x1", "y1", "x2", "y2", "color")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = []
+            for p in pdf.itertuples(index=False):
+                rects = [] if p.x1 is None else list(zip(p.x1.tolist(), p.y1.tolist(), p.x2.tolist(), p.y2.tolist(), strict=True))
+                made.append(pixels.to_png(outlined(pixels.from_source(p.data, p.width, p.height, p.nChannels), rects, [] if p.x1 is None else list(p.color))))
+            yield pdf[PAGE].assign(image=made)
+
+    return flat.mapInPandas(run, IMAGE)
+
+
 def overlay_rows(images: DataFrame, stem: Column, kind: str = "diagnostic") -> DataFrame:
     """path and content for the file sink: diagnostics/<stem>_diagnostic.png of layouts, diagnosis/<stem>_diagnosis.png of
     grounding tags."""
