@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import buckets_for, text_bytes, write_table
+from docflow.llm.common import buckets_for, text_bytes, trim, write_table
 from docflow.llm.suffix_tree_lm import by_bucket, find_in
 from docflow.llm.words import mixed, slices, text_bytes_of
 
@@ -431,7 +431,7 @@ def halves(wide: np.ndarray, size: np.ndarray, h: np.ndarray, length: int) -> tu
     n, most = wide.shape
     middle = (length - K) // 2
     member, shift, core, part, sizes = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint64)], [np.empty((0, length + middle), np.uint8)], [np.empty(0, np.uint8)]
-    step = max(1, PART_BYTES // most)
+    step = max(1, PART_BYTES // 8 // most)  # beside the contexts, so less than where texts are read
     for begin in range(0, n, step):
         own, last = wide[begin : begin + step], size[begin : begin + step].astype(np.int64) - length
         padded = np.concatenate([own, np.zeros((len(own), length + middle), np.uint8)], axis=1)
@@ -493,6 +493,7 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
             size, doc = np.frombuffer(b"".join(sizes), np.uint8), np.frombuffer(b"".join(docs), "<i8")
             at = np.frombuffer(b"".join(where), WHERE)
             member, shift, core, part, part_size = halves(wide, size, h, length)
+            del wide, wides
             sub, heads, least = collapsed(core, part, part_size, doc[member])
             mask = np.zeros(len(doc), dtype=np.uint32)
             # a half alone with its core shares its windows with its copies only: all are its least owner's
@@ -508,7 +509,7 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
             entry = np.flatnonzero(~alone[sub])
             entry = entry[np.argsort(rank[sub[entry]], kind="stable")]
             among = rank[sub[entry]]
-            rows, core, own_size, least = heads[left], core[left], part_size[heads[left]].astype(np.int64), least[left]
+            part, core, own_size, least = part[heads[left]], core[left], part_size[heads[left]].astype(np.int64), least[left]
             # groups end where a core does
             sums, starts = np.cumsum(own_size + 1), np.flatnonzero(np.append(True, core[1:] != core[:-1])) if len(left) else []
             cut = 0
@@ -516,7 +517,7 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 goal = np.searchsorted(sums, (sums[cut - 1] if cut else 0) + GROUP_BYTES)
                 i = np.searchsorted(starts, max(goal, cut + 1))
                 end = int(starts[i]) if i < len(starts) else len(left)
-                found = least_owner([part[rows[r], : own_size[r]].tobytes() for r in range(cut, end)], least[cut:end], length)
+                found = least_owner([part[r, : own_size[r]].tobytes() for r in range(cut, end)], least[cut:end], length)
                 lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
                 windows = np.full((end - cut, part.shape[1] - length + 1), NO_ID, dtype=np.int64)
                 windows[np.arange(windows.shape[1])[None, :] < lengths[:, None]] = np.concatenate(found)
@@ -533,6 +534,8 @@ def repeats(contexts: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 [pa.array(block[hit][cuts[:-1]], pa.int32())] + [pa.array([x[hit[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (at, mask)],
                 ["block", "where_", "masks"],
             )
+            del member, shift, core, part
+            trim()
 
     return contexts.repartition(n_buckets, "bucket").mapInArrow(run, "block int, where_ binary, masks binary")
 
