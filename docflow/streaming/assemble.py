@@ -8,10 +8,13 @@ answers too long into pages with failure texts, so a lost answer can't hold up a
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +24,8 @@ from docflow.operators.infer import MARKERS
 #: kind is register (with the page's ocr blocks), fill, or error (a page whose layout failed; content says why).
 EVENTS = "doc_id STRING, seq BIGINT, kind STRING, page_idx INT, ocr_blocks ARRAY<INT>, block_idx INT, content STRING"
 WRITTEN = "doc_id STRING, page_idx INT, flush_seq BIGINT, contents STRING"
+#: Fills as they wait for registrations of their batch.
+FILL = pa.schema([("seq", pa.int64()), ("nth", pa.int64()), ("page_idx", pa.int32()), ("block_idx", pa.int32()), ("content", pa.string())])
 LATE = MARKERS["answer"].format("no answer in time")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -110,9 +115,46 @@ class Assembler(StatefulProcessor):
         self.places.update((self.next_page, self.head, self.tail))
         yield pd.DataFrame([(key[0], *x) for x in self.out], columns=["doc_id", "page_idx", "flush_seq", "contents"]).astype({"page_idx": "int32", "flush_seq": "int64"})
 
+    def wanted(self, rows: Iterator[pd.DataFrame]) -> tuple[int, list[tuple]]:
+        """The time of a batch's last event, and in order what can change a page: its first registration or error, and for
+        each of its blocks the first fill after that. Fills wait in a file for the registrations, so memory follows the pages
+        and blocks, not the events."""
+        now, n, opened = 0, 0, {}
+        with tempfile.TemporaryFile() as file:
+            writer = None
+            for pdf in rows:
+                now = max(now, int(pdf["seq"].max()))
+                pdf = pdf.assign(nth=np.arange(n, n + len(pdf)))
+                n += len(pdf)
+                opens = pdf["kind"].isin(["register", "error"])
+                for e in pdf[opens].sort_values(["seq", "nth"]).drop_duplicates("page_idx").itertuples(index=False):
+                    at = (int(e.seq), int(e.nth))
+                    if int(e.page_idx) not in opened or at < opened[int(e.page_idx)][0]:
+                        opened[int(e.page_idx)] = at, e
+                fills = pa.RecordBatch.from_pandas(pdf.loc[~opens, ["seq", "nth", "page_idx", "block_idx", "content"]], FILL, preserve_index=False)
+                writer = writer or pa.ipc.new_stream(file, FILL)
+                writer.write_batch(fills)
+            if writer:
+                writer.close()
+            file.seek(0)
+            first: dict[tuple[int, int], tuple] = {}
+            for batch in pa.ipc.open_stream(file) if writer else ():
+                pdf = batch.to_pandas()
+                # of pages open before the batch all fills count, of others those after their registration
+                after = {p: (-1, -1) if self.page(p) else opened[p][0] for p in pdf["page_idx"].unique().tolist() if p in opened or self.page(p)}
+                pdf = pdf[pdf["page_idx"].isin(list(after))]
+                seq, nth = (pdf["page_idx"].map({p: a[k] for p, a in after.items()}) for k in (0, 1))
+                late = (pdf["seq"] > seq) | ((pdf["seq"] == seq) & (pdf["nth"] > nth))
+                for e in pdf[late].sort_values(["seq", "nth"]).drop_duplicates(["page_idx", "block_idx"]).assign(kind="fill").itertuples(index=False):
+                    key, at = (int(e.page_idx), int(e.block_idx)), (int(e.seq), int(e.nth))
+                    if key not in first or at < first[key][0]:
+                        first[key] = at, e
+        return now, [e for _, e in sorted([*opened.values(), *first.values()], key=lambda x: x[0])]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self.begin()
-        for e in pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable").itertuples(index=False):
+        now, events = self.wanted(rows)
+        for e in events:
             number, seq = int(e.page_idx), int(e.seq)
             self.expire(seq)
             if e.kind == "register":
@@ -124,6 +166,7 @@ class Assembler(StatefulProcessor):
                 if block in page.contents and page.contents[block] is None:
                     page.contents[block] = (e.content or "").replace("```", "")
             self.flush(seq)
+        self.expire(now)
         yield from self.end(key)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
