@@ -1,6 +1,7 @@
 """Pages of PDF files as rows: a data source whose partitions are ranges of wanted pages.
 
-The driver reads the page counts (files in parallel, by random access); filters on the page and on the file reach the
+The driver reads the page counts (files in parallel, by random access); of very many files it counts the large ones only,
+and small ones go to tasks in groups, so that tasks and driver don't grow with each file. Filters on the page and on the file reach the
 source, so that files and pages that nobody wants get no task. Drawing a page is left to a renderer, named as
 ``module:function``, which gets the file's path, the page's number from 0 and the resolution, and returns a PNG file.
 """
@@ -27,6 +28,8 @@ from docflow.sources.work import register
 SCHEMA = "path string, doc_id string, page_idx int, page_no int, stem string, width int, height int, content binary, status string"
 #: Points an inch, files opened at a time, and pages of a task.
 POINTS, OPEN, PAGES = 72, 32, 16
+#: Files whose pages the driver counts; of more, those of at most SMALL bytes are counted by tasks, TOGETHER in each.
+FEW, SMALL, TOGETHER = 500, 256 << 10, 64
 
 
 @dataclass
@@ -38,6 +41,13 @@ class Pages(InputPartition):
     status: str | None = None
 
 
+@dataclass
+class Whole(InputPartition):
+    """Small files, whose pages are counted where they are read."""
+
+    files: tuple[str, ...]
+
+
 def stem_of(path: str) -> str:
     return posixpath.splitext(posixpath.basename(path))[0]
 
@@ -69,11 +79,15 @@ class PdfReader(DataSourceReader):
         fs, root = file_system(self.folder)
         info = fs.get_file_info(root)
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
-        names = sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.lower().endswith(".pdf"))
+        sizes = {f.path: f.size for f in found if f.type == pafs.FileType.File and f.path.lower().endswith(".pdf") and all(t(f.path) for t in self.file_tests)}
+        names = sorted(sizes)
+        small = [n for n in names if sizes[n] <= SMALL] if len(names) > FEW else []
+        large = [n for n in names if sizes[n] > SMALL] if small else names
         with ThreadPoolExecutor(OPEN) as pool:
-            return [p for parts in pool.map(self.ranges, (n for n in names if all(t(n) for t in self.file_tests))) for p in parts]
+            counted = [p for parts in pool.map(self.ranges, large) for p in parts]
+        return counted + [Whole(tuple(small[k : k + TOGETHER])) for k in range(0, len(small), TOGETHER)]
 
-    def ranges(self, name: str) -> list[InputPartition]:
+    def ranges(self, name: str) -> list[Pages]:
         try:
             fs, _ = file_system(self.folder)
             with fs.open_input_file(name) as file:
@@ -85,7 +99,12 @@ class PdfReader(DataSourceReader):
         wanted = [k for k in there if all(t(k) for t in self.page_tests)]
         return [Pages(name, tuple(wanted[k : k + self.step])) for k in range(0, len(wanted), self.step)]
 
-    def read(self, part: Pages) -> Iterator[tuple]:
+    def read(self, part: Pages | Whole) -> Iterator[tuple]:
+        if isinstance(part, Whole):
+            for name in part.files:
+                for own in self.ranges(name):
+                    yield from self.read(own)
+            return
         if part.status:
             yield part.file, stem_of(part.file), None, None, None, None, None, None, part.status
             return
