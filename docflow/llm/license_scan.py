@@ -8,9 +8,9 @@ exact share of the template's shingles that the window contains decides.
 A window that holds ``threshold`` of a template has at least the Jaccard similarity of ``least_similarity``; the
 number of bands is chosen so that one with that similarity collides with probability 1 - ``miss`` at least.
 
-A text can only match if it contains a whole shingle of a template. ``marks`` picks words so that each shingle has one
-of them; texts with none of these, and then texts without any whole shingle, are left out before any window is made:
-exact filters, not samples.
+A window can only match if it contains a whole shingle of a template of its class. ``marks`` picks words so that each
+shingle has one of them; texts with none of these are left out, then the places of all whole shingles are looked up, and
+only windows around them are made: exact filters, not samples.
 """
 
 from __future__ import annotations
@@ -96,16 +96,30 @@ def shingles_of(words: Column) -> Column:
     return F.when(n > 0, many).otherwise(F.array().cast("array<string>"))
 
 
-def holds_a_shingle(words: Column, templates: dict[str, str]) -> Column:
-    """Whether an array of words has any shingle of any template."""
-    found = F.lit(False)
-    listed: dict[int, set[str]] = {}
+def class_shingles(templates: dict[str, str]) -> dict[int, list[str]]:
+    """By the number of words of a class, the shingles of its templates."""
+    found: dict[int, set[str]] = {}
     for w in map(template_words, templates.values()):
-        listed.setdefault(min(len(w), SHINGLE), set()).update(" ".join(w[i : i + SHINGLE]) for i in range(shingle_count(len(w))))
-    for size, known in sorted(listed.items()):
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))  # noqa: B023
-        found = found | F.arrays_overlap(runs, F.array(*map(F.lit, sorted(known))))
-    return found
+        found.setdefault(len(w), set()).update(" ".join(w[i : i + SHINGLE]) for i in range(shingle_count(len(w))))
+    return {n: sorted(x) for n, x in sorted(found.items())}
+
+
+def hits(words: Column, size: int, known: list[str]) -> Column:
+    """Where an array of words has one of the known runs of ``size`` words: structs of the place (from 0) and the run."""
+    run = lambda i: F.array_join(F.slice(words, i + 1, size), " ")
+    # most places are ruled out by their first word, without a string being made
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: words[i].isin(sorted({k.split(" ")[0] for k in known})) & run(i).isin(known))
+    return F.when(F.size(words) >= size, F.transform(places, lambda i: F.struct(i.alias("place"), run(i).alias("run")))).otherwise(F.array().cast("array<struct<place:int,run:string>>"))
+
+
+def first_words(found: Column, words: Column, n: int, known: list[str]) -> Column:
+    """Where the windows of the class of ``n`` words begin that hold a shingle of the class: of 0, stride, 2 * stride and so
+    on, up to the first window that reaches the text's end."""
+    m, span, step = min(n, SHINGLE), window_words(n), stride(n)
+    own = F.transform(F.filter(found, lambda x: x["run"].isin(known)), lambda x: x["place"])
+    around = lambda p: F.sequence(F.floor(F.greatest(p + m - span + step - 1, F.lit(0)) / step), F.floor(p / step))
+    begins = F.transform(F.array_distinct(F.flatten(F.transform(own, around))), lambda k: (k * step).cast("int"))
+    return F.filter(begins, lambda f: f <= F.greatest(F.size(words) - span + step - 1, F.lit(0)))
 
 
 def banded(frame: DataFrame, shingles: str) -> DataFrame:
@@ -137,16 +151,21 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, threshold: floa
     read = materialise(read, "license-words")
     words = int(read.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"])
     # small tables come in few files, but windows are much work
-    read = read.repartition(max(12, math.ceil(words / TASK_WORDS)), "text_hash").where(holds_a_shingle(F.col("words"), templates))
+    known_runs = class_shingles(templates)
+    by_size: dict[int, set[str]] = {}
+    for n, x in known_runs.items():
+        by_size.setdefault(min(n, SHINGLE), set()).update(x)
+    read = read.repartition(max(12, math.ceil(words / TASK_WORDS)), "text_hash")
+    placed = read.select("*", *(hits(F.col("words"), m, sorted(x)).alias(f"hits_{m}") for m, x in by_size.items()))
+    placed = materialise(placed.where(F.greatest(F.lit(0), *(F.size(f"hits_{m}") for m in by_size), F.lit(0)) > 0), "license-hits")
 
-    classes = sorted({len(template_words(t)) for t in templates.values()})
     cut = F.explode(
-        F.array(*(F.struct(F.lit(n).alias("words_of_class"), F.lit(window_words(n)).alias("span"), F.lit(stride(n)).alias("step"), F.lit(bands(n, threshold, miss)).alias("n_bands")) for n in classes))
+        F.array(*(F.struct(F.lit(n).alias("words_of_class"), F.lit(window_words(n)).alias("span"), F.lit(bands(n, threshold, miss)).alias("n_bands"), first_words(F.col(f"hits_{min(n, SHINGLE)}"), F.col("words"), n, x).alias("begins")) for n, x in known_runs.items()))
     )
     windows = (
-        read.select("doc_id", "text_hash", "words", cut.alias("c"))
+        placed.select("doc_id", "text_hash", "words", cut.alias("c"))
         .select("doc_id", "text_hash", "words", "c.*")
-        .select("doc_id", "text_hash", "words", "words_of_class", "n_bands", "span", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - F.col("span") + F.col("step") - 1, F.lit(0)), F.col("step"))).alias("first_word"))
+        .select("doc_id", "text_hash", "words", "words_of_class", "n_bands", "span", F.explode("begins").alias("first_word"))
         .where(F.col("first_word") < F.size("words"))
         .select("doc_id", "text_hash", "words_of_class", "n_bands", "first_word", F.slice("words", F.col("first_word") + 1, F.col("span")).alias("window"))
         .withColumn("shingles", shingles_of(F.col("window")))
