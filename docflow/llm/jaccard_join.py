@@ -392,8 +392,9 @@ def grouped(df: DataFrame, limit: Threshold, id_col: str, text_col: str, salt_co
     band = F.floor(F.log("size") / (1.001 * math.log(limit.whole / limit.part)))
     open_ = own.join(mixed_, "shingle", "left_semi").withColumn("band", band)
     x, y = (open_.select(F.col("shingle").alias(f"{p}_shingle"), *(F.col(c).alias(f"{p}_{c}") for c in ("set_id", "size", "place", "root", "band"))) for p in "xy")
-    y = y.withColumn("near", F.explode(F.sequence(F.col("y_band") - 1, F.col("y_band") + 1)))
-    apart = (F.col("x_root") != F.col("y_root")) & (F.col("x_set_id") < F.col("y_set_id")) & filtered(limit, "x_size", "x_place", "y_size", "y_place")
+    y = y.withColumn("near", F.explode(F.sequence(F.col("y_band") - 1, F.col("y_band"))))  # x is of the lower band
+    first = (F.col("x_band") < F.col("y_band")) | (F.col("x_set_id") < F.col("y_set_id"))
+    apart = (F.col("x_root") != F.col("y_root")) & first & filtered(limit, "x_size", "x_place", "y_size", "y_place")
     rest = x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_band") == F.col("near")) & apart).select(*ordered("x_set_id", "y_set_id")).distinct()
     rest = rest.join(first_pairs.select(*ordered("u", "v")), ["u", "v"], "left_anti")
     second_pairs = materialise(rest, "jaccard-pairs")
