@@ -337,10 +337,13 @@ def recognise(tasks: DataFrame, factory: Callable[[], TextRecognizer], model: st
 
 
 def recognise_pages(pages: DataFrame, factory: Callable[[], TextRecognizer], mode: Column, model: str = "recogniser", policy: Policy = PAGES, older: bool = False) -> DataFrame:
-    """doc_id, page_idx, content, status, attempts of whole pages with decoded pictures: scaled down to 1536, asked with
-    the prompt of their mode (text, table or formula; unknown modes are text), in either protocol. Failed pages are left
-    out, if the policy doesn't say otherwise."""
-    small = pages.select("doc_id", "page_idx", mode.alias("mode"), _small("data", "width", "height", "nChannels").alias("image"))
+    """doc_id, page_idx, content, status, attempts of whole pages with decoded pictures, or with PNG files in column content:
+    scaled down to 1536, asked with the prompt of their mode (text, table or formula; unknown modes are text), in either
+    protocol. Failed pages are left out, if the policy doesn't say otherwise.
+
+    Files within 1536 go as they are, so that no pixels are made or sent for them."""
+    image = F.pandas_udf(_small_files, "binary")("content") if "content" in pages.columns else _small("data", "width", "height", "nChannels")
+    small = pages.select("doc_id", "page_idx", mode.alias("mode"), image.alias("image"))
     if older:
         payload = older_payload(F.col("image"), F.col("mode"))
     else:
@@ -352,6 +355,10 @@ def _small_pictures(data: pd.Series, width: pd.Series, height: pd.Series, channe
     return pd.Series([pixels.to_png(pixels.thumbnail(pixels.from_source(*row))) for row in zip(data, width, height, channels, strict=True)])
 
 
+def _small_files(content: pd.Series) -> pd.Series:
+    return pd.Series([pixels.to_png(pixels.thumbnail(pixels.from_png(c))) if max(pixels.png_size(c)) > pixels.MOST else c for c in content], dtype=object)
+
+
 def _small(*columns: str) -> Column:
     return F.pandas_udf(_small_pictures, "binary")(*columns)
 
