@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +47,8 @@ ALPHA = 0.1
 GATHERED = 3_000_000
 #: Tokens that a task gathers before it sends them to buckets.
 SENT = 1_500_000
+#: Entries from which bytes of one place are compressed by themselves.
+ALONE = 1_000
 #: Bits of a row's number that are its place in its part of the input.
 PLACE_BITS = 38
 
@@ -108,23 +110,48 @@ def by_bucket(keys: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[t
 
 
 def folded(*columns: np.ndarray) -> bytes:
-    """Columns of one length, compressed; bytes of one place stand together, since high bytes hardly vary."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize * (c.shape[1] if c.ndim > 1 else 1)).T.tobytes() for c in columns))
+    """Columns of one length, compressed; bytes of one place stand together, since high bytes hardly vary, and of long
+    columns they are compressed by themselves."""
+    planes = [x for c in columns for x in np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize * (c.shape[1] if c.ndim > 1 else 1)).T]
+    compress = zstandard.ZstdCompressor(level=1).compress
+    if len(columns[0]) < ALONE:
+        return b"\0" + compress(b"".join(x.tobytes() for x in planes))
+    return b"\1" + joined([compress(x.tobytes()) for x in planes])
 
 
 def unfolded(data: bytes, *types: str) -> list[np.ndarray]:
-    """The columns that were folded, of these types; ``u6`` is read as 64 bits."""
+    """The columns that were folded, of these types; ``u3`` is read as 32 bits, ``u6`` as 64."""
     widths = [int(t[-1]) for t in types]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(sum(widths), -1)
+    expand = zstandard.ZstdDecompressor().decompress
+    planes = expand(data[1:]) if data[0] == 0 else b"".join(map(expand, parted(data[1:])))
+    planes = np.frombuffer(planes, np.uint8).reshape(sum(widths), -1)
     out, at = [], 0
     for t, width in zip(types, widths, strict=True):
-        wide = np.zeros((planes.shape[1], 8 if t == "u6" else width), dtype=np.uint8)
+        read = {"u3": "<u4", "u6": "<u8"}.get(t, f"<{t}")
+        wide = np.zeros((planes.shape[1], int(read[-1])), dtype=np.uint8)
         wide[:, :width] = planes[at : at + width].T
-        out.append(wide.view("<u8" if t == "u6" else f"<{t}")[:, 0])
+        out.append(wide.view(read)[:, 0])
         at += width
     return out
 
 
+def joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def parted(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        yield data[at + 4 : end]
+        at = end
+
+
+def low_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    """The n low bytes of whole numbers, a row each."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :n]
+
+
 def scrambled(keys: np.ndarray) -> np.ndarray:
     return keys * np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,6 +230,31 @@ class Tree:
     def root(self, count: np.ndarray | float) -> np.ndarray:
         return (count + ALPHA) / (self.tokens + ALPHA * (self.distinct + 1))
 
+    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Common words' places by falling count, and the words in that order; the numbers behind them stay."""
+        words = np.append(np.argsort(-self.counts, kind="stable"), [len(self.common), len(self.common) + 1])
+        return np.argsort(words), words
+
+    def heavy(self, before: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The heavy part's probability of each word after the words ``before`` it (the last one first), and how many of
+        these the longest heavy context has. Numbers from that of common words on are no common words; as ``word`` they
+        are all such words together."""
+        size = len(self.common)
+        other = word >= size
+        p = np.full(len(word), 1 - self.root(self.counts).sum())
+        p[~other] = self.root(self.counts[word[~other]])
+        state, length = np.zeros(len(word), dtype=np.int64), np.zeros(len(word), dtype=np.int64)
+        for level, first in zip(self.levels, before, strict=False):
+            has = (state >= 0) & (first < size)
+            state = np.where(has, find_in(level.keys, np.where(has, state * size + first, -1)), -1)
+            has = state >= 0
+            length += has
+            at = find_in(level.pairs, np.where(has & ~other, state * size + word, -1))
+            p = np.where(has, level.rest[np.maximum(state, 0)], 1.0) * p
+            if len(level.mass):
+                p += np.where(at >= 0, level.mass[np.maximum(at, 0)], 0.0)
+        return p, length
+
     def contexts(self, word: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
         """The candidate of this depth (number, or -1) that precedes each token; word: numbers of common words or -1."""
         n = len(word)
@@ -321,40 +373,70 @@ def parent_probability(tree: Tree, d: int, keys: np.ndarray, state: np.ndarray,
     return p
 
 
-def score_tokens(tree: Tree, tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's base and heavy probability (without what the counts of other than common words add), and which
-    tokens are such words."""
+def score_tokens(tree: Tree, tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's base and heavy probability (without what the counts of other than common words add), its number (-1:
+    not a common word) and how many words the longest heavy context before it has."""
     word = find_in(tree.common, tokens)
     other = word < 0
     own = tree.root(tree.counts[np.maximum(word, 0)]) if len(tree.counts) else np.ones(len(word))
     base = np.where(other, tree.root(1 - ALPHA), own)
-    p = base.copy()
+    p, length = base.copy(), np.zeros(len(word), dtype=np.int64)
     size = len(tree.common)
     for d, level in enumerate(tree.levels, 1):
         state = tree.contexts(word, text, d)
         has = state >= 0
+        length += has
         at = find_in(level.pairs, np.where(has & ~other, state * size + word, -1))
         p = np.where(has, level.rest[np.maximum(state, 0)], 1.0) * p
         if len(level.mass):
             p += np.where(at >= 0, level.mass[np.maximum(at, 0)], 0.0)
-    return base, p, word
+    return base, p, word, length
 
 
-def light_contexts(tree: Tree, tokens: np.ndarray, word: np.ndarray, text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the tokens that ``depth`` words precede which aren't a heavy context, and those words' hashes."""
+def light_contexts(tokens: np.ndarray, word: np.ndarray, text: np.ndarray, length: np.ndarray, depth: int, every_length: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the tokens that light contexts precede, and a hash of the shortest of these: of one word more than
+    the longest heavy context, or else of ``depth`` words."""
     n = len(tokens)
-    if not depth or n <= depth:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    ok = text[depth:] == text[:-depth]
-    if len(tree.levels) == depth:
-        ok &= tree.contexts(word, text, depth)[depth:] < 0
-    at = np.flatnonzero(ok) + depth
+    least = np.minimum(length + 1, depth) if every_length else np.full(n, depth)
+    back = np.arange(n) - least
+    ok = (length < depth) & (back >= 0)
+    ok &= text[np.maximum(back, 0)] == text
+    at = np.flatnonzero(ok)
     weights, key = powers(depth + 1), np.zeros(len(at), dtype=np.uint64)
     for d in range(1, depth + 1):
-        key += tokens[at - d] * weights[d]
+        part = least[at] >= d
+        key[part] += tokens[at[part] - d] * weights[d]
     return at, mixed(key)
 
 
+def words_before(at: np.ndarray, tokens: np.ndarray, word: np.ndarray, text: np.ndarray, depth: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words 1 to ``depth`` places before, a row each (size: not a common word; size + 1: not in the
+    text), and their hashes."""
+    numbers, hashes = np.full((depth, len(at)), size + 1, dtype=np.int64), np.zeros((depth, len(at)), dtype=np.uint64)
+    for d in range(1, depth + 1):
+        ok = at >= d
+        ok[ok] = text[at[ok] - d] == text[at[ok]]
+        own = word[at[ok] - d]
+        numbers[d - 1, ok], hashes[d - 1, ok] = np.where(own < 0, size, own), tokens[at[ok] - d]
+    return numbers, hashes
+
+
+def light_states(tree: Tree, before: np.ndarray, hashes: np.ndarray, follower: np.ndarray, train: np.ndarray, every_length: bool, **options) -> np.ndarray:
+    """What the light states of the tokens' contexts add to log10 of their probabilities, shorter contexts first. A bucket
+    has all tokens of each context."""
+    depth, size = len(before), len(tree.common)
+    lower, length = tree.heavy(list(before), follower)
+    added, key, weights = np.zeros(len(follower)), np.zeros(len(follower), dtype=np.uint64), powers(depth + 1)
+    for d in range(1, depth + 1):
+        own = before[d - 1]
+        key += np.where(own == size, hashes[d - 1] << np.uint64(16), mixed(own.astype(np.uint64) + np.uint64(1)) | np.uint64(1)) * weights[d]
+        at = np.flatnonzero((own <= size) & ((length < d) if every_length else (d == depth)))
+        gains = light_gains(mixed(key[at]), follower[at], lower[at], train[at], **options)
+        added[at] += gains
+        lower[at] *= 10.0**gains
+    return added
+
+
 def light_gains(key: np.ndarray, follower: np.ndarray, lower: np.ndarray, train: np.ndarray, least_times: int, divergence: float, discount: float) -> np.ndarray:
     """What the state of each token's context adds to log10 of its probability, which is ``lower`` in the parent."""
     if not len(key):
@@ -382,8 +464,9 @@ def light_gains(key: np.ndarray, follower: np.ndarray, lower: np.ndarray, train:
 
 
 #: Rows of texts have the first seven; rows for buckets the others, as folded columns: of other words their hashes and refs
-#: (places from ``first`` on times two, plus one in training texts); of tokens 48 bits of the context, the follower's
-#: number, its probability in the parent and refs. What comes back is places in the part and sums, folded.
+#: (places from ``first`` on times two, plus one in training texts); of tokens the numbers of the words before and of the
+#: follower by falling count, how far refs rise, and 48 bits of the hash of each word before that isn't common. Followers'
+#: probabilities in the heavy part are made anew from the broadcast tree. What comes back is places in the part and sums, folded.
 TEXT = "row long, doc_id long, train boolean, n_tokens long, n_common long, base double, score double"
 SENT_ON = f"{TEXT}, bucket int, first long, packed binary"
 BACK = f"{TEXT}, part long, added binary, gains binary"
@@ -398,28 +481,32 @@ def record(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [c for c, _ in fields])
 
 
-def sent_on(rows: DataFrame, tree: Tree, depth: int, n_words: int, n_contexts: int) -> DataFrame:
+def sent_on(rows: DataFrame, sent: Broadcast, depth: int, every_length: bool, n_words: int, n_contexts: int) -> DataFrame:
     """A row for each text, rows of the other words for buckets 0 to n_words - 1, and of tokens after light contexts for the
-    n_contexts buckets from there on."""
-    sent = rows.sparkSession.sparkContext.broadcast(tree)
+    n_contexts buckets from there on. sent: the tree."""
 
     def flushed(first: int, words: list, contexts: list) -> Iterator[pa.RecordBatch]:
         keys, refs = (np.concatenate(x) for x in zip(*words, strict=True))
         packed = [(b, folded(keys[at], refs[at])) for b, at in runs_of(scrambled(keys), n_words)]
-        keys, followers, lower, refs = (np.concatenate(x) for x in zip(*contexts, strict=True))
-        short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        packed += [(b + n_words, folded(short[at], followers[at], lower[at], refs[at])) for b, at in runs_of(scrambled(keys), n_contexts)]
+        if contexts:
+            keys, numbers, hashes, refs = (np.concatenate(x, axis=-1) for x in zip(*contexts, strict=True))
+            rare = len(sent.value.common)
+            for b, at in runs_of(scrambled(keys), n_contexts):
+                own = numbers[:, at]
+                spelled = [folded(low_bytes(h[at][k == rare], 6)) for k, h in zip(own[1:], hashes, strict=True)]
+                rises = np.diff(refs[at].astype(np.int64), prepend=0).astype("<u4")
+                packed.append((b + n_words, joined([folded(*(low_bytes(k, 3) for k in own), rises), *spelled])))
         yield record(SENT_ON, bucket=[b for b, _ in packed], first=[first] * len(packed), packed=[x for _, x in packed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, first = sent.value, TaskContext.get().partitionId() << PLACE_BITS
-        unknown = 1 - t.root(t.counts).sum()  # the mass of all words that aren't common
+        rank, _ = t.ranks()
         part, n_rows, held, words, contexts = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
             for some in slices(batch, 1):
                 n = some.num_rows
                 tokens, text = tokens_of(some.column(1))
-                base, p, word = score_tokens(t, tokens, text)
+                base, p, word, length = score_tokens(t, tokens, text)
                 other = word < 0
                 train = some.column(2).to_numpy(zero_copy_only=False)
                 sums = {"base": np.bincount(text, np.log10(base), minlength=n), "score": np.bincount(text, np.log10(p), minlength=n)}
@@ -427,9 +514,11 @@ def sent_on(rows: DataFrame, tree: Tree, depth: int, n_words: int, n_contexts: i
                 yield record(SENT_ON, row=first + n_rows + np.arange(n), doc_id=some.column(0), train=some.column(2), bucket=np.full(n, part % n_words, np.int32), **counts, **sums)
                 refs = ((n_rows + text) * 2 + train[text]).astype("<u4")
                 words.append((tokens[other], refs[other]))
-                at, keys = light_contexts(t, tokens, word, text, depth)
-                lower = np.where(other, p / t.root(1 - ALPHA) * unknown, p)[at]
-                contexts.append((keys, np.where(other, len(t.common), word)[at].astype("<u4"), lower.astype("<f4"), refs[at]))
+                if depth:
+                    at, keys = light_contexts(tokens, word, text, length, depth, every_length)
+                    numbers, hashes = words_before(at, tokens, word, text, depth, len(t.common))
+                    followers = np.where(other, len(t.common), word)[at]
+                    contexts.append((keys, rank[np.vstack([followers, numbers])].astype("<u4"), hashes, refs[at]))
                 n_rows, held = n_rows + n, held + len(tokens)
                 if held >= SENT:
                     yield from flushed(first, words, contexts)
@@ -442,10 +531,9 @@ def sent_on(rows: DataFrame, tree: Tree, depth: int, n_words: int, n_contexts: i
 
 
 OTHER = np.dtype([("word", "<u8"), ("row", "<i8"), ("train", "?")])
-LIGHT = np.dtype([("key", "<u8"), ("follower", "<u4"), ("lower", "<f4"), ("row", "<i8"), ("train", "?")])
 
 
-def back(table: DataFrame, n_words: int, n_contexts: int, least_times: int, divergence: float, discount: float) -> DataFrame:
+def back(table: DataFrame, sent: Broadcast, depth: int, every_length: bool, n_words: int, n_contexts: int, **options) -> DataFrame:
     """The texts' rows, and for each part of the input what the buckets add: log10(c + ALPHA) of other words, how many of
     them have c > 0, and the gains of light states."""
 
@@ -456,21 +544,41 @@ def back(table: DataFrame, n_words: int, n_contexts: int, least_times: int, dive
         places = (rows - (part << PLACE_BITS)).astype("<u4")
         yield record(BACK, part=part[cuts[:-1]], **{name: [folded(places[a:b], *(c[a:b] for c in columns)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    def other_words(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def words_of(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for first, data in parts:
+            word, refs = unfolded(data, "u8", "u4")
+            x = np.empty(len(refs), dtype=OTHER)
+            x["word"], x["row"], x["train"] = word, first + (refs >> 1).astype(np.int64), (refs & 1).astype(bool)
+            found.append(x)
+        x = np.concatenate(found)
         words, inverse = np.unique(x["word"], return_inverse=True)
         count = np.bincount(inverse, x["train"], minlength=len(words))[inverse]
         rows, own = np.unique(x["row"], return_inverse=True)
         yield from by_part("added", rows, np.bincount(own, np.log10(count + ALPHA)), np.bincount(own, count > 0).astype("<u4"))
 
-    def light_states(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        gains = light_gains(x["key"], x["follower"], x["lower"].astype(np.float64), x["train"], least_times, divergence, discount)
+    def contexts_of(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        t, found = sent.value, []
+        _, words = t.ranks()
+        for first, data in parts:
+            columns, *spelled = parted(data)
+            *numbers, rises = unfolded(columns, *["u3"] * (depth + 1), "u4")
+            numbers, refs = words[np.stack(numbers)], np.cumsum(rises, dtype=np.int64)
+            hashes = np.zeros((depth, len(refs)), dtype=np.uint64)
+            for k, some in enumerate(spelled):
+                hashes[k, numbers[k + 1] == len(t.common)] = unfolded(some, "u6")[0]
+            found.append((numbers.astype(np.int32), hashes, first + (refs >> 1), (refs & 1).astype(bool)))
+        numbers, hashes, row, train = (np.concatenate(x, axis=-1) for x in zip(*found, strict=True))
+        del found
+        follower, before = numbers[0].astype(np.int64), numbers[1:].astype(np.int64)
+        gains = light_states(t, before, hashes, follower, train, every_length, **options)
         changed = gains != 0
-        rows, own = np.unique(x["row"][changed], return_inverse=True)
+        rows, own = np.unique(row[changed], return_inverse=True)
         if len(rows):
             yield from by_part("gains", rows, np.bincount(own, gains[changed]).astype("<f4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[tuple[int, bytes]]] = {}
         n_text = len(TEXT.split(", "))
         for batch in batches:
             is_text = batch.column(0).is_valid()
@@ -480,15 +588,10 @@ def back(table: DataFrame, n_words: int, n_contexts: int, least_times: int, dive
                 yield record(BACK, part=texts.column(0).to_numpy() >> PLACE_BITS, **columns)
             packed = batch.filter(pa.compute.invert(is_text))
             for b, first, data in zip(*(packed.column(c).to_pylist() for c in ("bucket", "first", "packed")), strict=True):
-                *columns, refs = unfolded(data, *(("u8", "u4") if b < n_words else ("u6", "u4", "f4", "u4")))
-                x = np.empty(len(refs), dtype=OTHER if b < n_words else LIGHT)
-                x["row"], x["train"] = first + (refs >> 1).astype(np.int64), (refs & 1).astype(bool)
-                for name, column in zip(x.dtype.names, columns, strict=False):
-                    x[name] = column
-                held.setdefault(b, []).append(x)
+                held.setdefault(b, []).append((first, data))
         while held:
             b, parts = held.popitem()
-            yield from (other_words if b < n_words else light_states)(np.concatenate(parts))
+            yield from (words_of if b < n_words else contexts_of)(parts)
         trim()
 
     return table.repartition(n_words + n_contexts, "bucket").mapInArrow(run, BACK)
@@ -539,9 +642,10 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def score_documents(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_state: float = 2e-5, least_pair: float = 4e-6, least_times: int = 2, divergence: float = 0.01, discount: float = 0.5) -> DataFrame:
+def score_documents(df: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_state: float = 2e-5, least_pair: float = 4e-6, least_times: int = 2, divergence: float = 0.01, discount: float = 0.5, every_length: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
+    * ``every_length``: light contexts of one word up to ``depth`` words have states, not those of ``depth`` words only.
     * Null and empty texts have one token, the end. Rows of one id and repeated rows are scored (and learned from) each.
     * Without training rows every word is unknown: both scores are those of ALPHA over an empty count.
     * No rows in, no rows out. Only the two columns named, and those of ``held_out``, are read.
@@ -551,7 +655,9 @@ def score_documents(df: DataFrame, held_out: Column | None = None, id_col: str =
     _, n_bytes = text_bytes(rows)
     tree = train_tree(rows, n_bytes, depth, least_state, least_pair, divergence, discount)
     n_words, n_contexts = buckets_for(n_bytes / 3), buckets_for(n_bytes * 3)
-    table = gathered(back(sent_on(rows, tree, depth, n_words, n_contexts), n_words, n_contexts, least_times, divergence, discount), n_words)
+    sent = df.sparkSession.sparkContext.broadcast(tree)
+    table = back(sent_on(rows, sent, depth, every_length, n_words, n_contexts), sent, depth, every_length, n_words, n_contexts, least_times=least_times, divergence=divergence, discount=discount)
+    table = gathered(table, n_words)
     return table.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),

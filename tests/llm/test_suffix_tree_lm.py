@@ -114,6 +114,68 @@ def test_scores_are_those_of_a_plain_tree(docs, rows, depth):
         assert d == e and x == pytest.approx(y, rel=1e-5, abs=1e-4)
 
 
+def plain_states_of_every_length(train, depth, least_state, least_pair, divergence, discount):
+    """Score of a word after a context: the heavy part by plain_tree, then light states of each length by the book."""
+    _, retained, _, root = plain_tree(train, depth, least_state, least_pair, divergence, discount)
+    count = Counter(w for t in train for w in t)
+    n = sum(count.values())
+    common = {w for w, c in count.items() if c >= max(1, least_pair * n)}
+    least = max(2, least_state * n, least_pair * n)
+    runs = [Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(depth + 2)]
+    heavy = {(w,) for w in common if w != "</s>" and count[w] >= max(2, least_state * n)}
+    for k in range(2, depth + 1):
+        heavy |= {s for s, c in runs[k].items() if c >= least and s[:-1] in heavy and s[1:] in heavy and s[-1] in common}
+    symbol = lambda w: w if w in common else None
+    states = {}
+
+    def p(context, w):
+        value = root(w) if w in common else 1 - sum(map(root, common))
+        for k in range(1, len(context) + 1):
+            s = context[len(context) - k :]
+            rest, mass = (retained if s in heavy else states).get(s, (1, {}))
+            value = rest * value + mass.get(symbol(w), 0.0)
+        return value
+
+    for k in range(1, depth + 1):
+        followers = {}
+        for s, c in runs[k + 1].items():
+            if s[:-1] not in heavy and "</s>" not in s[:-1]:
+                followers.setdefault(s[:-1], Counter())[symbol(s[-1])] += c
+        new = {}
+        for s, of in followers.items():
+            mass = {w: (c - discount) / of.total() for w, c in of.items() if c >= 2}
+            rest, parent = 1 - sum(mass.values()), {w: p(s[1:], w) for w in mass}
+            q = {w: mass[w] + rest * parent[w] for w in mass}
+            other, parent_other = max(1 - sum(q.values()), 1e-12), max(1 - sum(parent.values()), 1e-12)
+            if mass and sum(q[w] * math.log(q[w] / parent[w]) for w in mass) + other * math.log(other / parent_other) >= divergence:
+                new[s] = (rest, mass)
+        states |= new
+    outside = 1 - sum(map(root, common))
+    return (lambda context, w: p(context, w) * (1 if w in common else root(w) / outside)), states
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_light_contexts_of_every_length_have_states(docs, rows, depth):
+    options = {"depth": depth, "least_state": 0.002, "least_pair": 0.0005, "divergence": 0.05, "discount": 0.5}
+    train = [tokens(t) for d, t in rows if not out(d)]
+    p, states = plain_states_of_every_length(train, **options)
+    assert {len(s) for s in states} == set(range(1, depth + 1))
+    expected = sorted(((d, sum(math.log10(p(tuple(w[max(0, i - depth) : i]), x)) for i, x in enumerate(w))) for d, t in rows for w in [tokens(t)]), key=repr)
+    found = [(r.doc_id, r.score) for r in lm.score_documents(docs, every_length=True, **options).collect()]
+    by_score = lambda x: (x[0] is None, x[0] or 0, round(x[1], 1), x[1])
+    for (d, x), (e, y) in zip(sorted(found, key=by_score), sorted(expected, key=by_score), strict=True):
+        assert d == e and x == pytest.approx(y, rel=1e-5, abs=1e-4)
+
+
+def test_tokens_take_few_bytes_on_the_way():
+    """A common word's number compresses where its bytes stand by themselves."""
+    r = np.random.default_rng(0)
+    numbers = np.minimum(r.zipf(1.3, 5_000), 200_000).astype("<u4")
+    data = lm.folded(lm.low_bytes(numbers, 3), r.integers(0, 2**64, 5_000, dtype=np.uint64))
+    assert len(data) < 5_000 * 9.2
+    assert (lm.unfolded(data, "u3", "u8")[0] == numbers).all()
+
+
 def test_probabilities_sum_to_one_at_most(rows):
     train = [tokens(t) for d, t in rows if not out(d)]
     p, retained, light, _ = plain_tree(train, 2, 0.002, 0.0005, 0.05, 0.5)
