@@ -54,7 +54,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(documents(spark, sf_dir))
+    return score_documents(documents(spark, sf_dir), every_length=True)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
