@@ -2,13 +2,13 @@
 
 Prefix filtering, rarest shingles first: two sets that reach the threshold share one of the shingles of their prefixes.
 
-1. Every text is read once for its set's size and digest (128 bits) and for a sketch of all shingles' counts, whose size
+1. Every text is read once for its set's size and digest (96 bits) and for a sketch of all shingles' counts, whose size
    is fixed. What a counter holds above its share of all shingles tells frequent shingles from rare ones, whatever the
    input's size; hashes break ties. Any order gives right results.
 2. Every text is read again; the prefix of each distinct set goes, packed into arrays, to the buckets of its shingles.
    Equal sets collapse there (and in each input block before), so copies cost one entry. A frequent shingle has several
    buckets, in proportion to its count. Shingles that several sets share come out with the sets' sizes and places.
-3. Candidates are made in two steps. First each set meets its shingle's hub (the set of the least id in the bucket),
+3. Candidates are made in two steps. First each set meets its shingle's hub (the set of the least digest in the bucket),
    which makes as many pairs as entries; the pairs that pass the length and positional filters are verified, and their
    links grouped into components. Then sets of one shingle and of like size meet if they are in different components.
    So a large group of near copies never gives all its pairs, and no link between components is missed: every link has
@@ -77,8 +77,8 @@ def document_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray,
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
-    """Names a set: 128 bits of a digest of its shingles."""
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    """Names a set: 96 bits of a digest of its shingles."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=12).digest()
 
 
 def survey(rows: DataFrame) -> DataFrame:
@@ -120,8 +120,11 @@ SET = "set_id binary, size int, ranges binary, shingles binary"
 #: Added to the place in entries of shingles with several buckets.
 HOT_MARK = 1 << 31
 
-#: An entry of a bucket: shingle, set (two halves), least id seen, place of the shingle in the set's order, size of the set.
-ENTRY = np.dtype([("shingle", "<u8"), ("lo", "<u8"), ("hi", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("size", "<u4")])
+#: An entry of a bucket: shingle, set (two parts), place of the shingle in the set's order, size of the set. 48 bits of the
+#: shingle are sent: shingles taken for one another only make pairs that are found to have no link.
+ENTRY = np.dtype([("shingle", "<u8"), ("lo", "<u8"), ("hi", "<u4"), ("place", "<u4"), ("size", "<u4")])
+NAME = np.dtype([("lo", "<u8"), ("hi", "<u4")])
+SENT_BYTES = {c: 6 if c == "shingle" else ENTRY[c].itemsize for c in ENTRY.names}
 
 
 def entries(rows: DataFrame, often: np.ndarray, n_buckets: int, limit: Threshold, salt_count: int) -> DataFrame:
@@ -136,12 +139,12 @@ def entries(rows: DataFrame, often: np.ndarray, n_buckets: int, limit: Threshold
                 owner = np.repeat(np.arange(len(ids)), np.diff(at))
                 often = counted[(shingles & mask).astype(np.int64)]
                 order = np.lexsort((shingles, often, owner))
-                least: dict[bytes, int] = {}
+                seen: set[bytes] = set()
                 names = [fingerprint(shingles[a:b]) if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
                 chosen = np.zeros(len(ids), dtype=bool)
-                for i, (name, doc) in enumerate(zip(names, ids.to_pylist(), strict=True)):
-                    chosen[i] = name != b"" and name not in least
-                    least[name] = min(least.get(name, 2**63 - 1), 2**63 - 1 if doc is None else doc)
+                for i, name in enumerate(names):
+                    chosen[i] = name != b"" and name not in seen
+                    seen.add(name)
                 n = np.diff(at)
                 place = np.arange(len(shingles)) - np.repeat(at[:-1], n)
                 keep = chosen[owner] & (place < limit.prefix(n)[owner])
@@ -149,15 +152,15 @@ def entries(rows: DataFrame, often: np.ndarray, n_buckets: int, limit: Threshold
                 out = np.empty(len(rank), dtype=ENTRY)
                 salts = 1 + often[rank].astype(np.int64) // salt_count
                 out["shingle"], out["place"], out["size"] = shingles[rank], place.astype(np.uint32) + ((salts > 1) * HOT_MARK).astype(np.uint32), n[owner]
-                halves = np.frombuffer(b"".join(x or bytes(16) for x in names), dtype="<u8").reshape(-1, 2)
-                out["lo"], out["hi"] = halves[owner, 0], halves[owner, 1]
-                out["doc"] = np.array([least[x] for x in names], dtype=np.int64)[owner]
+                halves = np.frombuffer(b"".join(x or bytes(12) for x in names), dtype=NAME)
+                out["lo"], out["hi"] = halves["lo"][owner], halves["hi"][owner]
                 key = out["shingle"] ^ mixed(out["lo"] % salts.astype(np.uint64))
                 bucket = ((key >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 out, bucket = out[by], bucket[by]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=n_buckets))
-                packed = [b"".join(np.ascontiguousarray(out[a:b][c]).tobytes() for c in ENTRY.names) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                columns = [np.ascontiguousarray(out[c]).view(np.uint8).reshape(len(out), ENTRY[c].itemsize)[:, :width] for c, width in SENT_BYTES.items()]
+                packed = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "packed"])
         trim()
 
@@ -165,18 +168,21 @@ def entries(rows: DataFrame, often: np.ndarray, n_buckets: int, limit: Threshold
 
 
 def unpacked(packed: bytes) -> np.ndarray:
-    n = len(packed) // ENTRY.itemsize
-    out, at = np.empty(n, dtype=ENTRY), 0
-    for c in ENTRY.names:
-        out[c] = np.frombuffer(packed, dtype=ENTRY[c], count=n, offset=at)
-        at += n * ENTRY[c].itemsize
+    n, at = len(packed) // sum(SENT_BYTES.values()), 0
+    out = np.empty(n, dtype=ENTRY)
+    for c, width in SENT_BYTES.items():
+        whole = np.zeros((n, ENTRY[c].itemsize), dtype=np.uint8)
+        whole[:, :width] = np.frombuffer(packed, dtype=np.uint8, count=n * width, offset=at).reshape(n, width)
+        out[c] = whole.view(ENTRY[c])[:, 0]
+        at += n * width
     return out
 
 
 def binary(lo: np.ndarray, hi: np.ndarray) -> pa.Array:
-    """Names of sets from their halves."""
-    raw = np.stack([lo, hi], axis=1).astype("<u8").tobytes()
-    return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((np.arange(len(lo) + 1) * 16).astype(np.int32)), pa.py_buffer(raw)])
+    """Names of sets from their parts."""
+    raw = np.empty(len(lo), dtype=NAME)
+    raw["lo"], raw["hi"] = lo, hi
+    return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((np.arange(len(lo) + 1) * NAME.itemsize).astype(np.int32)), pa.py_buffer(raw.tobytes())])
 
 
 def shared(packed: DataFrame, n_buckets: int) -> DataFrame:
@@ -191,11 +197,10 @@ def shared(packed: DataFrame, n_buckets: int) -> DataFrame:
                 parts.setdefault(b, []).append(unpacked(x.as_py()))
         while parts:
             e = np.concatenate(parts.popitem()[1])
-            e = e[np.lexsort((e["doc"], e["lo"], e["hi"], e["shingle"]))]
+            e = e[np.lexsort((e["place"], e["lo"], e["hi"], e["shingle"]))]
             new = np.ones(len(e), dtype=bool)
             new[1:] = (e["shingle"][1:] != e["shingle"][:-1]) | (e["lo"][1:] != e["lo"][:-1]) | (e["hi"][1:] != e["hi"][:-1])
             e = e[new]
-            e = e[np.lexsort((e["lo"], e["hi"], e["doc"], e["shingle"]))]
             first = np.ones(len(e), dtype=bool)
             first[1:] = e["shingle"][1:] != e["shingle"][:-1]
             heads = np.flatnonzero(first)

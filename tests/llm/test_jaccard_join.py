@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from docflow.llm import jaccard_join as jj
 from docflow.llm.jaccard_join import Threshold, alike, at_least_apart, drop_near_copies, far_apart, range_counts, similar_groups
 
 
@@ -108,3 +109,18 @@ def test_range_counts_never_say_too_much():
     assert at_least_apart(range_counts(x), range_counts(y)) > 84  # strangers are told apart
     crowd = np.arange(4000, dtype=np.uint64)
     assert at_least_apart(range_counts(crowd), range_counts(crowd[:900])) <= 3100
+
+
+def test_entries_take_few_bytes_and_come_back(docs):
+    rows = docs.selectExpr("doc_id", "text").coalesce(1)
+    found = jj.entries(rows, np.zeros(1 << jj.SKETCH_BITS, dtype="<u4"), 4, Threshold(), 10).collect()
+    entries = [jj.unpacked(r["packed"]) for r in found]
+    assert sum(len(r["packed"]) for r in found) <= 26 * sum(map(len, entries))
+    known = {}  # by set: size, shingles
+    for r in rows.toArrow().to_batches():
+        for _, shingles, at in jj.document_sets(r):
+            known |= {jj.fingerprint(x): {int(y) & (1 << 48) - 1 for y in x} for x in np.split(shingles, at[1:-1]) if len(x)}
+    assert known
+    for e in entries:
+        for x, name in zip(e, jj.binary(e["lo"], e["hi"]).to_pylist(), strict=True):
+            assert int(x["shingle"]) in known[name] and int(x["size"]) == len(known[name])
