@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on all that the one before it kept, and its decisions take effect.
 
 Stages take documents of any size (long texts whole), and tables without rows, which stay empty; columns beside doc_id,
-text and lang go along, whatever their names.
+text and lang go along, whatever their names. Stages that work in Python set the session to batches of 1,000 rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docflow.llm import pii
-from docflow.llm.common import documents, materialise
+from docflow.llm.common import documents, materialise, small_batches
 from docflow.llm.exact_dedup import drop_copies
 from docflow.llm.jaccard_join import drop_near_copies
 from docflow.llm.language_id import drop_rejected, fit_on_training_rows
@@ -20,6 +20,7 @@ from docflow.llm.packing import pack_documents
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is unknown (null and empty texts, texts without a letter) or too close to call, ties
     among them. The column lang stays as it is; repeated rows are judged alike."""
+    small_batches(spark)
     return drop_rejected(docs, fit_on_training_rows(docs))
 
 
@@ -32,6 +33,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each group linked by shared shingles; texts without words stay, and so do
     rows without an id. Rows of one id stay or go together."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -43,6 +45,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents left, with their sequences and offsets; a null or empty text is its end id alone."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=100_000)  # little memory beside the other stages
 
 

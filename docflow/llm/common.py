@@ -89,6 +89,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends at most 1,000 rows at a time to Python in this session; of long texts, Spark's 10,000 fill some hundred MB of
+    an executor, outside its heap and in its workers. Smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= 1_000:
+        spark.conf.set(key, "1000")
+
+
 def trim() -> None:
     """Gives memory that a worker has freed back to the system, so that it doesn't add to what the next stage needs."""
     pa.default_memory_pool().release_unused()

@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docflow.llm.common import fresh, trim
+from docflow.llm.words import slices
 
 MAX_LANGUAGES = 256
 LETTER = regex.compile(r"\p{L}")
@@ -173,16 +174,22 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def drop_rejected(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that identify doesn't reject, with all their columns, whatever their names. Null, empty and
     odd texts, ties, repeated rows and empty tables are as there."""
-    (name,) = fresh(df, "text_in")
+    names, n = [c.lower() for c in df.columns], len(df.columns)
+    if names.count(text_col.lower()) == 1:  # texts are sent once
+        rows, at = df, names.index(text_col.lower())
+    else:  # a field of a column, or one whose name the session tells from another by case
+        (name,) = fresh(df, "text_in")
+        rows, at = df.withColumn(name, F.col(text_col)), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [not classify(x.as_py(), model)[2] for x in b.column(b.num_columns - 1)]
-            yield b.select(range(b.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for b in slices(batch, at):
+                keep = [not classify(x.as_py(), model)[2] for x in b.column(at)]
+                yield b.select(range(n)).filter(pa.array(keep, pa.bool_()))
         compressors.cache_clear()
         trim()
 
-    return df.withColumn(name, F.col(text_col)).mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, df.schema)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:

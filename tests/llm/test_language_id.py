@@ -114,3 +114,17 @@ def test_long_texts_count_throughout():
     r = random.Random(1)
     models = tuple((lang, text(r, lang, 500).encode()) for lang in "ab")
     assert classify(text(r, "a", 500) + " " + text(r, "b", 5000), Model(models, 0.0))[0] == "b"
+
+
+def test_texts_are_sent_once(labelled):
+    model = fit(labelled)
+    found = drop_rejected(labelled, model)
+    assert "text_in" not in found._jdf.queryExecution().analyzed().toString()
+    kept = {r.doc_id for r in identify(labelled, model).where("not rejected").collect()}
+    assert kept and sorted(map(tuple, found.collect())) == sorted(tuple(r) for r in labelled.collect() if r.doc_id in kept)
+
+
+def test_a_field_of_a_column_can_be_the_text(labelled):
+    model = fit(labelled)
+    nested = labelled.select("doc_id", F.struct("text").alias("of"))
+    assert {r.doc_id for r in drop_rejected(nested, model, "of.text").collect()} == {r.doc_id for r in drop_rejected(labelled, model).collect()}

@@ -75,3 +75,15 @@ def stage_columns(frame):
 def test_run_is_the_stages(spark, tmp_path, docs):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 50
+
+
+def test_python_stages_get_small_batches(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:3] + corpus_pipeline.STAGES[4:]:
+            spark.conf.set(key, "10000")
+            stage(spark, docs.limit(3), "")
+            assert int(spark.conf.get(key)) == 1_000
+    finally:
+        spark.conf.set(key, before)
