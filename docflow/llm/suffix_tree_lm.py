@@ -7,9 +7,9 @@ contexts of one to ``depth`` words, in two parts:
   least_state of them; each keeps the followers whose joint share is at least ``least_pair`` (at most 1 / least_pair at
   each depth). This part is broadcast: its size is bounded by the two shares.
 * Light contexts are all others of ``depth`` words, and of fewer too with ``every_length``. They keep each follower counted
-  ``least_times`` times, whatever its share, so their number grows with the corpus. They stay in buckets: each token goes to its context's bucket, which counts
-  the context's followers, makes the state and sends back what it changes in each text's score. A heavy context never
-  goes there, so no bucket gets more than a bounded share through one context. Followers are common words (share of
+  ``least_times`` times, whatever its share, so their number grows with the corpus. They stay in buckets: each token goes
+  to its shortest light context's bucket, which counts followers, makes the states and sends back what they change in
+  each text's score. A heavy context never goes there, so no bucket gets more than a bounded share through one context. Followers are common words (share of
   ``least_pair`` or more) and, as one symbol, all others; within that symbol words keep their parts.
 
 Kept followers are discounted, and the rest of a state's mass goes to its parent, the longest suffix that is retained:
